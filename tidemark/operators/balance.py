@@ -71,7 +71,41 @@ def _pick(found: Column, j: Column) -> Column:
         F.when(acc.left >= 0, c.value).otherwise(acc.value).alias("value")))["value"]
 
 
-def smote(df: DataFrame, ratio: float | None, k: int = 5, seed: int = 42,
+class MinoritySpace:
+    """Numbered minority rows and their neighbours, shared by several ratios."""
+
+    def __init__(self, df: DataFrame, k: int = 5, seed: int = 42, features: str = FEATURES,
+                 target: str = TARGET, key: str = ID):
+        self.k, self.seed, self.key, self.target, self.features = k, seed, key, target, features
+        self.kept = df.select(key, target, features)
+        sizes = dict(self.kept.groupBy(target).count().collect())
+        self.n_min, self.n_maj = sizes.get(1, 0), sizes.get(0, 0)
+        if self.n_min <= k:
+            raise ValueError(f"{k} neighbours need more than {k} minority rows")
+        self.rows = write_stage(
+            _dense_index(self.kept.where(F.col(target) == 1), key, seed)
+            .withColumn("vec", vector_to_array(features)).select(key, "pos", "vec"), "minority")
+        self.found = write_stage(minority_neighbours(self.rows, k, key), "minority-neighbours")
+
+    def synthetic(self, ratio: float) -> DataFrame:
+        n_new = math.floor(ratio * self.n_maj - self.n_min)
+        if n_new < 0:
+            raise ValueError(f"the minority already exceeds {ratio} of the majority")
+        # bases are drawn evenly, so the join on their number has no hot key
+        draws = self.kept.sparkSession.range(n_new).withColumnRenamed("id", "i").select(
+            "i", _draw(self.seed, 1, self.n_min).alias("pos"), _draw(self.seed, 2, self.k).alias("j"),
+            (_draw(self.seed, 3, 1 << 53) / F.lit(float(1 << 53))).alias("u"))
+        bases = draws.join(self.rows, "pos").join(self.found, self.key).select(
+            "i", "u", F.col("vec").alias("base"), _pick(F.col("found"), F.col("j")).alias("other"))
+        others = self.rows.select(F.col(self.key).alias("other"), F.col("vec").alias("end"))
+        label = F.lit(1).cast(self.kept.schema[self.target].dataType)
+        between = F.zip_with("base", "end", lambda a, b: a + F.col("u") * (b - a))
+        return bases.join(others, "other").select(
+            (-F.col("i") - 1).alias(self.key), label.alias(self.target),
+            array_to_vector(between).alias(self.features))
+
+
+def smote(df: DataFrame, ratio: float | None, space: MinoritySpace | None = None,
           features: str = FEATURES, target: str = TARGET, key: str = ID) -> DataFrame:
     """Add synthetic minority rows until minority / majority reaches ``ratio``.
 
@@ -79,28 +113,7 @@ def smote(df: DataFrame, ratio: float | None, k: int = 5, seed: int = 42,
     rows. Every draw is a hash of the row's number, so the result does not
     depend on partitioning. New rows get negative ids; the rest is untouched.
     """
-    kept = df.select(key, target, features)
     if ratio is None:
-        return kept
-    sizes = dict(kept.groupBy(target).count().collect())
-    n_min, n_maj = sizes.get(1, 0), sizes.get(0, 0)
-    n_new = math.floor(ratio * n_maj - n_min)
-    if n_new < 0:
-        raise ValueError(f"the minority already exceeds {ratio} of the majority")
-    if n_min <= k:
-        raise ValueError(f"{k} neighbours need more than {k} minority rows")
-    minority = write_stage(
-        _dense_index(kept.where(F.col(target) == 1), key, seed)
-        .withColumn("vec", vector_to_array(features)).select(key, "pos", "vec"), "minority")
-    found = write_stage(minority_neighbours(minority, k, key), "minority-neighbours")
-    # bases are drawn evenly, so this join has no hot key
-    draws = df.sparkSession.range(n_new).withColumnRenamed("id", "i").select(
-        "i", _draw(seed, 1, n_min).alias("pos"), _draw(seed, 2, k).alias("j"),
-        (_draw(seed, 3, 1 << 53) / F.lit(float(1 << 53))).alias("u"))
-    bases = (draws.join(minority, "pos").join(found, key)
-             .select("i", "u", F.col("vec").alias("base"), _pick(F.col("found"), F.col("j")).alias("other")))
-    others = minority.select(F.col(key).alias("other"), F.col("vec").alias("end"))
-    points = bases.join(others, "other").select(
-        (-F.col("i") - 1).alias(key), F.lit(1).cast(df.schema[target].dataType).alias(target),
-        array_to_vector(F.zip_with("base", "end", lambda a, b: a + F.col("u") * (b - a))).alias(features))
-    return kept.unionByName(points)
+        return df.select(key, target, features)
+    space = space or MinoritySpace(df, features=features, target=target, key=key)
+    return space.kept.unionByName(space.synthetic(ratio))

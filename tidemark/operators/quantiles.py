@@ -81,6 +81,15 @@ def exact_quantiles(df: DataFrame, value: str, probabilities) -> DataFrame:
     return _select_exact(data.withColumn("b", sketch), probabilities, [])
 
 
+def broadcast_if_small(groups: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
+    """A per-group table ready to be joined: fetched and broadcast when it has
+    at most ``limit`` rows, left to a shuffle join when it has more."""
+    rows = groups.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return groups
+    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema))
+
+
 def group_quantiles(df: DataFrame, value: str, probabilities, by: list[str],
                     few_groups: bool = False) -> DataFrame:
     """Quantiles per group. Rows without a group are ignored.
@@ -92,12 +101,7 @@ def group_quantiles(df: DataFrame, value: str, probabilities, by: list[str],
     data = _present(df, value, by).where(
         reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
     sketches = data.groupBy(*by).agg(_sketch(probabilities).alias("b"))
-    if few_groups:
-        sketches = F.broadcast(sketches)
-    else:
-        rows = sketches.limit(MAX_GROUPS + 1).collect()
-        if len(rows) <= MAX_GROUPS:
-            sketches = F.broadcast(df.sparkSession.createDataFrame(rows, sketches.schema))
+    sketches = F.broadcast(sketches) if few_groups else broadcast_if_small(sketches)
     return _select_exact(data.join(sketches, by), probabilities, by)
 
 
