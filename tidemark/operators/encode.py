@@ -71,30 +71,39 @@ class NoCenterScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable
                                   outputCol=self.getOutputCol())
 
 
+def log_stage(columns: list[str]) -> SQLTransformer:
+    """Add ``log_<column>`` for each column; negatives of one or less give null."""
+    return SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"log1p({c}) AS log_{c}" for c in columns) + " FROM __THIS__")
+
+
+def one_hot_stages(categorical: list[str]) -> list:
+    """Labels are alphabetical and all keep a slot: the dropped last slot is
+    the bucket of unseen labels, which therefore encode as zeros."""
+    index = StringIndexer(inputCols=categorical, outputCols=[f"ix_{c}" for c in categorical],
+                          stringOrderType="alphabetAsc", handleInvalid="keep")
+    return [index, OneHotEncoder(inputCols=index.getOutputCols(), dropLast=True,
+                                 outputCols=[f"oh_{c}" for c in categorical])]
+
+
+def assemble_stage(numeric: list[str], categorical: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=numeric + [f"oh_{c}" for c in categorical], outputCol=FEATURES)
+
+
 def encoding_stages(plain=PLAIN, categorical=CATEGORICAL, income_flag: str = "flag_ingreso_declarado_nulo") -> list:
     """Missing flags, imputation, logs, one-hot slots, and their assembly.
 
-    Flags are taken before imputation. Labels are alphabetical and all keep a
-    slot: the dropped last slot is the bucket of unseen labels, which therefore
-    encode as zeros.
+    Flags are taken before imputation.
     """
-    logged = ["ingreso_declarado", *LOGGED]
     tenure_flag = "flag_antiguedad_laboral_nulo"
     flags = SQLTransformer(statement=f"""
         SELECT *, CAST(ingreso_declarado IS NULL AS INT) AS {income_flag},
                CAST(antiguedad_laboral_meses IS NULL AS INT) AS {tenure_flag}
         FROM __THIS__""")
-    logs = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"log1p({c}) AS log_{c}" for c in logged) + " FROM __THIS__")
-    index = StringIndexer(inputCols=categorical, outputCols=[f"ix_{c}" for c in categorical],
-                          stringOrderType="alphabetAsc", handleInvalid="keep")
-    one_hot = OneHotEncoder(inputCols=index.getOutputCols(), dropLast=True,
-                            outputCols=[f"oh_{c}" for c in categorical])
-    assemble = VectorAssembler(
-        inputCols=[income_flag, tenure_flag, "log_ingreso_declarado", "antiguedad_laboral_meses",
-                   *[f"log_{c}" for c in LOGGED], *plain, *one_hot.getOutputCols()],
-        outputCol=FEATURES)
-    return [flags, GroupMedianImputer(), ConstantImputer(), logs, index, one_hot, assemble]
+    numeric = [income_flag, tenure_flag, "log_ingreso_declarado", "antiguedad_laboral_meses",
+               *[f"log_{c}" for c in LOGGED], *plain]
+    return [flags, GroupMedianImputer(), ConstantImputer(), log_stage(["ingreso_declarado", *LOGGED]),
+            *one_hot_stages(categorical), assemble_stage(numeric, categorical)]
 
 
 def feature_names(assembled: DataFrame, column: str = FEATURES) -> list[str]:

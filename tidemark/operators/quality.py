@@ -69,6 +69,21 @@ def between_dates(df: DataFrame, start: str | None, end: str | None) -> DataFram
     return df
 
 
+def assign_window(df: DataFrame, windows: dict[str, tuple[str | None, str | None]],
+                  column: str = "ventana") -> DataFrame:
+    """Label each row with every half-open window it falls in, in one pass."""
+    def inside(start, end):
+        condition = F.lit(True)
+        if start:
+            condition = condition & (F.col(DATE) >= F.lit(start).cast("date"))
+        if end:
+            condition = condition & (F.col(DATE) < F.lit(end).cast("date"))
+        return condition
+
+    labels = F.array_compact(F.array(*[F.when(inside(*w), F.lit(name)) for name, w in windows.items()]))
+    return df.withColumn(column, F.explode(labels))
+
+
 def split_guard(train: DataFrame, last_year: int) -> DataFrame:
     """One row with the latest year; fails when training data goes beyond ``last_year``."""
     year = F.max(F.year(DATE))

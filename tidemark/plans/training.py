@@ -250,9 +250,10 @@ class FittedRound:
 
 
 def fit_round(cfg: RoundConfig, labelled: DataFrame, family: str = "logistica",
-              max_trees: int | None = None) -> FittedRound:
-    """Search on the windows, then refit on every labelled row if the round does."""
-    trainer = Trainer(cfg, cfg.train(labelled), max_trees)
+              max_trees: int | None = None, trainer: Trainer | None = None) -> FittedRound:
+    """Search on the windows, then refit on every labelled row if the round
+    does. A trainer of the training window may be passed in to share its frame."""
+    trainer = trainer or Trainer(cfg, cfg.train(labelled), max_trees)
     grid = candidates(cfg, family)
     results = write_stage(search(trainer, cfg.valid(labelled), grid), "search")
     chosen = grid[select_best(cfg, family, results).first().posicion]
