@@ -15,7 +15,7 @@ from tidemark.functions.probability import hard_predict, prior_correction
 from tidemark.operators import balance, eda, encode, impute, metrics, policy, quality
 from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
-from tidemark.schema import (CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
+from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
                              feature_columns)
 from tidemark.session import stage_path, write_stage
 from tidemark.sources import sinks
@@ -42,8 +42,24 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+@cache
+def _stored(session_id: str, sf_dir: str) -> str:
+    spark = SparkSession.getActiveSession()
+    path = stage_path(spark, "applications")
+    applications(spark, sf_dir).sortWithinPartitions("fecha_solicitud").write.parquet(path)
+    return path
+
+
+def stored(spark, sf_dir) -> DataFrame:
+    """The applications table: derived once per session and kept in the shared
+    folder, as a user would keep it. Queries then read only the columns they
+    need, and date windows skip row groups."""
+    path = _stored(spark.sparkContext.applicationId, sf_dir)
+    return spark.read.schema(APPLICATIONS).parquet(path)
+
+
 def scored(spark, sf_dir) -> DataFrame:
-    return applications(spark, sf_dir).withColumn(SCORE, p_proxy())
+    return stored(spark, sf_dir).withColumn(SCORE, p_proxy())
 
 
 def decided(spark, sf_dir) -> DataFrame:
@@ -93,7 +109,7 @@ def policy_output(spark, sf_dir):
 
 @query
 def predictions_output(spark, sf_dir):
-    rows = test(applications(spark, sf_dir))
+    rows = test(stored(spark, sf_dir))
     path = stage_path(spark, "predictions")
     sinks.write_predictions(fitted(spark, sf_dir, 4, "logistica").score(rows), rows, path)
     return spark.read.schema("id_solicitud long, prob_default double").option("header", True).csv(path)
@@ -113,25 +129,25 @@ def model_reload(spark, sf_dir):
     model = fitted(spark, sf_dir, 4, "logistica")
     path = stage_path(spark, "model")
     sinks.save_model(model.final, model.names, path)
-    return sinks.load_model(path).transform(test(applications(spark, sf_dir))).select(ID, SCORE)
+    return sinks.load_model(path).transform(test(stored(spark, sf_dir))).select(ID, SCORE)
 
 
 # --- projection, filters, scalar functions ----------------------------------
 
 @query
 def feature_projection(spark, sf_dir):
-    return applications(spark, sf_dir).select(*feature_columns())
+    return stored(spark, sf_dir).select(*feature_columns())
 
 
 @query
 def exclude_features(spark, sf_dir):
-    return applications(spark, sf_dir).drop(LEAK, UNRELIABLE, "tasa_interes_anual")
+    return stored(spark, sf_dir).drop(LEAK, UNRELIABLE, "tasa_interes_anual")
 
 
 @query
 def temporal_split(spark, sf_dir):
     windows = {"train": (None, SPLIT), "valid": (SPLIT, None)}
-    return quality.assign_window(applications(spark, sf_dir), windows).select(ID, "fecha_solicitud", "ventana")
+    return quality.assign_window(stored(spark, sf_dir), windows).select(ID, "fecha_solicitud", "ventana")
 
 
 @query
@@ -141,71 +157,71 @@ def rolling_window_split(spark, sf_dir):
         cfg = ROUNDS[r]
         windows[f"{cfg.name} train"] = (cfg.train_start, cfg.train_end)
         windows[f"{cfg.name} valid"] = (cfg.valid_start, cfg.valid_end)
-    return quality.assign_window(applications(spark, sf_dir), windows).select(ID, "ventana")
+    return quality.assign_window(stored(spark, sf_dir), windows).select(ID, "ventana")
 
 
 @query
 def split_guard(spark, sf_dir):
-    return quality.split_guard(train(applications(spark, sf_dir)), 2024)
+    return quality.split_guard(train(stored(spark, sf_dir)), 2024)
 
 
 @query
 def mes_solicitud(spark, sf_dir):
-    return applications(spark, sf_dir).select(ID, month_label(F.col("fecha_solicitud")).alias("mes_solicitud"))
+    return stored(spark, sf_dir).select(ID, month_label(F.col("fecha_solicitud")).alias("mes_solicitud"))
 
 
 @query
 def log_transform(spark, sf_dir):
     columns = ["ingreso_declarado", "deuda_sistema", "monto_solicitado"]
     logs = [F.round(F.log1p(c), 9).alias(f"log_{c}") for c in columns]
-    return applications(spark, sf_dir).select(ID, *logs)
+    return stored(spark, sf_dir).select(ID, *logs)
 
 
 @query
 def null_flags(spark, sf_dir):
     flags = {"ingreso_declarado": "flag_ingreso_declarado_nulo",
              "antiguedad_laboral_meses": "flag_antiguedad_laboral_nulo"}
-    return impute.null_flags(applications(spark, sf_dir), flags).select(ID, *flags.values())
+    return impute.null_flags(stored(spark, sf_dir), flags).select(ID, *flags.values())
 
 
 # --- data quality -----------------------------------------------------------
 
 @query
 def valid_age_median(spark, sf_dir):
-    return quality.valid_age_median(train(applications(spark, sf_dir)))
+    return quality.valid_age_median(train(stored(spark, sf_dir)))
 
 
 def cleaned(spark, sf_dir) -> DataFrame:
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     return quality.clean(df, quality.valid_age_median(train(df)).scalar())
 
 
 @query
 def clean_age(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     fill = quality.valid_age_median(train(df)).scalar()
     return quality.clean_age(df, fill).select(ID, "edad", "flag_edad_inconsistente")
 
 
 @query
 def clean_income(spark, sf_dir):
-    return quality.clean_income(applications(spark, sf_dir)).select(
+    return quality.clean_income(stored(spark, sf_dir)).select(
         ID, "ingreso_declarado", "flag_ingreso_inconsistente")
 
 
 @query
 def uf_interpolate(spark, sf_dir):
-    return rounded(with_rate_cap(applications(spark, sf_dir)), 6, "uf").select(ID, "fecha_solicitud", "uf")
+    return rounded(with_rate_cap(stored(spark, sf_dir)), 6, "uf").select(ID, "fecha_solicitud", "uf")
 
 
 @query
 def rate_cap_lookup(spark, sf_dir):
-    return rounded(with_rate_cap(applications(spark, sf_dir)), 6, "tope_tasa").select(ID, "tope_tasa")
+    return rounded(with_rate_cap(stored(spark, sf_dir)), 6, "tope_tasa").select(ID, "tope_tasa")
 
 
 @query
 def clean_rate(spark, sf_dir):
-    return rounded(quality.clean_rate(applications(spark, sf_dir)), 6, "tasa_interes_anual").select(
+    return rounded(quality.clean_rate(stored(spark, sf_dir)), 6, "tasa_interes_anual").select(
         ID, "tasa_interes_anual", "flag_tasa_corregida")
 
 
@@ -218,26 +234,26 @@ def dq_summary(spark, sf_dir):
 
 @query
 def rate_cap_asof(spark, sf_dir):
-    return with_rate_cap(applications(spark, sf_dir), step=True).select(ID, "tope_tasa")
+    return with_rate_cap(stored(spark, sf_dir), step=True).select(ID, "tope_tasa")
 
 
 # --- imputation -------------------------------------------------------------
 
 @query
 def group_median_impute(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     return impute.GroupMedianImputer().fit(train(df)).transform(df).select(ID, "ingreso_declarado")
 
 
 @query
 def constant_impute(spark, sf_dir):
-    return impute.ConstantImputer().transform(applications(spark, sf_dir)).select(
+    return impute.ConstantImputer().transform(stored(spark, sf_dir)).select(
         ID, "antiguedad_laboral_meses")
 
 
 def _recipe(spark, sf_dir, name):
     columns = ["ingreso_declarado", "antiguedad_laboral_meses"]
-    return rounded(impute.apply_recipe(applications(spark, sf_dir), name), 6, *columns).select(
+    return rounded(impute.apply_recipe(stored(spark, sf_dir), name), 6, *columns).select(
         ID, *columns, *[f"{c}_isnull" for c in columns])
 
 
@@ -258,21 +274,21 @@ def impute_knn(spark, sf_dir):
 
 @query
 def imputation_bakeoff(spark, sf_dir):
-    return bakeoff.imputation_bakeoff(labelled(applications(spark, sf_dir)))
+    return bakeoff.imputation_bakeoff(labelled(stored(spark, sf_dir)))
 
 
 # --- encoding ---------------------------------------------------------------
 
 @query
 def one_hot(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     labels = {c: encode.fit_labels(train(df), c) for c in CATEGORICAL}
     names = [f"{c}_{label}" for c, values in labels.items() for label in values]
     return encode.one_hot_columns(df, labels).select(ID, *names)
 
 
 def _assembled(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     return Pipeline(stages=ROUNDS[4].feature_stages()).fit(train(df)).transform(df)
 
 
@@ -293,7 +309,7 @@ def feature_names(spark, sf_dir):
 
 @query
 def scale_no_center(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     columns = ["score_buro", "plazo_meses", "uso_linea_credito_pct"]
     return rounded(encode.scale_columns(df, train(df), columns), 9, *columns).select(ID, *columns)
 
@@ -302,7 +318,7 @@ def scale_no_center(spark, sf_dir):
 
 @query
 def class_weights(spark, sf_dir):
-    return rounded(balance.class_weights(train(applications(spark, sf_dir))), 9,
+    return rounded(balance.class_weights(train(stored(spark, sf_dir))), 9,
                    "peso_pos", "peso_neg", "scale_pos_weight")
 
 
@@ -337,7 +353,7 @@ QUERIES["hard_predict"] = QUERIES.pop("hard_predict_score")
 def _trainer(session_id: str, sf_dir: str, number: int) -> training.Trainer:
     spark = SparkSession.getActiveSession()
     cfg = ROUNDS[number]
-    return training.Trainer(cfg, cfg.train(labelled(applications(spark, sf_dir))), QUERY_TREES)
+    return training.Trainer(cfg, cfg.train(labelled(stored(spark, sf_dir))), QUERY_TREES)
 
 
 def trainer(spark, sf_dir, number) -> training.Trainer:
@@ -348,7 +364,7 @@ def trainer(spark, sf_dir, number) -> training.Trainer:
 @cache
 def _fitted(session_id: str, sf_dir: str, number: int, family: str) -> training.FittedRound:
     spark = SparkSession.getActiveSession()
-    return training.fit_round(ROUNDS[number], labelled(applications(spark, sf_dir)), family, QUERY_TREES,
+    return training.fit_round(ROUNDS[number], labelled(stored(spark, sf_dir)), family, QUERY_TREES,
                               trainer(spark, sf_dir, number))
 
 
@@ -358,7 +374,7 @@ def fitted(spark, sf_dir, number, family) -> training.FittedRound:
 
 def _search(spark, sf_dir, number, family):
     cfg = ROUNDS[number]
-    return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(applications(spark, sf_dir))),
+    return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(stored(spark, sf_dir))),
                            training.candidates(cfg, family))
 
 
@@ -426,7 +442,7 @@ def select_brier_guard(spark, sf_dir):
 @query
 def fit_oot_and_final(spark, sf_dir):
     model = fitted(spark, sf_dir, 4, "logistica")
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     parts = [("oot", valid(df), False), ("final", test(df), True)]
     return reduce(DataFrame.unionByName, [
         model.score(rows, final).agg(F.count("*").alias("n"), F.avg(SCORE).alias("p_media"))
@@ -435,7 +451,7 @@ def fit_oot_and_final(spark, sf_dir):
 
 @query
 def score(spark, sf_dir):
-    return fitted(spark, sf_dir, 4, "logistica").score(test(applications(spark, sf_dir))).select(ID, SCORE)
+    return fitted(spark, sf_dir, 4, "logistica").score(test(stored(spark, sf_dir))).select(ID, SCORE)
 
 
 @query
@@ -525,7 +541,7 @@ def round_comparison(spark, sf_dir):
 
 @query
 def add_economics(spark, sf_dir):
-    df = policy.add_economics(applications(spark, sf_dir))
+    df = policy.add_economics(stored(spark, sf_dir))
     money = ["ganancia_si_paga", "perdida_si_default"]
     return rounded(rounded(df, 4, *money), 9, "p_umbral").select(ID, *money, "p_umbral")
 
@@ -554,7 +570,7 @@ def gain_curve(spark, sf_dir):
 
 @query
 def threshold_table(spark, sf_dir):
-    return rounded(policy.threshold_table(applications(spark, sf_dir)), 9, "p_umbral")
+    return rounded(policy.threshold_table(stored(spark, sf_dir)), 9, "p_umbral")
 
 
 @query
@@ -583,44 +599,44 @@ def policy_round_comparison(spark, sf_dir):
 
 @query
 def null_profile(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     return rounded(eda.null_profile(df, df.columns), 9, "pct_nulos")
 
 
 @query
 def numeric_profile(spark, sf_dir):
-    return rounded(eda.numeric_profile(applications(spark, sf_dir), NUMERIC), 6,
+    return rounded(eda.numeric_profile(stored(spark, sf_dir), NUMERIC), 6,
                    "media", "desviacion", "minimo", "q25", "mediana", "q75", "maximo")
 
 
 @query
 def structural_nulls(spark, sf_dir):
-    df = eda.structural_nulls(applications(spark, sf_dir), "antiguedad_laboral_meses", "tipo_empleo")
+    df = eda.structural_nulls(stored(spark, sf_dir), "antiguedad_laboral_meses", "tipo_empleo")
     return rounded(df, 9, "pct_nulos")
 
 
 @query
 def weekday_mismatch(spark, sf_dir):
-    return rounded(eda.weekday_mismatch(applications(spark, sf_dir)), 9, "pct_distinto")
+    return rounded(eda.weekday_mismatch(stored(spark, sf_dir)), 9, "pct_distinto")
 
 
 @query
 def pearson_corr(spark, sf_dir):
-    return rounded(eda.pearson_corr(applications(spark, sf_dir), [*NUMERIC, TARGET]), 9, "r")
+    return rounded(eda.pearson_corr(stored(spark, sf_dir), [*NUMERIC, TARGET]), 9, "r")
 
 
 @query
 def spearman_corr(spark, sf_dir):
-    return rounded(eda.spearman_corr(applications(spark, sf_dir), NUMERIC[:4]), 9, "r")
+    return rounded(eda.spearman_corr(stored(spark, sf_dir), NUMERIC[:4]), 9, "r")
 
 
 @query
 def vif(spark, sf_dir):
-    return rounded(eda.vif(applications(spark, sf_dir), VIF_COLUMNS), 6, "vif")
+    return rounded(eda.vif(stored(spark, sf_dir), VIF_COLUMNS), 6, "vif")
 
 
 def _bins(spark, sf_dir):
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     return eda.quantile_bins(df, NUMERIC).unionByName(eda.category_bins(df, CATEGORICAL))
 
 
@@ -631,29 +647,29 @@ def information_value(spark, sf_dir):
 
 @query
 def chi_square(spark, sf_dir):
-    bins = eda.category_bins(applications(spark, sf_dir), [*CATEGORICAL, UNRELIABLE])
+    bins = eda.category_bins(stored(spark, sf_dir), [*CATEGORICAL, UNRELIABLE])
     return rounded(eda.chi_square(bins), 6, "chi2")
 
 
 @query
 def cramers_v(spark, sf_dir):
-    bins = eda.category_bins(applications(spark, sf_dir), [*CATEGORICAL, LEAK])
+    bins = eda.category_bins(stored(spark, sf_dir), [*CATEGORICAL, LEAK])
     return rounded(eda.cramers_v(bins), 6, "v_cramer")
 
 
 @query
 def anova_f(spark, sf_dir):
-    return rounded(eda.anova_f(applications(spark, sf_dir), NUMERIC[:5], "tipo_empleo"), 6, "f")
+    return rounded(eda.anova_f(stored(spark, sf_dir), NUMERIC[:5], "tipo_empleo"), 6, "f")
 
 
 @query
 def levene_test(spark, sf_dir):
-    return rounded(eda.levene_test(applications(spark, sf_dir), NUMERIC[:4], TARGET), 6, "f")
+    return rounded(eda.levene_test(stored(spark, sf_dir), NUMERIC[:4], TARGET), 6, "f")
 
 
 @query
 def breusch_pagan(spark, sf_dir):
-    df = eda.breusch_pagan(applications(spark, sf_dir), TARGET, ["score_buro"])
+    df = eda.breusch_pagan(stored(spark, sf_dir), TARGET, ["score_buro"])
     return rounded(rounded(df, 9, "r2"), 4, "lm")
 
 
@@ -664,7 +680,7 @@ def default_rate_by_month(spark, sf_dir):
 
 @query
 def leakage_screen(spark, sf_dir):
-    df = eda.leakage_screen(applications(spark, sf_dir), NUMERIC, CATEGORICAL)
+    df = eda.leakage_screen(stored(spark, sf_dir), NUMERIC, CATEGORICAL)
     return rounded(df, 6, "iv", "v_cramer", "r")
 
 
@@ -674,7 +690,7 @@ def leakage_screen(spark, sf_dir):
 def job_round(spark, sf_dir):
     """Out-of-time metrics of the chosen model of the chosen round."""
     model = fitted(spark, sf_dir, 4, "logistica")
-    return metrics.eval_summary(model.score(valid(applications(spark, sf_dir)), final=False))
+    return metrics.eval_summary(model.score(valid(stored(spark, sf_dir)), final=False))
 
 
 @query
@@ -682,7 +698,7 @@ def job_policy(spark, sf_dir):
     """Policy tables of the chosen model: realised on labelled validation rows,
     expected on the rest."""
     model = fitted(spark, sf_dir, 4, "logistica")
-    df = applications(spark, sf_dir)
+    df = stored(spark, sf_dir)
     v = write_stage(model.score(valid(df), final=False), "policy-valid")
     t = write_stage(model.score(test(df)), "policy-test")
     return reports.policy_report(v, t)
@@ -708,7 +724,7 @@ def report_tables(spark, sf_dir):
 def _stream(spark, sf_dir, build):
     """Run a stream over the applications written as files, and read its output."""
     source = stage_path(spark, "arrivals")
-    applications(spark, sf_dir).write.parquet(source)
+    stored(spark, sf_dir).write.parquet(source)
     stream = build(jobs.stream_applications(spark, source))
     out, checkpoint = stage_path(spark, "stream-out"), stage_path(spark, "stream-checkpoint")
     jobs.start(stream, out, checkpoint).awaitTermination()
@@ -717,7 +733,7 @@ def _stream(spark, sf_dir, build):
 
 @query
 def stream_score(spark, sf_dir):
-    fill = quality.valid_age_median(train(applications(spark, sf_dir))).first().mediana
+    fill = quality.valid_age_median(train(stored(spark, sf_dir))).first().mediana
 
     def score_rows(rows):
         return quality.clean(rows, fill).withColumn(SCORE, p_proxy())

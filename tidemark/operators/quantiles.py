@@ -27,16 +27,16 @@ def _present(df: DataFrame, value: str, by) -> DataFrame:
 
 
 def _sketch(probabilities) -> Column:
+    """One sketch: lower ends of the brackets, then upper ends."""
     low = [max(0.0, p - MARGIN) for p in probabilities]
     high = [min(1.0, p + MARGIN) for p in probabilities]
-    return F.struct(
-        F.percentile_approx("v", low, SKETCH_ACCURACY).alias("low"),
-        F.percentile_approx("v", high, SKETCH_ACCURACY).alias("high"))
+    return F.percentile_approx("v", low + high, SKETCH_ACCURACY)
 
 
 def _select_exact(bracketed: DataFrame, probabilities, by) -> DataFrame:
-    """``bracketed`` has ``v`` and the bracket arrays ``b.low`` and ``b.high``."""
-    ends = [(F.col("b.low")[i], F.col("b.high")[i]) for i in range(len(probabilities))]
+    """``bracketed`` has ``v`` and the bracket ends ``b`` of :func:`_sketch`."""
+    k = len(probabilities)
+    ends = [(F.col("b")[i], F.col("b")[k + i]) for i in range(k)]
     v = F.col("v")
     inside = reduce(lambda a, b: a | b, [(v >= low) & (v <= high) for low, high in ends])
     passed = reduce(lambda a, b: a + b, [(v > high).cast("int") for _, high in ends])

@@ -24,6 +24,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # no Python stack capture for each column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{key.replace("__", "."): value for key, value in settings.items()},
     }
     for key, value in conf.items():

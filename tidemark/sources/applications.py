@@ -54,81 +54,74 @@ def check_schema(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+# Declared columns of the star-schema tables: reading with a schema spares a
+# job per table that would only open files to infer one.
+TABLES = {
+    "lineitem": "l_orderkey long, l_extendedprice double, l_discount double, "
+                "l_returnflag string, l_linestatus string",
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string",
+    "customer": "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications derived from orders, their lines and their customers.
 
-    Lines are summed per order before the join, so both sides of that join are
+    Prices and discounts are summed as whole hundredths: exact in any order, and
+    cheaper per row than decimals. Lines are summed per order before the join, so both sides of that join are
     already partitioned by order. Nations and regions are fixed lists of 25
     and 5 rows and are joined to the customers, not to the orders.
     """
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").cast("int").alias("n_items"),
-        F.count_if(F.col("l_returnflag") == "R").cast("int").alias("n_r"),
-        F.count_if(F.col("l_returnflag") == "A").cast("int").alias("n_a"),
-        F.count_if(F.col("l_linestatus") == "O").cast("int").alias("n_o"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("int")).cast("int").alias("disc_pts"),
-        F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double").alias("ext"),
-    )
-    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    regions = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    customers = (
-        table(spark, sf_dir, "customer")
-        .select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    )
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    base = (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    )
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    segment, priority = F.col("c_mktsegment"), F.col("o_orderpriority")
-    is_default = ((F.col("n_r") >= 2) & (2 * F.col("n_r") > F.col("n_items"))).cast("int")
-    return base.select(
-        key.alias("id_solicitud"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (key % 530).cast("int")).alias("fecha_solicitud"),
-        (15 + (cust * 37) % 92).cast("int").alias("edad"),
-        _choose(segment, {"BUILDING": "independiente", "FURNITURE": "informal",
-                          "HOUSEHOLD": "jubilado"}, "dependiente").alias("tipo_empleo"),
-        F.when(F.col("c_acctbal") >= 0, F.round(F.col("c_acctbal") * 1000)).alias("ingreso_declarado"),
-        F.when(~segment.isin("FURNITURE", "HOUSEHOLD"), (cust % 240).cast("double"))
-         .alias("antiguedad_laboral_meses"),
-        F.col("r_name").alias("region"),
-        _choose(priority, {"1-URGENT": "digital", "2-HIGH": "digital", "5-LOW": "partner"},
-                "sucursal").alias("canal"),
-        ((cust * 13) % 120).cast("int").alias("antiguedad_cliente_meses"),
-        F.greatest(F.lit(300), 850 - 60 * F.col("n_r") - key % 197).cast("int").alias("score_buro"),
-        F.col("ext").alias("deuda_sistema"),
-        F.col("n_items").alias("num_creditos_vigentes"),
-        ((30 * F.col("n_o")) % 120).cast("int").alias("peor_morosidad_12m"),
-        (is_default * 5 + key % 3).cast("int").alias("num_contactos_ult_trimestre"),
-        F.col("n_a").alias("num_consultas_buro_3m"),
-        ((F.col("disc_pts") * 10).cast("double") / F.col("n_items")).alias("uso_linea_credito_pct"),
-        F.round(F.col("o_totalprice") * 20).alias("monto_solicitado"),
-        F.element_at(F.array(*[F.lit(m) for m in (6, 12, 18, 24, 36, 48)]),
-                     (key % 6).cast("int") + 1).alias("plazo_meses"),
-        ((1800 + (key * 31) % 2500).cast("double") / 100).alias("tasa_interes_anual"),
-        F.element_at(F.array(*[F.lit(d) for d in (
-            "lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo")]),
-            (cust % 7).cast("int") + 1).alias("dia_semana_solicitud"),
-        is_default.alias("default_12m"),
-    )
-
-
-def _choose(column: Column, cases: dict[str, str], other: str) -> Column:
-    result = None
-    for key, value in cases.items():
-        condition = column == key
-        result = F.when(condition, value) if result is None else result.when(condition, value)
-    return result.otherwise(other)
+        F.expr("CAST(COUNT(*) AS INT)").alias("n_items"),
+        F.expr("CAST(COUNT_IF(l_returnflag = 'R') AS INT)").alias("n_r"),
+        F.expr("CAST(COUNT_IF(l_returnflag = 'A') AS INT)").alias("n_a"),
+        F.expr("CAST(COUNT_IF(l_linestatus = 'O') AS INT)").alias("n_o"),
+        F.expr("CAST(SUM(FLOOR(l_discount * 100 + 0.5D)) AS INT)").alias("disc_pts"),
+        F.expr("CAST(SUM(FLOOR(l_extendedprice * 100 + 0.5D)) AS DOUBLE) / 100").alias("ext"))
+    nations = F.broadcast(table(spark, sf_dir, "nation"))
+    regions = F.broadcast(table(spark, sf_dir, "region"))
+    customers = (table(spark, sf_dir, "customer")
+                 .join(nations, F.expr("c_nationkey = n_nationkey"))
+                 .join(regions, F.expr("n_regionkey = r_regionkey")))
+    base = (table(spark, sf_dir, "orders")
+            .join(lines, F.expr("o_orderkey = l_orderkey"))
+            .join(customers, F.expr("o_custkey = c_custkey"))
+            .withColumn("dflt", F.expr("CAST(n_r >= 2 AND 2 * n_r > n_items AS INT)")))
+    return base.selectExpr(
+        "o_orderkey AS id_solicitud",
+        "DATE_ADD(DATE'2024-01-01', CAST(o_orderkey % 530 AS INT)) AS fecha_solicitud",
+        "CAST(15 + (o_custkey * 37) % 92 AS INT) AS edad",
+        """CASE c_mktsegment WHEN 'BUILDING' THEN 'independiente' WHEN 'FURNITURE' THEN 'informal'
+           WHEN 'HOUSEHOLD' THEN 'jubilado' ELSE 'dependiente' END AS tipo_empleo""",
+        "CASE WHEN c_acctbal >= 0 THEN ROUND(c_acctbal * 1000) END AS ingreso_declarado",
+        """CASE WHEN c_mktsegment NOT IN ('FURNITURE', 'HOUSEHOLD')
+           THEN CAST(o_custkey % 240 AS DOUBLE) END AS antiguedad_laboral_meses""",
+        "r_name AS region",
+        """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'digital'
+           WHEN o_orderpriority = '5-LOW' THEN 'partner' ELSE 'sucursal' END AS canal""",
+        "CAST((o_custkey * 13) % 120 AS INT) AS antiguedad_cliente_meses",
+        "CAST(GREATEST(300, 850 - 60 * n_r - o_orderkey % 197) AS INT) AS score_buro",
+        "ext AS deuda_sistema",
+        "n_items AS num_creditos_vigentes",
+        "CAST((30 * n_o) % 120 AS INT) AS peor_morosidad_12m",
+        "CAST(dflt * 5 + o_orderkey % 3 AS INT) AS num_contactos_ult_trimestre",
+        "n_a AS num_consultas_buro_3m",
+        "CAST(disc_pts * 10 AS DOUBLE) / n_items AS uso_linea_credito_pct",
+        "CAST(FLOOR(o_totalprice * 20 + 0.5D) AS DOUBLE) AS monto_solicitado",
+        "ELEMENT_AT(ARRAY(6, 12, 18, 24, 36, 48), CAST(o_orderkey % 6 AS INT) + 1) AS plazo_meses",
+        "CAST(1800 + (o_orderkey * 31) % 2500 AS DOUBLE) / 100 AS tasa_interes_anual",
+        """ELEMENT_AT(ARRAY('lunes', 'martes', 'miercoles', 'jueves', 'viernes', 'sabado', 'domingo'),
+           CAST(o_custkey % 7 AS INT) + 1) AS dia_semana_solicitud""",
+        "dflt AS default_12m")
 
 
 def p_proxy() -> Column:
     """A fixed score with many ties, for checks that need no fitted model."""
-    return F.greatest(F.lit(5), F.least(F.lit(900), 850 - F.col("score_buro"))).cast("double") / 1000
+    return F.expr("CAST(LEAST(900, GREATEST(5, 850 - score_buro)) AS DOUBLE) / 1000")
