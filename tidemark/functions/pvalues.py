@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_tail(x: float, dof: float) -> float:
@@ -58,11 +59,11 @@ def _beta(a: float, b: float, t: float) -> float:
     return math.exp(front) / (a * fraction)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(*pair) for pair in zip(x, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_p_value(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([f_tail(*triple) for triple in zip(x, d1, d2)], dtype="float64")

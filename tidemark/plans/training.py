@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -20,9 +22,10 @@ from tidemark.operators.encode import FEATURES, SCALED, NoCenterScaler, feature_
 from tidemark.operators.metrics import eval_summary
 from tidemark.plans.rounds import SMOTE_RATIOS, RoundConfig
 from tidemark.schema import ID, SCORE, TARGET
-from tidemark.session import write_stage
+from tidemark.session import spread, write_stage
 
 BRIER_TOLERANCE = 1.10
+PARALLEL_FITS = 4
 
 # The boosting settings tried, leaf-wise and depth-wise.
 LEAFWISE_GRID = [
@@ -120,7 +123,7 @@ class Trainer:
         self.features: PipelineModel = Pipeline(stages=cfg.feature_stages()).fit(fit)
         prepared = self.features.transform(fit)
         self.names = feature_names(prepared)
-        self.frame = write_stage(prepared.select(ID, TARGET, FEATURES), "fit-frame")
+        self.frame = write_stage(spread(prepared.select(ID, TARGET, FEATURES), ID), "fit-frame")
         sizes = class_weights(self.frame).first()
         self.weights = {"logistica": (sizes.peso_pos, sizes.peso_neg)}
         self.boost_weights = (sizes.scale_pos_weight, 1.0)
@@ -134,7 +137,7 @@ class Trainer:
             frame = self.frame
             if ratio is not None:
                 self._space = self._space or MinoritySpace(self.frame)
-                frame = write_stage(smote(self.frame, ratio, self._space), "resampled")
+                frame = write_stage(spread(smote(self.frame, ratio, self._space), ID), "resampled")
             n, pos = frame.agg(F.count("*"), F.sum(TARGET)).first()
             self._resampled[ratio] = (frame, n, pos / n)
         return self._resampled[ratio]
@@ -190,9 +193,15 @@ def search(trainer: Trainer, valid: DataFrame, grid: list[Candidate]) -> DataFra
     side in one pass, and one grouped job measures every candidate.
     """
     scored = trainer.features.transform(valid).select(ID, TARGET, FEATURES)
-    for i, candidate in enumerate(grid):
-        for stage in trainer.fit(candidate, f"_{i}"):
-            scored = stage.transform(scored)
+    for ratio in {c.ratio for c in grid}:
+        trainer.resampled(ratio)
+    # independent fits share the cluster; the driver only submits their jobs
+    with ThreadPool(PARALLEL_FITS) as pool:
+        fit = inheritable_thread_target(scored.sparkSession)(
+            lambda item: trainer.fit(item[1], f"_{item[0]}"))
+        fits = pool.map(fit, enumerate(grid), chunksize=1)
+    for stage in chain.from_iterable(fits):
+        scored = stage.transform(scored)
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("posicion"), F.col(f"{SCORE}_{i}").alias(SCORE)) for i in range(len(grid))]))
     long = write_stage(scored.select(TARGET, pairs.alias("c")).select(TARGET, "c.*"), "candidate-scores")
