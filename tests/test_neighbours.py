@@ -29,6 +29,22 @@ def small_cells(monkeypatch):
     monkeypatch.setattr(knn, "PART_QUERIES", 32)
 
 
+def test_search_inside_a_task(monkeypatch):
+    """Many leaves, ties and copies against all distances at once."""
+    monkeypatch.setattr(knn, "LEAF_DONORS", 8)
+    monkeypatch.setattr(knn, "GAP_CELLS", 50)
+    rng = np.random.default_rng(2)
+    donors = np.unique(rng.integers(0, 12, (400, 3)), axis=0).astype(float)
+    values = rng.integers(0, 5, len(donors)).astype(float)
+    points = rng.integers(-3, 15, (150, 3)).astype(float)
+    row, dist, value, donor = knn._local(points, donors, values, 4, 1.5)
+    D = ((points[:, None] - donors[None]) ** 2).sum(-1) * 1.5
+    for i in range(len(points)):
+        best = np.lexsort((values, D[i]))[:4]
+        assert dist[row == i].tolist() == D[i, best].tolist()
+        assert value[row == i].tolist() == values[best].tolist()
+
+
 @pytest.mark.parametrize("copies", [0.0, 0.4])
 def test_knn_mean_equals_brute_force(spark, small_cells, copies):
     """Many cells and parts; in the second case 40 % of the rows are copies."""

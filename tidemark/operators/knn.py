@@ -4,8 +4,10 @@ Donors are split into cells of a k-d tree whose cuts come from a bounded
 sample; the sample decides only where work goes, never the answer. A first
 round searches each query's own cell and yields an upper bound on its k-th
 distance. A second round sends the query only to the other cells whose
-bounding box lies within that bound. Equal donors are one row with a count, so
-copies cannot swell a cell, and a cell is searched in parts of bounded size.
+bounding box lies within that bound. Inside a task the same two steps are
+repeated on small leaves, so a query meets few donors even in a full cell.
+Equal donors are one row with a count, so copies cannot swell a cell, and a
+cell is searched in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from tidemark.session import write_stage
 
-CELL_DONORS = 2_048         # donors a cell should hold
-MAX_CELLS = 4_096           # cells per class; they are listed on the driver
-SAMPLE_DONORS = 65_536      # donors sampled per class to place the cuts
-PART_QUERIES = 1_024        # rows handled together by one search
-PART_DONORS = 4_096
+CELL_DONORS = 16_384        # donors a cell should hold
+MAX_CELLS = 65_536          # cells per class; their boxes are listed on the driver
+SAMPLE_DONORS = 262_144     # donors sampled per class to place the cuts
+PART_QUERIES = 32_768       # rows handled together by one search
+PART_DONORS = 131_072
+LEAF_DONORS = 512           # donors compared at once inside a search
+GAP_CELLS = 4_000_000       # entries of one query-by-box table
 CELL = ["cls", "leaf"]
 PART = CELL + ["qpart", "dpart"]
 
@@ -98,6 +102,75 @@ def _boxes(donors: DataFrame, width: int) -> dict:
 
 # --- search -----------------------------------------------------------------
 
+def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance from each point to each box."""
+    gap = np.zeros((len(points), len(low)))
+    for j in range(points.shape[1]):
+        x = points[:, j, None]
+        gap += np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0) ** 2
+    return gap
+
+
+def _reachable(points, low, high, factor, bound):
+    """Pairs (point, box) closer than each point's bound, in bounded chunks."""
+    step = max(1, GAP_CELLS // max(1, len(low)))
+    for at in range(0, len(points), step):
+        gap = _gaps(points[at:at + step], low, high) * factor
+        row, box = np.nonzero(gap <= bound[at:at + step, None] * (1 + 1e-9))
+        yield row + at, box
+
+
+def _first_k(row, dist, value, donor, k):
+    """The k best entries of each row: by distance, then by value."""
+    order = np.lexsort((value, dist, row))
+    row, dist, value, donor = row[order], dist[order], value[order], donor[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], dist[keep], value[keep], donor[keep]
+
+
+def _compare(points, rows, others, members, values, k, factor):
+    """All distances between a few points and the donors of one leaf."""
+    dist = np.zeros((len(rows), len(members)))
+    for j in range(points.shape[1]):
+        dist += (points[rows, j, None] - others[None, members, j]) ** 2
+    dist *= factor
+    if dist.shape[1] > k:
+        row, col = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1, None])
+    else:
+        row, col = np.indices(dist.shape).reshape(2, -1)
+    return _first_k(rows[row], dist[row, col], values[members[col]], members[col], k)
+
+
+def _local(points, others, values, k, factor):
+    """The k nearest donors of each point: (row, distance, value, donor) arrays."""
+    depth = int(np.ceil(np.log2(max(1, len(others) / LEAF_DONORS))))
+    tree = _grow(others, depth)
+    donor_leaf, own = _descend(tree, others), _descend(tree, points)
+    leaves, starts = np.unique(np.sort(donor_leaf), return_index=True)
+    order = np.argsort(donor_leaf, kind="stable")
+    members = dict(zip(leaves, np.split(order, starts[1:])))
+    found = [_compare(points, np.nonzero(own == leaf)[0], others, inside, values, k, factor)
+             for leaf, inside in members.items() if (own == leaf).any()]
+    if len(leaves) > 1:
+        bound = np.full(len(points), np.inf)
+        for row, dist, _, _ in found:
+            counts = np.bincount(row, minlength=len(points))
+            full = np.nonzero(counts >= k)[0]
+            bound[full] = np.minimum(bound[full], dist[np.searchsorted(row, full) + k - 1])
+        low = np.minimum.reduceat(others[order], starts)
+        high = np.maximum.reduceat(others[order], starts)
+        pairs = [(r, b) for r, b in _reachable(points, low, high, factor, bound)]
+        row, box = (np.concatenate(part) for part in zip(*pairs))
+        elsewhere = leaves[box] != own[row]
+        row, box = row[elsewhere], box[elsewhere]
+        by_box = np.argsort(box, kind="stable")
+        row, box = row[by_box], box[by_box]
+        visited, first = np.unique(box, return_index=True)
+        for b, rows in zip(visited, np.split(row, first[1:])):
+            found.append(_compare(points, rows, others, members[leaves[b]], values, k, factor))
+    return _first_k(*(np.concatenate(part) for part in zip(*found)), k)
+
+
 def _search(queries: DataFrame, donors: DataFrame, k: int, factors: dict, value_type: str) -> DataFrame:
     """Best donors of each query within the cell it was sent to."""
     parts = (
@@ -119,23 +192,11 @@ def _search(queries: DataFrame, donors: DataFrame, k: int, factors: dict, value_
     def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
             return pd.DataFrame({"qid": [], "d": [], "value": [], "n": []})
-        points, others = np.stack(q["vec"].to_numpy()), np.stack(d["vec"].to_numpy())
-        dist = np.zeros((len(points), len(others)))
-        for j in range(points.shape[1]):
-            dist += (points[:, j, None] - others[None, :, j]) ** 2
-        dist *= factors[q["cls"].iloc[0]]
-        if dist.shape[1] > k:
-            limit = np.partition(dist, k - 1, axis=1)[:, k - 1]
-            row, col = np.nonzero(dist <= limit[:, None])
-        else:
-            row, col = np.nonzero(np.ones(dist.shape, dtype=bool))
-        found, value = dist[row, col], d["value"].to_numpy()[col]
-        order = np.lexsort((value, found, row))
-        row, col, found, value = row[order], col[order], found[order], value[order]
-        start = np.searchsorted(row, row, side="left")
-        keep = np.arange(len(row)) - start < k
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[row[keep]], "d": found[keep],
-                             "value": value[keep], "n": d["n"].to_numpy()[col[keep]]})
+        row, dist, value, donor = _local(
+            np.stack(q["vec"].to_numpy()), np.stack(d["vec"].to_numpy()), d["value"].to_numpy(), k,
+            factors[q["cls"].iloc[0]])
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[row], "d": dist, "value": value,
+                             "n": d["n"].to_numpy()[donor]})
 
     return spread_q.groupBy(*PART).cogroup(spread_d.groupBy(*PART)).applyInPandas(
         best, f"qid long, d double, value {value_type}, n long")
@@ -186,23 +247,14 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, factors: dict[int, fl
                     continue
                 leaves, box = boxes[cls]
                 width = box.shape[1] // 2
-                points = np.stack(rows["vec"].to_numpy())
-                # chunks keep the query-by-cell table small
-                for at in range(0, len(rows), PART_QUERIES):
-                    part, chunk = points[at:at + PART_QUERIES], rows.iloc[at:at + PART_QUERIES]
-                    gap = np.zeros((len(part), len(leaves)))
-                    for j in range(width):
-                        x = part[:, j, None]
-                        outside = np.maximum(np.maximum(box[:, j] - x, x - box[:, width + j]), 0)
-                        gap += outside ** 2
-                    near = gap * factors[cls] <= chunk["bound"].to_numpy()[:, None] * (1 + 1e-9)
-                    near &= leaves[None, :] != chunk["leaf"].to_numpy()[:, None]
-                    row, cell = np.nonzero(near)
-                    if not len(row):
-                        continue
-                    yield pd.DataFrame({
-                        "qid": chunk["qid"].to_numpy()[row], "cls": cls, "leaf": leaves[cell],
-                        "vec": [part[i] for i in row]})
+                points, home = np.stack(rows["vec"].to_numpy()), rows["leaf"].to_numpy()
+                for row, cell in _reachable(points, box[:, :width], box[:, width:], factors[cls],
+                                            rows["bound"].to_numpy()):
+                    elsewhere = leaves[cell] != home[row]
+                    row, cell = row[elsewhere], cell[elsewhere]
+                    if len(row):
+                        yield pd.DataFrame({"qid": rows["qid"].to_numpy()[row], "cls": cls,
+                                            "leaf": leaves[cell], "vec": [points[i] for i in row]})
 
     routed = write_stage(
         bounded.mapInPandas(route, "qid long, cls int, leaf int, vec array<double>"), "knn-routes")
