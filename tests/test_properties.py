@@ -131,3 +131,28 @@ def test_breusch_pagan_two_regressors(noisy):
     fitted = X @ np.linalg.lstsq(X, e2, rcond=None)[0]
     r2 = 1 - ((e2 - fitted) ** 2).sum() / ((e2 - e2.mean()) ** 2).sum()
     assert eda.breusch_pagan(df, "default_12m", ["x", "p_default"]).first().lm == pytest.approx(len(frame) * r2, rel=1e-6)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().toString().split("== Initial Plan ==")[0]
+
+
+def test_scores_are_read_once(spark, tmp_path, noisy):
+    """The branches of the curve share one shuffle of the counted scores."""
+    path = str(tmp_path / "scored")
+    noisy[0].write.parquet(path)
+    stored = spark.read.parquet(path)
+    for frame in (metrics.eval_summary(stored), metrics.eval_summary(stored, by=["g"])):
+        plan = final_plan(frame)
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_no_query_plan_has_a_cross_join(spark, apps):
+    frames = [
+        metrics.decile_table(apps), metrics.score_hist(apps, metrics.hist_max(apps)),
+        policy.gain_curve(policy.add_economics(apps)), quality.clean(apps, quality.valid_age_median(apps).scalar()),
+        eda.quantile_bins(apps, ["edad", "score_buro"]), eda.spearman_corr(apps, ["edad", "score_buro"])]
+    for frame in frames:
+        plan = final_plan(frame)
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -35,7 +35,8 @@ def score_counts(scored: DataFrame, score: str = SCORE, target: str | None = TAR
 
 def _band(score: Column) -> Column:
     unit = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-    return F.floor(unit * F.lit(float(BANDS))).cast("int")
+    # floor is declared nullable; see score_counts on why the band must not be
+    return F.coalesce(F.floor(unit * F.lit(float(BANDS))).cast("int"), F.lit(0))
 
 
 def score_curve(counts: DataFrame, by=()) -> DataFrame:
