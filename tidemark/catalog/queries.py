@@ -17,7 +17,7 @@ from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
 from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
                              feature_columns)
-from tidemark.session import stage_path, write_stage
+from tidemark.session import spread, stage_path, write_stage
 from tidemark.sources import sinks
 from tidemark.sources.applications import (LABELLED_UNTIL, applications, p_proxy,
                                            read_applications)
@@ -46,7 +46,7 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 def _stored(session_id: str, sf_dir: str) -> str:
     spark = SparkSession.getActiveSession()
     path = stage_path(spark, "applications")
-    applications(spark, sf_dir).sortWithinPartitions("fecha_solicitud").write.parquet(path)
+    spread(applications(spark, sf_dir), ID).sortWithinPartitions("fecha_solicitud").write.parquet(path)
     return path
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,36 +64,33 @@ def _days(rows) -> np.ndarray:
 
 
 @cache
-def _calendar_rows() -> list[tuple]:
+def _calendar() -> pa.Table:
     """One row per day between the first and the last knot of either series.
 
-    Values are interpolated between knots and held flat outside; the ``step``
-    caps are those of the last certificate on or before the day.
+    Values are interpolated between knots and held flat outside; the
+    ``_vigente`` caps are those of the last certificate on or before the day.
     """
     cap_days, uf_days = _days(RATE_CAPS), _days(UF_VALUES)
     days = np.arange(min(cap_days[0], uf_days[0]), max(cap_days[-1], uf_days[-1]) + 1)
-    columns = [np.interp(days, uf_days, [row[1] for row in UF_VALUES])]
+    columns = {"dia": pa.array([dt.date.fromordinal(int(day)) for day in days], pa.date32()),
+               "uf": np.interp(days, uf_days, [row[1] for row in UF_VALUES])}
     in_force = np.clip(np.searchsorted(cap_days, days, side="right") - 1, 0, None)
-    for band in (1, 2, 3):
-        knots = np.array([row[band] for row in RATE_CAPS])
-        columns += [np.interp(days, cap_days, knots), knots[in_force]]
-    return [(dt.date.fromordinal(int(day)), *map(float, values))
-            for day, *values in zip(days, *columns)]
+    for position, band in enumerate(("tope_50", "tope_200", "tope_5000"), 1):
+        knots = np.array([row[position] for row in RATE_CAPS])
+        columns[band] = np.interp(days, cap_days, knots)
+        columns[f"{band}_vigente"] = knots[in_force]
+    return pa.table(columns)
 
 
 def rate_calendar(spark: SparkSession) -> DataFrame:
     """The reference series by day. Its length is fixed by the knots above
     (under 500 rows), which is what makes broadcasting it safe."""
-    return spark.createDataFrame(_calendar_rows(), """
-        dia date, uf double,
-        tope_50 double, tope_50_vigente double,
-        tope_200 double, tope_200_vigente double,
-        tope_5000 double, tope_5000_vigente double""")
+    return spark.createDataFrame(_calendar())
 
 
 def calendar_bounds() -> tuple[dt.date, dt.date]:
-    rows = _calendar_rows()
-    return rows[0][0], rows[-1][0]
+    days = _calendar()["dia"]
+    return days[0].as_py(), days[-1].as_py()
 
 
 def with_rate_cap(df: DataFrame, day: str = "fecha_solicitud",
