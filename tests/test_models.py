@@ -95,7 +95,7 @@ def test_round_with_oversampling(labelled, spark, tmp_path):
     frame, n, rate = t.resampled(0.5)
     assert rate == pytest.approx(1 / 3, abs=1e-2) and frame.count() == n
     model = t.model(grid[1])
-    sinks.save_model(model, t.names, str(tmp_path / "m"))
+    sinks.save_model(spark, model, t.names, str(tmp_path / "m"))
     again = sinks.load_model(str(tmp_path / "m"))
     rows = cfg.valid(labelled)
     a, b = (m.transform(rows).select("id_solicitud", "p_default").orderBy("id_solicitud").collect()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
@@ -42,20 +42,27 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@cache
-def _stored(session_id: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    path = stage_path(spark, "applications")
-    spread(applications(spark, sf_dir), ID).sortWithinPartitions("fecha_solicitud").write.parquet(path)
-    return path
+_SHARED: dict = {}
+
+
+def shared(spark, key: tuple, build: Callable):
+    """Build once per application; later queries reuse the result."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
 
 
 def stored(spark, sf_dir) -> DataFrame:
-    """The applications table: derived once per session and kept in the shared
-    folder, as a user would keep it. Queries then read only the columns they
-    need, and date windows skip row groups."""
-    path = _stored(spark.sparkContext.applicationId, sf_dir)
-    return spark.read.schema(APPLICATIONS).parquet(path)
+    """The applications table: derived once per application and kept in the
+    shared folder, as a user would keep it. Queries then read only the columns
+    they need, and date windows skip row groups."""
+    def write():
+        path = stage_path(spark, "applications")
+        spread(applications(spark, sf_dir), ID).sortWithinPartitions("fecha_solicitud").write.parquet(path)
+        return path
+
+    return spark.read.schema(APPLICATIONS).parquet(shared(spark, ("applications", sf_dir), write))
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -128,7 +135,7 @@ def report_json(spark, sf_dir):
 def model_reload(spark, sf_dir):
     model = fitted(spark, sf_dir, 4, "logistica")
     path = stage_path(spark, "model")
-    sinks.save_model(model.final, model.names, path)
+    sinks.save_model(spark, model.final, model.names, path)
     return sinks.load_model(path).transform(test(stored(spark, sf_dir))).select(ID, SCORE)
 
 
@@ -349,27 +356,16 @@ QUERIES["hard_predict"] = QUERIES.pop("hard_predict_score")
 
 # --- models -----------------------------------------------------------------
 
-@cache
-def _trainer(session_id: str, sf_dir: str, number: int) -> training.Trainer:
-    spark = SparkSession.getActiveSession()
-    cfg = ROUNDS[number]
-    return training.Trainer(cfg, cfg.train(labelled(stored(spark, sf_dir))), QUERY_TREES)
-
-
 def trainer(spark, sf_dir, number) -> training.Trainer:
-    """Prepared fit frames are shared by the queries of a session."""
-    return _trainer(spark.sparkContext.applicationId, sf_dir, number)
-
-
-@cache
-def _fitted(session_id: str, sf_dir: str, number: int, family: str) -> training.FittedRound:
-    spark = SparkSession.getActiveSession()
-    return training.fit_round(ROUNDS[number], labelled(stored(spark, sf_dir)), family, QUERY_TREES,
-                              trainer(spark, sf_dir, number))
+    """Prepared fit frame of a round's training window."""
+    cfg = ROUNDS[number]
+    return shared(spark, ("trainer", sf_dir, number), lambda: training.Trainer(
+        cfg, cfg.train(labelled(stored(spark, sf_dir))), QUERY_TREES))
 
 
 def fitted(spark, sf_dir, number, family) -> training.FittedRound:
-    return _fitted(spark.sparkContext.applicationId, sf_dir, number, family)
+    return shared(spark, ("fitted", sf_dir, number, family), lambda: training.fit_round(
+        ROUNDS[number], labelled(stored(spark, sf_dir)), family, QUERY_TREES, trainer(spark, sf_dir, number)))
 
 
 def _search(spark, sf_dir, number, family):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import with_rate_cap
 from tidemark.operators.quantiles import exact_median
-from tidemark.schema import DATE, QUALITY_FLAGS
+from tidemark.schema import DATE, MONTH, QUALITY_FLAGS
 
 MIN_AGE, MAX_AGE = 18, 100
 INCOME_FLOOR = 200_000
@@ -61,11 +61,17 @@ def quality_summary(cleaned: DataFrame, by: list[str]) -> DataFrame:
 # --- time windows -----------------------------------------------------------
 
 def between_dates(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """Half-open window [start, end); either end may be open."""
+    """Half-open window [start, end); either end may be open.
+
+    A table partitioned by month is also filtered on its ``mes`` folders.
+    """
+    monthly = MONTH in df.columns
     if start:
         df = df.where(F.col(DATE) >= F.lit(start).cast("date"))
+        df = df.where(F.col(MONTH) >= start[:7]) if monthly else df
     if end:
         df = df.where(F.col(DATE) < F.lit(end).cast("date"))
+        df = df.where(F.col(MONTH) <= end[:7]) if monthly else df
     return df
 
 

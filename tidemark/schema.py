@@ -8,6 +8,7 @@ ID = "id_solicitud"
 DATE = "fecha_solicitud"
 TARGET = "default_12m"
 SCORE = "p_default"
+MONTH = "mes"          # partition folder of a stored table, as yyyy-MM
 
 APPLICATIONS = T.StructType([
     T.StructField("id_solicitud", T.LongType()),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import APPLICATIONS, DATE, TARGET
+from tidemark.schema import APPLICATIONS, DATE, ID, MONTH, TARGET
 
 # The last labelled day; later applications have no outcome yet.
 LABELLED_UNTIL = "2025-02-15"
@@ -33,11 +33,18 @@ def read_applications(spark: SparkSession, path: str, fmt: str = "csv",
     return nan_to_null(reader.format(fmt).load(path))
 
 
-def write_applications(df: DataFrame, path: str) -> None:
-    """Columnar copy partitioned by month, so time windows prune whole folders."""
-    (df.withColumn("mes", F.date_format(DATE, "yyyy-MM"))
-       .repartition("mes", F.pmod(F.xxhash64("id_solicitud"), F.lit(64)))
-       .write.partitionBy("mes").parquet(path))
+def write_applications(df: DataFrame, path: str, files_per_month: int = 64) -> None:
+    """Columnar copy partitioned by month, so time windows prune whole folders.
+    A month is spread over several tasks: one of them may hold a third of all rows."""
+    salt = F.pmod(F.xxhash64(ID), F.lit(files_per_month))
+    (df.withColumn(MONTH, F.date_format(DATE, "yyyy-MM")).repartition(MONTH, salt)
+       .sortWithinPartitions(MONTH, DATE).write.partitionBy(MONTH).parquet(path))
+
+
+def read_monthly(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by :func:`write_applications`, with its ``mes`` column."""
+    schema = T.StructType([*APPLICATIONS.fields, T.StructField(MONTH, T.StringType())])
+    return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
 def check_schema(df: DataFrame, columns: list[str]) -> DataFrame:

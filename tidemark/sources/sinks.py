@@ -51,10 +51,9 @@ def write_report(tables: DataFrame, path: str, fmt: str = "json") -> None:
     tables.write.format(fmt).save(path)
 
 
-def save_model(model: PipelineModel, names: list[str], path: str) -> None:
+def save_model(spark: SparkSession, model: PipelineModel, names: list[str], path: str) -> None:
     """The fitted stages with their learned values, and the feature names."""
     model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
     rows = list(enumerate(names))
     spark.createDataFrame(rows, "posicion int, feature string").write.mode("overwrite").parquet(f"{path}/features")
 
