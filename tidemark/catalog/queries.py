@@ -368,10 +368,10 @@ def fitted(spark, sf_dir, number, family) -> training.FittedRound:
         ROUNDS[number], labelled(stored(spark, sf_dir)), family, QUERY_TREES, trainer(spark, sf_dir, number)))
 
 
-def _search(spark, sf_dir, number, family):
+def _search(spark, sf_dir, number, *families):
     cfg = ROUNDS[number]
-    return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(stored(spark, sf_dir))),
-                           training.candidates(cfg, family))
+    grid = [c for family in families for c in training.candidates(cfg, family)]
+    return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(stored(spark, sf_dir))), grid)
 
 
 @query
@@ -396,7 +396,7 @@ def grid_smote_logit(spark, sf_dir):
 
 @query
 def grid_smote_tree(spark, sf_dir):
-    return _search(spark, sf_dir, 3, "profundidad")
+    return _search(spark, sf_dir, 3, "hojas", "profundidad")
 
 
 # Fixed scores standing in for fitted candidates, so that selection over

@@ -58,10 +58,12 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core for a frame that is about to be read many times; a frame
-    that already has more partitions than cores is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """Even out a frame that is about to be written once and read many times.
+
+    A unique key breaks up whatever clustering the last join left, such as one
+    customer with a third of the rows. The number of partitions is left to AQE.
+    """
+    return df.repartition(key)
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
