@@ -66,6 +66,12 @@ def test_knn_mean_equals_brute_force(spark, small_cells, copies):
         assert got.loc[missing, f"knn_{c}"].to_numpy() == pytest.approx(expected[missing], rel=1e-12)
 
 
+def test_cells_stay_balanced_when_values_repeat():
+    points = np.column_stack([np.where(np.arange(640) % 10 < 6, 100.0, 0.0), np.arange(640) % 64])
+    leaves = knn._descend(knn._grow(points, 4), points)
+    assert np.bincount(leaves, minlength=16).max() <= 80
+
+
 def test_fewer_donors_than_neighbours(spark):
     df = spark.createDataFrame([(1, None, 0.0), (2, 4.0, 1.0), (3, 8.0, 9.0)], "id_solicitud long, a double, b double")
     assert knn.knn_mean(df, df, ["a", "b"], ["a"], 10).first().knn_a == 6.0

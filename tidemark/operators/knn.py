@@ -44,7 +44,11 @@ def _grow(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         part = members.pop(node)
         if len(part):
             dims[node] = np.argmax(np.ptp(part, axis=0))
-            cuts[node] = np.median(part[:, dims[node]])
+            along = part[:, dims[node]]
+            cuts[node] = np.median(along)
+            # many donors may share the largest value: cut just below it
+            if cuts[node] == along.max() > along.min():
+                cuts[node] = along[along < along.max()].max()
         right = part[:, dims[node]] > cuts[node]
         members[2 * node + 1], members[2 * node + 2] = part[~right], part[right]
     return dims, cuts
