@@ -166,24 +166,30 @@ def _hashed(lines) -> list[int]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """row_id, host, path, url, and of each line its hash, its role and its words."""
+    """row_id, host, path, url, and of each line its hash, its role and its words; same: hash of all lines."""
     @F.pandas_udf("hashes array<long>, roles array<int>, words array<int>")
     def outline(htmls: pd.Series) -> pd.DataFrame:
         pages = [lines_of(h or "") for h in htmls]
         return pd.DataFrame({"hashes": [_hashed(p) for p in pages], "roles": [[r for _, r in p] for p in pages],
                              "words": [[line.count(" ") + 1 for line, _ in p] for p in pages]})
     rows = with_row_id(pages.select("page_id", "url", "html"), "row_id")
-    return rows.withColumn("o", outline("html")).select("row_id", host("url").alias("host"), path("url").alias("path"), "url", "o.*")
+    return (rows.withColumn("o", outline("html")).select("row_id", host("url").alias("host"), path("url").alias("path"), "url", "o.*")
+            .withColumn("same", F.xxhash64(F.size("hashes"), "hashes")))
 
 
 def frame_lines(pages: DataFrame) -> DataFrame:
-    """row_id and the places of the lines that a neighbouring page shares; pages without any are left out."""
-    lined = prefix_sum(outlines(pages).withColumn("one", F.lit(1).cast("long")),
-                       [F.col("host"), F.col("path"), F.col("url"), F.col("row_id")], "one", "place", "page-order").drop("one")
-    other = lined.select("host", F.col("place").alias("p"), F.struct("path", "hashes", "words").alias("n"))
+    """row_id and the places of the lines that a neighbouring page shares; pages without any are left out.
+
+    Pages of a host with equal lines are one page here, at the place of the first of them.
+    """
+    outlined = write_stage(outlines(pages), "page-outlines")
+    firsts = (outlined.groupBy("host", "same").agg(F.min(F.struct("path", "url", "row_id")).alias("k"))
+              .select("host", "same", F.col("k.row_id").alias("row_id")))
+    distinct = outlined.join(firsts.select("row_id"), "row_id").withColumn("one", F.lit(1).cast("long"))
+    lined = prefix_sum(distinct, [F.col("host"), F.col("path"), F.col("url"), F.col("row_id")], "one", "place", "page-order").drop("one")
+    other = lined.select("host", F.col("place").alias("p"), F.struct("hashes", "words").alias("n"))
     sides = [lined.alias("l").join(other.alias("o"), (F.col("l.host") == F.col("o.host")) & (F.col("o.p") == F.col("l.place") + d))
-             .select("row_id", F.col("l.path").alias("path"), "hashes", "roles", "words",
-                     F.col("n.path").alias("other_path"), F.col("n.hashes").alias("others"), F.col("n.words").alias("other_words"))
+             .select("l.host", "same", "hashes", "roles", "words", F.col("n.hashes").alias("others"), F.col("n.words").alias("other_words"))
              for d in (-1, 1)]
 
     @F.pandas_udf("array<int>")
@@ -195,9 +201,11 @@ def frame_lines(pages: DataFrame) -> DataFrame:
             out.append([] if same >= COPY * min(int(np.sum(w)), int(np.sum(v))) else places)
         return pd.Series(out)
 
-    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r == PLAIN)).withColumn(
+    # a page whose lines all have a role from the markup needs no neighbour
+    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r == PLAIN) & ~F.exists("roles", lambda r: r == MAIN)).withColumn(
         "places", common("hashes", "words", "others", "other_words"))
-    return found.where(F.size("places") > 0).groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    merged = found.where(F.size("places") > 0).groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    return outlined.select("row_id", "host", "same").join(merged, ["host", "same"]).select("row_id", "places")
 
 
 def extract(pages: DataFrame) -> DataFrame:

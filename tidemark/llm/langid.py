@@ -143,5 +143,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                     flush()
         flush()
         return pd.DataFrame({"lang_pred": lang, "score": score})
-    out = docs.withColumn("_p", predicted(text)).select(*docs.columns, "_p.lang_pred", "_p.score")
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]      # columns of these names are replaced
+    out = docs.withColumn("_p", predicted(text)).select(*own, "_p.lang_pred", "_p.score")
     return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.reject_below))

@@ -83,6 +83,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` takes it."""
-    taken = mixed.where("copies > 0").select(F.col("row_id").alias("_row"), "copies")
+    taken = mixed.where("copies > 0").select(F.col("row_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
     out = with_row_id(docs, "_row").join(taken, "_row")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
