@@ -36,7 +36,7 @@ def labelled(apps):
 @pytest.fixture(scope="module")
 def trainer(labelled):
     cfg = ROUNDS[4]
-    return training.Trainer(cfg, cfg.train(labelled), max_trees=3)
+    return training.Trainer(cfg, cfg.train(labelled))
 
 
 def test_logistic_minimises_the_same_loss(trainer):
@@ -86,7 +86,7 @@ def test_unseen_label_encodes_as_zeros(spark, trainer, labelled):
 
 def test_round_with_oversampling(labelled, spark, tmp_path):
     cfg = ROUNDS[3]
-    t = training.Trainer(cfg, cfg.train(labelled), max_trees=2)
+    t = training.Trainer(cfg, cfg.train(labelled))
     assert "tasa_interes_anual" not in t.names
     grid = [training.Candidate("profundidad", (("max_depth", 3), ("learning_rate", .1), ("n_estimators", 2),
                                                ("min_child_weight", 5)), ratio=r) for r in (None, 0.5)]

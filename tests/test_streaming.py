@@ -1,7 +1,6 @@
 """Streams agree with the batch result and count an application once."""
 
-import datetime as dt
-
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import policy
@@ -24,14 +23,32 @@ def test_scores_equal_batch(spark, apps, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_repeated_reports_count_once(spark, apps, tmp_path):
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_rates_do_not_depend_on_batches(spark, apps, tmp_path, files):
+    """Shuffled arrivals, each file a batch, every application reported twice."""
     rows = apps.drop("p_default")
-    source = str(tmp_path / "in")
-    rows.unionByName(rows).coalesce(1).write.parquet(source)
-    stream = jobs.stream_applications(spark, source).withColumn("p_default", p_proxy())
-    got = {r.desde: r.n for r in run(jobs.stream_default_rate(stream), tmp_path, "out").collect()}
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.unionByName(rows).repartition(files, F.xxhash64("id_solicitud", F.rand(3))).write.parquet(source)
+    stream = jobs.stream_applications(spark, source, maxFilesPerTrigger=1).withColumn("p_default", p_proxy())
+    jobs.start_complete(jobs.stream_default_rate(stream), out, str(tmp_path / "state")).awaitTermination()
+    got = {r.desde: (r.n, round(r.tasa_observada, 9)) for r in spark.read.parquet(out).collect()}
     start = F.window(F.col("fecha_solicitud").cast("timestamp"), "30 days").start
-    want = {r[0]: r[1] for r in rows.groupBy(F.to_date(start)).count().collect()}
+    want = {r[0]: (r[1], round(r[2], 9)) for r in
+            rows.groupBy(F.to_date(start)).agg(F.count("*"), F.avg("default_12m")).collect()}
+    assert got == want
+
+
+def test_watermark_counts_what_comes_late(spark, apps, tmp_path):
+    rows, source = apps.drop("p_default"), str(tmp_path / "in")
     last = rows.agg(F.max("fecha_solicitud")).first()[0]
-    closed = {d: n for d, n in want.items() if d + dt.timedelta(days=30) <= last - dt.timedelta(days=60)}
-    assert got == closed and closed
+    rows.where(F.col("fecha_solicitud") > F.lit(last) - F.expr("INTERVAL 5 DAYS")).coalesce(1).write.parquet(source)
+    old = rows.where(F.col("fecha_solicitud") < "2024-03-01")
+
+    def run_once():
+        stream = jobs.stream_applications(spark, source).withColumn("p_default", p_proxy())
+        query = jobs.start(jobs.stream_default_rate(stream, "60 days"), str(tmp_path / "out"), str(tmp_path / "state"))
+        query.awaitTermination()
+        return query
+    assert jobs.late_rows(run_once()) == 0
+    old.coalesce(1).write.mode("append").parquet(source)
+    assert jobs.late_rows(run_once()) >= old.count()

@@ -71,7 +71,9 @@ TEST = "fecha_solicitud >= DATE '2025-02-15'"
 WINDOW_CASE = """CASE WHEN fecha_solicitud < DATE '2025-01-01' THEN 'train'
     WHEN fecha_solicitud < DATE '2025-02-15' THEN 'valid' ELSE 'test' END"""
 NUMERIC = ["score_buro", "tasa_interes_anual", "num_consultas_buro_3m", "uso_linea_credito_pct",
-           "edad", "deuda_sistema", "num_contactos_ult_trimestre"]
+           "edad", "deuda_sistema", "num_contactos_ult_trimestre", "ingreso_declarado", "antiguedad_laboral_meses",
+           "antiguedad_cliente_meses", "num_creditos_vigentes", "peor_morosidad_12m",
+           "monto_solicitado", "plazo_meses"]
 CATEGORICAL = ["tipo_empleo", "region", "canal"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 EMPLOYMENT = ["dependiente", "independiente", "informal", "jubilado"]
@@ -410,7 +412,8 @@ def _feature_names() -> str:
 def _spearman(columns) -> str:
     ranks = ", ".join(
         f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS k_{c}" for c in columns)
-    return over(_correlations(columns, "ranks", "k_{}"), f"ranks AS (SELECT {ranks} FROM applications)")
+    return over(_correlations(columns, "ranks", "k_{}"), f"complete AS (SELECT * FROM applications WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)})",
+                f"ranks AS (SELECT {ranks} FROM complete)")
 
 
 def _vif(a, b, c) -> str:
@@ -618,7 +621,7 @@ def build() -> dict[str, str]:
             ROUND(AVG(CASE WHEN d THEN 1.0 ELSE 0.0 END), 9) AS pct_distinto FROM (
             SELECT dia_semana_solicitud <> CASE ISODOW(fecha_solicitud) {weekdays} END AS d FROM applications)"""),
         "pearson_corr": over(_correlations([*NUMERIC, "default_12m"])),
-        "spearman_corr": _spearman(NUMERIC[:4]),
+        "spearman_corr": _spearman(NUMERIC),
         "vif": _vif("score_buro", "tasa_interes_anual", "uso_linea_credito_pct"),
         "information_value": over("SELECT variable, ROUND(iv, 6) AS iv FROM iv", *_bins(NUMERIC, CATEGORICAL)),
         "chi_square": over("SELECT variable, n, ROUND(chi2, 6) AS chi2, gl FROM chi",
@@ -626,9 +629,9 @@ def build() -> dict[str, str]:
         "cramers_v": over("SELECT variable, ROUND(SQRT(chi2 / n), 6) AS v_cramer FROM chi",
                           *_bins((), [*CATEGORICAL, "num_contactos_ult_trimestre"])),
         "anova_f": over("SELECT variable, n, gl_entre, gl_dentro, ROUND(f, 6) AS f FROM anova",
-                        f"long_g AS ({_stack(NUMERIC[:5], 'DOUBLE', 'tipo_empleo')})", *_anova("long_g", "tipo_empleo")),
+                        f"long_g AS ({_stack(NUMERIC, 'DOUBLE', 'tipo_empleo')})", *_anova("long_g", "tipo_empleo")),
         "levene_test": over("SELECT variable, n, gl_entre, gl_dentro, ROUND(f, 6) AS f FROM anova",
-                            f"long_g AS ({_stack(NUMERIC[:4], 'DOUBLE')})",
+                            f"long_g AS ({_stack(NUMERIC, 'DOUBLE')})",
                             """meds AS (SELECT variable AS mv, default_12m AS mg, MEDIAN(valor) AS med
                                FROM long_g GROUP BY variable, default_12m)""",
                             """dist AS (SELECT variable, default_12m, ABS(valor - med) AS valor
@@ -659,5 +662,5 @@ def build() -> dict[str, str]:
             ROUND(AVG(CASE WHEN aprobar THEN 1.0 ELSE 0.0 END), 9) AS pct_aprob FROM (
               SELECT *, DATE '1970-01-01' + CAST(30 * FLOOR((fecha_solicitud - DATE '1970-01-01') / 30.0) AS INT) AS desde
               FROM decided)
-            GROUP BY desde HAVING desde + 30 <= (SELECT MAX(fecha_solicitud) FROM applications) - 60"""),
+            GROUP BY desde"""),
     }

@@ -24,9 +24,10 @@ from tidemark.sources.applications import (LABELLED_UNTIL, applications, p_proxy
 from tidemark.streaming import jobs
 
 SPLIT = "2025-01-01"
-QUERY_TREES = 10          # boosting rounds in the registered queries
 NUMERIC = ["score_buro", "tasa_interes_anual", "num_consultas_buro_3m", "uso_linea_credito_pct",
-           "edad", "deuda_sistema", LEAK]
+           "edad", "deuda_sistema", LEAK, "ingreso_declarado", "antiguedad_laboral_meses",
+           "antiguedad_cliente_meses", "num_creditos_vigentes", "peor_morosidad_12m",
+           "monto_solicitado", "plazo_meses"]
 VIF_COLUMNS = ["score_buro", "tasa_interes_anual", "uso_linea_credito_pct"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,12 +361,12 @@ def trainer(spark, sf_dir, number) -> training.Trainer:
     """Prepared fit frame of a round's training window."""
     cfg = ROUNDS[number]
     return shared(spark, ("trainer", sf_dir, number), lambda: training.Trainer(
-        cfg, cfg.train(labelled(stored(spark, sf_dir))), QUERY_TREES))
+        cfg, cfg.train(labelled(stored(spark, sf_dir)))))
 
 
 def fitted(spark, sf_dir, number, family) -> training.FittedRound:
     return shared(spark, ("fitted", sf_dir, number, family), lambda: training.fit_round(
-        ROUNDS[number], labelled(stored(spark, sf_dir)), family, QUERY_TREES, trainer(spark, sf_dir, number)))
+        ROUNDS[number], labelled(stored(spark, sf_dir)), family, trainer(spark, sf_dir, number)))
 
 
 def _search(spark, sf_dir, number, *families):
@@ -623,7 +624,7 @@ def pearson_corr(spark, sf_dir):
 
 @query
 def spearman_corr(spark, sf_dir):
-    return rounded(eda.spearman_corr(stored(spark, sf_dir), NUMERIC[:4]), 9, "r")
+    return rounded(eda.spearman_corr(stored(spark, sf_dir), NUMERIC), 9, "r")
 
 
 @query
@@ -655,12 +656,12 @@ def cramers_v(spark, sf_dir):
 
 @query
 def anova_f(spark, sf_dir):
-    return rounded(eda.anova_f(stored(spark, sf_dir), NUMERIC[:5], "tipo_empleo"), 6, "f")
+    return rounded(eda.anova_f(stored(spark, sf_dir), NUMERIC, "tipo_empleo"), 6, "f")
 
 
 @query
 def levene_test(spark, sf_dir):
-    return rounded(eda.levene_test(stored(spark, sf_dir), NUMERIC[:4], TARGET), 6, "f")
+    return rounded(eda.levene_test(stored(spark, sf_dir), NUMERIC, TARGET), 6, "f")
 
 
 @query
@@ -669,6 +670,13 @@ def breusch_pagan(spark, sf_dir):
     return rounded(rounded(df, 9, "r2"), 4, "lm")
 
 
+@query
+def significance(spark, sf_dir):
+    """Every association test of the exploration with its p-value."""
+    df = stored(spark, sf_dir)
+    return eda.significance(df, NUMERIC, [*CATEGORICAL, UNRELIABLE], "tipo_empleo")
+
+
 @query
 def default_rate_by_month(spark, sf_dir):
     return rounded(eda.default_rate_by_month(scored(spark, sf_dir), SCORE), 9, "tasa_observada", "tasa_predicha")
@@ -717,13 +725,13 @@ def report_tables(spark, sf_dir):
 
 # --- streaming --------------------------------------------------------------
 
-def _stream(spark, sf_dir, build):
+def _stream(spark, sf_dir, build, start=jobs.start, **options):
     """Run a stream over the applications written as files, and read its output."""
     source = stage_path(spark, "arrivals")
     stored(spark, sf_dir).write.parquet(source)
-    stream = build(jobs.stream_applications(spark, source))
+    stream = build(jobs.stream_applications(spark, source, **options))
     out, checkpoint = stage_path(spark, "stream-out"), stage_path(spark, "stream-checkpoint")
-    jobs.start(stream, out, checkpoint).awaitTermination()
+    start(stream, out, checkpoint).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -739,5 +747,6 @@ def stream_score(spark, sf_dir):
 
 @query
 def stream_default_rate(spark, sf_dir):
-    rates = _stream(spark, sf_dir, lambda rows: jobs.stream_default_rate(rows.withColumn(SCORE, p_proxy())))
+    rates = _stream(spark, sf_dir, lambda rows: jobs.stream_default_rate(rows.withColumn(SCORE, p_proxy())),
+                    jobs.start_complete)
     return rounded(rates, 9, "tasa_observada", "tasa_predicha", "pct_aprob")

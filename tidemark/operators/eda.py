@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import with_rate_cap
+from tidemark.functions.pvalues import chi2_p_value, f_p_value
 from tidemark.operators.metrics import DECILES
 from tidemark.operators.quality import INCOME_FLOOR, MAX_AGE, MIN_AGE
 from tidemark.operators.quantiles import broadcast_if_small, group_median, group_quantiles
-from tidemark.schema import DATE, TARGET
+from tidemark.schema import DATE, LEAK, TARGET
 
 RANK_CUTS = 1_023
 SMOOTHING = 0.5
@@ -299,3 +300,24 @@ def breusch_pagan(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
                 yield pd.DataFrame({"n": [row.n], "r2": [r2], "lm": [row.n * r2], "gl": [len(xs)]})
 
     return second.mapInPandas(statistic, "n long, r2 double, lm double, gl long")
+
+
+def significance(df: DataFrame, numeric: list[str], categorical: list[str], group: str,
+                 target: str = TARGET) -> DataFrame:
+    """prueba, variable, estadistico, p_valor: all tests of the exploration in one table.
+
+    The statistics are the distributed sums above; a p-value is taken of each of
+    their few rows.
+    """
+    def f_rows(name: str, tests: DataFrame) -> DataFrame:
+        return tests.select(F.lit(name).alias("prueba"), "variable", F.col("f").alias("estadistico"),
+                            f_p_value("f", F.col("gl_entre").cast("double"), F.col("gl_dentro").cast("double")).alias("p_valor"))
+
+    chi = chi_square(category_bins(df, categorical, target)).select(
+        F.lit("chi2").alias("prueba"), "variable", F.col("chi2").alias("estadistico"),
+        chi2_p_value("chi2", F.col("gl").cast("double")).alias("p_valor"))
+    spread_of_errors = breusch_pagan(df, target, [c for c in numeric if c != LEAK]).select(
+        F.lit("breusch_pagan").alias("prueba"), F.lit(target).alias("variable"), F.col("lm").alias("estadistico"),
+        chi2_p_value("lm", F.col("gl").cast("double")).alias("p_valor"))
+    return (f_rows("anova", anova_f(df, numeric, group)).unionByName(f_rows("levene", levene_test(df, numeric, target)))
+            .unionByName(chi).unionByName(spread_of_errors))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from dataclasses import dataclass
 from itertools import chain
@@ -20,6 +21,7 @@ from tidemark.functions.probability import prior_correction
 from tidemark.operators.balance import MinoritySpace, class_weights, smote, with_weight
 from tidemark.operators.encode import FEATURES, SCALED, NoCenterScaler, feature_names
 from tidemark.operators.metrics import eval_summary
+from tidemark.operators.quality import split_guard
 from tidemark.plans.rounds import SMOTE_RATIOS, RoundConfig
 from tidemark.schema import ID, SCORE, TARGET
 from tidemark.session import spread, write_stage
@@ -118,8 +120,8 @@ class Trainer:
     every candidate then reads that table.
     """
 
-    def __init__(self, cfg: RoundConfig, fit: DataFrame, max_trees: int | None = None):
-        self.cfg, self.max_trees = cfg, max_trees
+    def __init__(self, cfg: RoundConfig, fit: DataFrame):
+        self.cfg = cfg
         self.features: PipelineModel = Pipeline(stages=cfg.feature_stages()).fit(fit)
         prepared = self.features.transform(fit)
         self.names = feature_names(prepared)
@@ -173,24 +175,44 @@ class Trainer:
     def _booster(self, settings: dict) -> GBTClassifier:
         """Depth-wise boosting. A tree of L leaves is given depth log2(L); a
         least Hessian weight w needs at least 4 w rows, as p (1 - p) <= 1/4."""
-        trees = min(settings["n_estimators"], self.max_trees or settings["n_estimators"])
         if "num_leaves" in settings:
             depth, rows = round(math.log2(settings["num_leaves"] + 1)), settings["min_child_samples"]
         else:
             depth, rows = settings["max_depth"], 4 * settings["min_child_weight"]
-        return GBTClassifier(featuresCol=FEATURES, maxIter=trees, maxDepth=depth, minInstancesPerNode=rows,
+        return GBTClassifier(featuresCol=FEATURES, maxIter=settings["n_estimators"], maxDepth=depth, minInstancesPerNode=rows,
                              stepSize=settings["learning_rate"], seed=42)
 
-    def model(self, candidate: Candidate) -> PipelineModel:
-        """From raw applications to ``p_default``; what is saved and served."""
-        return PipelineModel(self.features.stages + self.fit(candidate))
+    def model(self, candidate: Candidate, fitted: list[Transformer] | None = None) -> PipelineModel:
+        """From raw applications to ``p_default``; what is saved and served.
+
+        ``fitted``: stages that a search has fitted on this frame already.
+        """
+        return PipelineModel(self.features.stages + (renamed(fitted) if fitted else self.fit(candidate)))
+
+
+def renamed(stages: list[Transformer]) -> list[Transformer]:
+    """Fitted stages of a search, with the column names that a single model has."""
+    out = [stage.copy() for stage in stages]
+    learner, last = out[-2], out[-1]
+    if len(out) == 3:
+        out[0].setOutputCol(SCALED)
+        learner.setFeaturesCol(SCALED)
+    learner.setPredictionCol("prediction").setProbabilityCol("probability").setRawPredictionCol("raw")
+    last._set(source="probability", output=SCORE)
+    return out
 
 
 def search(trainer: Trainer, valid: DataFrame, grid: list[Candidate]) -> DataFrame:
+    """The results of `search_fits` without the fitted stages."""
+    return search_fits(trainer, valid, grid)[0]
+
+
+def search_fits(trainer: Trainer, valid: DataFrame, grid: list[Candidate]) -> tuple[DataFrame, list[list[Transformer]]]:
     """Fit every candidate and measure all of them on the validation window.
 
     The validation rows are prepared once, all models add their score side by
-    side in one pass, and one grouped job measures every candidate.
+    side in one pass, and one grouped job measures every candidate. ``arboles``
+    is the number of trees that were fitted.
     """
     scored = trainer.features.transform(valid).select(ID, TARGET, FEATURES)
     for ratio in {c.ratio for c in grid}:
@@ -206,10 +228,11 @@ def search(trainer: Trainer, valid: DataFrame, grid: list[Candidate]) -> DataFra
         F.struct(F.lit(i).alias("posicion"), F.col(f"{SCORE}_{i}").alias(SCORE)) for i in range(len(grid))]))
     long = write_stage(scored.select(TARGET, pairs.alias("c")).select(TARGET, "c.*"), "candidate-scores")
     metrics = eval_summary(long, by=["posicion"])
+    trees = [getattr(stages[-2], "getNumTrees", None) for stages in fits]
     described = scored.sparkSession.createDataFrame(
-        [(i, c.family, c.architecture, c.balanced, c.ratio) for i, c in enumerate(grid)],
-        "posicion int, familia string, arquitectura string, balanceado boolean, ratio double")
-    return described.join(metrics, "posicion")
+        [(i, c.family, c.architecture, t, c.balanced, c.ratio) for i, (c, t) in enumerate(zip(grid, trees))],
+        "posicion int, familia string, arquitectura string, arboles int, balanceado boolean, ratio double")
+    return described.join(metrics, "posicion"), fits
 
 
 def select_calibration_safe(results: DataFrame, by=()) -> DataFrame:
@@ -258,16 +281,26 @@ class FittedRound:
         return scored.select(*[c for c in columns if c in scored.columns], SCORE)
 
 
+def check_split(cfg: RoundConfig, labelled: DataFrame) -> None:
+    """Fails when rows of the training window are dated past the year it ends in."""
+    if cfg.train_end:
+        last = dt.date.fromisoformat(cfg.train_end) - dt.timedelta(days=1)
+        split_guard(cfg.train(labelled), last.year).collect()
+
+
 def fit_round(cfg: RoundConfig, labelled: DataFrame, family: str = "logistica",
-              max_trees: int | None = None, trainer: Trainer | None = None) -> FittedRound:
+              trainer: Trainer | None = None, grid: list[Candidate] | None = None) -> FittedRound:
     """Search on the windows, then refit on every labelled row if the round
-    does. A trainer of the training window may be passed in to share its frame."""
-    trainer = trainer or Trainer(cfg, cfg.train(labelled), max_trees)
-    grid = candidates(cfg, family)
-    results = write_stage(search(trainer, cfg.valid(labelled), grid), "search")
-    chosen = grid[select_best(cfg, family, results).first().posicion]
-    oot = trainer.model(chosen)
-    last = Trainer(cfg, labelled, max_trees) if cfg.refit else trainer
+    does. A trainer of the training window may be passed in to share its frame,
+    and a grid in place of the round's own. The windows must not overlap."""
+    check_split(cfg, labelled)
+    trainer = trainer or Trainer(cfg, cfg.train(labelled))
+    grid = grid or candidates(cfg, family)
+    results, fits = search_fits(trainer, cfg.valid(labelled), grid)
+    results = write_stage(results, "search")
+    best = select_best(cfg, family, results).first().posicion
+    chosen, oot = grid[best], trainer.model(grid[best], fits[best])
+    last = Trainer(cfg, labelled) if cfg.refit else trainer
     final = last.model(chosen) if cfg.refit else oot
     return FittedRound(cfg, family, results, chosen, oot, final, last.names)
 

@@ -31,14 +31,22 @@ def stream_score(source: DataFrame, score: Callable[[DataFrame], DataFrame]) ->
     return policy.policy_output(policy.decide(policy.add_economics(score(source))))
 
 
-def stream_default_rate(source: DataFrame, delay: str = "60 days", score: str = SCORE) -> DataFrame:
+def stream_default_rate(source: DataFrame, delay: str | None = None, score: str = SCORE) -> DataFrame:
     """Observed and predicted default rate and approval share per window.
 
-    An application reported twice counts once, as long as both reports lie
-    within ``delay``; a window is emitted when the watermark has passed its end.
+    An application reported twice counts once. Without ``delay`` no row is ever
+    late: the answer doesn't depend on how arrivals are cut into batches, every
+    window is reported from its first row on (write it with ``complete``), and
+    the ids seen are kept in the state store. With ``delay`` ids and windows are
+    forgotten once the watermark has passed them (write it with ``append``);
+    rows that come later than that are counted by Spark as dropped, see
+    `late_rows`, and the source should deliver files in order of date.
     """
     timed = source.withColumn("momento", F.col(DATE).cast("timestamp"))
-    once = timed.withWatermark("momento", delay).dropDuplicatesWithinWatermark([ID])
+    if delay is None:
+        once = timed.dropDuplicates([ID])
+    else:
+        once = timed.withWatermark("momento", delay).dropDuplicatesWithinWatermark([ID])
     decided = policy.decide(policy.add_economics(once), score)
     rates = decided.groupBy(F.window("momento", WINDOW).alias("ventana")).agg(
         F.count("*").alias("n"),
@@ -50,8 +58,24 @@ def stream_default_rate(source: DataFrame, delay: str = "60 days", score: str =
         "n", "tasa_observada", "tasa_predicha", "pct_aprob")
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query with a watermark has dropped so far."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def start(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Append to files, taking what has arrived and then stopping."""
     return (stream.writeStream.format(fmt).outputMode("append")
             .option("path", path).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def start_complete(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+    """Replace the table at ``path`` by the whole current result after each batch.
+
+    A batch that is run again writes the same table again.
+    """
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.format(fmt).mode("overwrite").save(path)
+    return (stream.writeStream.outputMode("complete").foreachBatch(replace)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
