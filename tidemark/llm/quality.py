@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled
 text. A text is compressed whole with each; the difference of the two sizes over
-their sum says which class it resembles, and a logistic curve fitted on labelled
-rows outside the dictionaries turns it into a score.
+their sum says which class it resembles. A logistic curve fitted on labelled rows
+outside the dictionaries turns it into a score. The curve also sees how far the
+text compresses at all, with its length: a text that only repeats itself is small
+with either dictionary, so its difference says nothing.
 
 Learning takes a bounded sample of labelled rows: ``per_class`` rows a class for
 the dictionaries and ``calibration`` rows for the curve, the rows whose hashed id
@@ -33,8 +35,8 @@ LEVEL = 3
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: list[float]        # of the difference, the compression, the length and the constant; empty: nothing learned
+    prior: float
 
 
 def _sizes(model_good: bytes, model_bad: bytes):
@@ -45,30 +47,30 @@ def _sizes(model_good: bytes, model_bad: bytes):
     return ready(model_good), ready(model_bad)
 
 
-def differences(texts, good: bytes, bad: bytes) -> np.ndarray:
-    """(bad size - good size) / (their sum) of each text."""
+def measures(texts, good: bytes, bad: bytes) -> np.ndarray:
+    """Per text: (bad size - good size) / (their sum), log of the compression by the better one, log of the length."""
     as_good, as_bad = _sizes(good, bad)
-    out = np.zeros(len(texts))
+    out = np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
         data = text.encode() if text else b""
         g, b = len(as_good.compress(data)), len(as_bad.compress(data))
-        out[i] = (b - g) / (b + g)
+        out[i] = (b - g) / (b + g), np.log((min(g, b) + 1) / (len(data) + 1)), np.log(len(data) + 1)
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of the calibration curve, by Newton steps on scaled x."""
-    scale = x.std() or 1.0
-    z = np.column_stack([x / scale, np.ones(len(x))])
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
+    """Weights of the columns of ``x`` and the constant, by Newton steps on scaled columns."""
+    middle, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    z = np.column_stack([(x - middle) / scale, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, z.T @ (y - p) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return [*(w[:-1] / scale), float(w[-1] - (w[:-1] * middle / scale).sum())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = 2000, calibration: int = 6000,
@@ -90,10 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int =
         curve = rows.drop_duplicates("doc_id").sort_values("doc_id")
     if not samples[0] or not samples[1]:
         share = float(rows.quality.mean()) if len(rows) else 0.5
-        return QualityModel(b"", b"", 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return QualityModel(b"", b"", [], share)
     good, bad = (_dictionary(samples[q], dictionary_bytes) for q in (1, 0))
-    slope, intercept = _logistic(differences(curve.text.tolist(), good, bad), curve.quality.to_numpy(float))
-    return QualityModel(good, bad, slope, intercept)
+    weights = _logistic(measures(curve.text.tolist(), good, bad), curve.quality.to_numpy(float))
+    return QualityModel(good, bad, weights, float(curve.quality.mean()))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -108,6 +110,8 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
     """``docs`` with score (0 to 1) and predicted."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        d = differences(texts.tolist(), model.good, model.bad) if model.slope else np.zeros(len(texts))
-        return pd.Series(1 / (1 + np.exp(-np.clip(model.slope * d + model.intercept, -30, 30))))
+        if not model.weights:
+            return pd.Series(np.full(len(texts), model.prior))
+        z = measures(texts.tolist(), model.good, model.bad) @ model.weights[:-1] + model.weights[-1]
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return docs.withColumn("score", scored(text)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
