@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import encode, quality
+from tidemark.operators import encode, impute, quality
 from tidemark.plans import training
 from tidemark.plans.rounds import ROUNDS
 from tidemark.sources import sinks
@@ -73,7 +73,7 @@ def test_fit_does_not_see_validation_rows(labelled):
     states = []
     for frame in (labelled, changed):
         stages = Pipeline(stages=cfg.feature_stages()[:3]).fit(cfg.train(frame)).stages
-        states.append((stages[0].getOrDefault("ageFill"), stages[2].getOrDefault("medians")))
+        states.append((stages[0].getOrDefault("ageFill"), sorted(map(tuple, stages[2].table(frame.sparkSession).collect()))))
     assert states[0] == states[1]
 
 
@@ -123,3 +123,25 @@ def test_grids():
     assert len(training.candidates(ROUNDS[4], "hojas")) == 8
     assert len(training.candidates(ROUNDS[3], "profundidad")) == 10
     assert encode.FEATURES == "features"
+
+
+def test_saved_medians_need_no_stage(spark, tmp_path):
+    """20,000 groups of a long key; the staged table is out of reach when the model is used again."""
+    rows = spark.range(60_000).selectExpr("id % 20000 AS g", "CAST(id AS DOUBLE) AS x")
+    model = impute.GroupMedianImputer(valueCol="x", groupCol="g").fit(rows)
+    holes = spark.range(20_100).selectExpr("id AS g", "CAST(NULL AS DOUBLE) AS x")
+    want = sorted(map(tuple, model.transform(holes).collect()))
+    model.write().save(str(tmp_path / "m"))
+    again = impute.GroupMedianModel.load(str(tmp_path / "m"))
+    assert again.getOrDefault("mediansPath") == str(tmp_path / "m") + "/medians"
+    assert sorted(map(tuple, again.transform(holes).collect())) == want and len(want) == 20_100
+
+
+def test_quantiles_in_cells(spark):
+    """A third of the rows share one value; no window sees all rows."""
+    from tidemark.operators import quantiles
+    x = np.concatenate([np.full(3000, 5.0), np.random.default_rng(1).exponential(10, 6001)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    probabilities = [0, 0.1, 0.25, 0.5, 0.9, 0.995, 1]
+    got = quantiles.exact_quantiles(df, "x", probabilities).first().q
+    assert got == pytest.approx(np.quantile(x, probabilities).tolist(), abs=1e-12)

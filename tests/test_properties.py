@@ -39,9 +39,8 @@ def test_quantiles_with_coarse_sketch(noisy, monkeypatch):
         np.quantile(frame.x, probs), rel=1e-13)
 
 
-def test_group_quantiles_without_broadcast(noisy, monkeypatch):
+def test_group_quantiles_without_broadcast(noisy):
     df, frame = noisy
-    monkeypatch.setattr(quantiles.broadcast_if_small, "__defaults__", (1,))
     got = {r.g: r.mediana for r in quantiles.group_median(df, "x", ["g"]).collect()}
     assert got == pytest.approx(frame.groupby("g").x.median().to_dict())
 
@@ -156,3 +155,13 @@ def test_no_query_plan_has_a_cross_join(spark, apps):
     for frame in frames:
         plan = final_plan(frame)
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_task_orders_all_rows(spark):
+    """The only window without a partition is over the list of cells."""
+    df = spark.range(50_000).selectExpr("rand(3) * 1000 AS x")
+    q = quantiles.exact_quantiles(df, "x", [0.25, 0.5])
+    q.collect()
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    unpartitioned = [line for line in plan.splitlines() if "Window" in line and "windowspecdefinition(first" in line]
+    assert not unpartitioned

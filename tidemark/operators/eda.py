@@ -15,7 +15,7 @@ from tidemark.functions.calendar import with_rate_cap
 from tidemark.functions.pvalues import chi2_p_value, f_p_value
 from tidemark.operators.metrics import DECILES
 from tidemark.operators.quality import INCOME_FLOOR, MAX_AGE, MIN_AGE
-from tidemark.operators.quantiles import broadcast_if_small, group_median, group_quantiles
+from tidemark.operators.quantiles import group_median, group_quantiles
 from tidemark.schema import DATE, LEAK, TARGET
 
 RANK_CUTS = 1_023
@@ -265,7 +265,7 @@ def levene_test(df: DataFrame, columns: list[str], group: str, center: str = "me
         centres = group_median(long, "valor", ["variable", group]).withColumnRenamed("mediana", "centro")
     else:
         centres = long.groupBy("variable", group).agg(F.avg("valor").alias("centro"))
-    distances = long.join(broadcast_if_small(centres), ["variable", group]).withColumn(
+    distances = long.join(centres, ["variable", group]).withColumn(
         "valor", F.abs(F.col("valor") - F.col("centro")))
     return _anova(distances, group)
 

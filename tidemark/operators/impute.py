@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReadable, MLWritable)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.knn import knn_mean
-from tidemark.operators.quantiles import MAX_GROUPS, exact_median, group_median
+from tidemark.operators.quantiles import exact_median, group_median
 from tidemark.session import stage_path
 
 
@@ -38,37 +39,48 @@ class GroupMedianImputer(Estimator, _GroupMedianParams, DefaultParamsReadable, D
     def _fit(self, dataset: DataFrame) -> "GroupMedianModel":
         value, group = self.getOrDefault("valueCol"), self.getOrDefault("groupCol")
         overall = exact_median(dataset, value).first().mediana
-        medians = group_median(dataset, value, [group])
-        rows = medians.limit(MAX_GROUPS + 1).collect()
-        if len(rows) <= MAX_GROUPS:
-            model = GroupMedianModel(medians={str(r[0]): r[1] for r in rows})
-        else:
-            path = stage_path(dataset.sparkSession, "medians")
-            medians.write.parquet(path)
-            model = GroupMedianModel(mediansPath=path)
-        return model._set(valueCol=value, groupCol=group, overall=overall)
-
-
-class GroupMedianModel(Model, _GroupMedianParams, DefaultParamsReadable, DefaultParamsWritable):
+        path = stage_path(dataset.sparkSession, "medians")
+        group_median(dataset, value, [group]).write.parquet(path)
+        return GroupMedianModel(mediansPath=path)._set(valueCol=value, groupCol=group, overall=overall)
+
+
+class _MediansWriter(DefaultParamsWriter):
+    """Puts the table of medians into the model's own folder."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        model = self.instance
+        model.table(self.sparkSession).write.parquet(f"{path}/medians")
+
+
+class _MediansReader(DefaultParamsReader):
+    def load(self, path: str) -> "GroupMedianModel":
+        return super().load(path)._set(mediansPath=f"{path}/medians")
+
+
+class GroupMedianModel(Model, _GroupMedianParams, MLReadable, MLWritable):
     """A value stays; else the group's median; else the overall one (an unseen
-    or missing group, or a group without any value)."""
+    or missing group, or a group without any value). The medians are a table,
+    however many there are, and a saved model holds it."""
 
-    medians = Param(Params._dummy(), "medians", "median by group")
-    mediansPath = Param(Params._dummy(), "mediansPath", "table of medians too long to list",
+    mediansPath = Param(Params._dummy(), "mediansPath", "table of the group's type and its median",
                         TypeConverters.toString)
     overall = Param(Params._dummy(), "overall", "median of all values")
 
     @keyword_only
-    def __init__(self, *, medians=None, mediansPath=None):
+    def __init__(self, *, mediansPath=None):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
+    def write(self) -> _MediansWriter:
+        return _MediansWriter(self)
+
+    @classmethod
+    def read(cls) -> _MediansReader:
+        return _MediansReader(cls)
+
     def table(self, spark: SparkSession) -> DataFrame:
-        group = self.getOrDefault("groupCol")
-        if self.isSet("mediansPath"):
-            return spark.read.parquet(self.getOrDefault("mediansPath"))
-        rows = list(self.getOrDefault("medians").items())
-        return F.broadcast(spark.createDataFrame(rows, f"`{group}` string, mediana double"))
+        return spark.read.parquet(self.getOrDefault("mediansPath"))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         value, group = self.getOrDefault("valueCol"), self.getOrDefault("groupCol")

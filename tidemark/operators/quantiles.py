@@ -18,7 +18,7 @@ from tidemark.operators.curve import interpolate
 
 SKETCH_ACCURACY = 100_000
 MARGIN = 3.0 / SKETCH_ACCURACY      # the sketch errs by at most 1 / accuracy
-MAX_GROUPS = 10_000                 # groups whose sketches may be broadcast
+CELLS = 1_024                       # equal parts of a bracket
 
 
 def _present(df: DataFrame, value: str, by) -> DataFrame:
@@ -34,21 +34,34 @@ def _sketch(probabilities) -> Column:
 
 
 def _select_exact(bracketed: DataFrame, probabilities, by) -> DataFrame:
-    """``bracketed`` has ``v`` and the bracket ends ``b`` of :func:`_sketch`."""
+    """``bracketed`` has ``v`` and the bracket ends ``b`` of :func:`_sketch`.
+
+    Brackets are cut into CELLS equal cells. Values are ordered within a cell and
+    shifted by the cells before, so no window sees more than a cell, or than the
+    list of cells.
+    """
     k = len(probabilities)
     ends = [(F.col("b")[i], F.col("b")[k + i]) for i in range(k)]
     v = F.col("v")
     inside = reduce(lambda a, b: a | b, [(v >= low) & (v <= high) for low, high in ends])
     passed = reduce(lambda a, b: a + b, [(v > high).cast("int") for _, high in ends])
+    low, high = F.get("b", F.col("gap")), F.get("b", F.col("gap") + k)     # a value inside a bracket is inside this one
+    cell = F.when(F.col("inside"), F.coalesce(F.floor(F.try_divide(v - low, high - low) * CELLS), F.lit(0))).otherwise(-1)
     pieces = (
-        bracketed.groupBy(*by, passed.alias("gap"), F.when(inside, v).alias("exact"))
+        bracketed.withColumn("gap", passed).withColumn("inside", inside).withColumn("cell", cell)
+        .groupBy(*by, "gap", "cell", F.when(F.col("inside"), v).alias("exact"))
         .agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
     )
-    order = Window.partitionBy(*by).orderBy("first")
-    ranked = pieces.select(
-        *by, "n", "first", "last", F.col("exact").isNotNull().alias("kept"),
-        F.sum("n").over(order).alias("through"),
-        F.sum("n").over(Window.partitionBy(*by)).alias("total"))
+    place = [*by, "gap", "cell"]
+    cells = pieces.groupBy(*place).agg(F.sum("n").alias("size"))
+    running = F.sum("size").over(Window.partitionBy(*by).orderBy("gap", "cell"))
+    cells = cells.select(*place, (running - F.col("size")).alias("start"),
+                         F.sum("size").over(Window.partitionBy(*by)).alias("total"))
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in place])
+    within = F.sum("n").over(Window.partitionBy(*place).orderBy("first"))
+    ranked = (pieces.withColumn("within", within).alias("p").join(cells.alias("c"), same)
+              .select(*[F.col(f"p.{c}") for c in by], "n", "first", "last", F.col("exact").isNotNull().alias("kept"),
+                      (F.col("start") + F.col("within")).alias("through"), "total"))
     before = F.col("through") - F.col("n")
 
     def at_rank(rank):
@@ -81,27 +94,18 @@ def exact_quantiles(df: DataFrame, value: str, probabilities) -> DataFrame:
     return _select_exact(data.withColumn("b", sketch), probabilities, [])
 
 
-def broadcast_if_small(groups: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
-    """A per-group table ready to be joined: fetched and broadcast when it has
-    at most ``limit`` rows, left to a shuffle join when it has more."""
-    rows = groups.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return groups
-    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema))
-
-
 def group_quantiles(df: DataFrame, value: str, probabilities, by: list[str],
                     few_groups: bool = False) -> DataFrame:
     """Quantiles per group. Rows without a group are ignored.
 
     ``few_groups`` states that the number of groups is fixed by the caller (a
-    list of column names, say). Otherwise the groups are counted: up to
-    MAX_GROUPS sketches are broadcast, more are joined by shuffle.
+    list of column names, say), so their sketches are broadcast; otherwise Spark
+    decides by their measured size.
     """
     data = _present(df, value, by).where(
         reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by]))
     sketches = data.groupBy(*by).agg(_sketch(probabilities).alias("b"))
-    sketches = F.broadcast(sketches) if few_groups else broadcast_if_small(sketches)
+    sketches = F.broadcast(sketches) if few_groups else sketches
     return _select_exact(data.join(sketches, by), probabilities, by)
 
 
