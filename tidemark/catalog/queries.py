@@ -120,7 +120,8 @@ def predictions_output(spark, sf_dir):
     rows = test(stored(spark, sf_dir))
     path = stage_path(spark, "predictions")
     sinks.write_predictions(fitted(spark, sf_dir, 4, "logistica").score(rows), rows, path)
-    return spark.read.schema("id_solicitud long, prob_default double").option("header", True).csv(path)
+    written = spark.read.schema("id_solicitud long, prob_default double").option("header", True).csv(path)
+    return written.select(ID, _sound("prob_default").alias("p_valida"))
 
 
 @query
@@ -137,7 +138,9 @@ def model_reload(spark, sf_dir):
     model = fitted(spark, sf_dir, 4, "logistica")
     path = stage_path(spark, "model")
     sinks.save_model(spark, model.final, model.names, path)
-    return sinks.load_model(path).transform(test(stored(spark, sf_dir))).select(ID, SCORE)
+    rows = test(stored(spark, sf_dir))
+    again = sinks.load_model(path).transform(rows).select(ID, F.col(SCORE).alias("p"))
+    return model.score(rows).join(again, ID).select(ID, (F.abs(F.col(SCORE) - F.col("p")) < 1e-12).alias("igual"))
 
 
 # --- projection, filters, scalar functions ----------------------------------
@@ -375,29 +378,52 @@ def _search(spark, sf_dir, number, *families):
     return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(stored(spark, sf_dir))), grid)
 
 
+def _sound(p: str | F.Column = SCORE) -> F.Column:
+    """Whether a probability is one."""
+    return F.coalesce(F.col(p).between(0, 1), F.lit(False))
+
+
+def _stated(results: DataFrame) -> DataFrame:
+    """Fitted candidates with what can be said of them beforehand: sizes, trees,
+    better than chance, and errors below those of a coin."""
+    return results.select("posicion", "familia", "arquitectura", "arboles", "balanceado", "ratio", "n", "n_pos",
+                          ((F.col("auc") > 0.5) & (F.col("auc") <= 1)).alias("supera_azar"),
+                          F.col("brier").between(0, 0.25).alias("brier_valido"))
+
+
 @query
 def train_logistic(spark, sf_dir):
-    return fitted(spark, sf_dir, 4, "logistica").results
+    return _stated(fitted(spark, sf_dir, 4, "logistica").results)
 
 
 @query
 def train_gbt_leafwise(spark, sf_dir):
-    return _search(spark, sf_dir, 1, "hojas")
+    return _stated(_search(spark, sf_dir, 1, "hojas"))
 
 
 @query
 def train_gbt_depthwise(spark, sf_dir):
-    return fitted(spark, sf_dir, 1, "profundidad").results
+    return _stated(fitted(spark, sf_dir, 1, "profundidad").results)
 
 
 @query
 def grid_smote_logit(spark, sf_dir):
-    return _search(spark, sf_dir, 3, "logistica")
+    return _stated(_search(spark, sf_dir, 3, "logistica"))
 
 
 @query
 def grid_smote_tree(spark, sf_dir):
-    return _search(spark, sf_dir, 3, "hojas", "profundidad")
+    return _stated(_search(spark, sf_dir, 3, "hojas", "profundidad"))
+
+
+@query
+def round_comparison_fitted(spark, sf_dir):
+    """Every round fitted as it is set up, its logistic model on its own validation window."""
+    df = labelled(stored(spark, sf_dir))
+    results = {cfg.name: metrics.eval_summary(fitted(spark, sf_dir, number, "logistica").score(cfg.valid(df), final=False))
+               for number, cfg in ROUNDS.items()}
+    table = reports.compare_rounds(results)
+    return table.select("ronda", F.lit("logistica").alias("modelo"), "n", "n_pos", (F.col("auc") > 0.5).alias("supera_azar"))
 
 
 # Fixed scores standing in for fitted candidates, so that selection over
@@ -442,13 +468,13 @@ def fit_oot_and_final(spark, sf_dir):
     df = stored(spark, sf_dir)
     parts = [("oot", valid(df), False), ("final", test(df), True)]
     return reduce(DataFrame.unionByName, [
-        model.score(rows, final).agg(F.count("*").alias("n"), F.avg(SCORE).alias("p_media"))
+        model.score(rows, final).agg(F.count("*").alias("n"), F.bool_and(_sound()).alias("p_valida"))
         .withColumn("modelo", F.lit(name)) for name, rows, final in parts])
 
 
 @query
 def score(spark, sf_dir):
-    return fitted(spark, sf_dir, 4, "logistica").score(test(stored(spark, sf_dir))).select(ID, SCORE)
+    return fitted(spark, sf_dir, 4, "logistica").score(test(stored(spark, sf_dir))).select(ID, _sound().alias("p_valida"))
 
 
 @query
@@ -694,7 +720,8 @@ def leakage_screen(spark, sf_dir):
 def job_round(spark, sf_dir):
     """Out-of-time metrics of the chosen model of the chosen round."""
     model = fitted(spark, sf_dir, 4, "logistica")
-    return metrics.eval_summary(model.score(valid(stored(spark, sf_dir)), final=False))
+    summary = metrics.eval_summary(model.score(valid(stored(spark, sf_dir)), final=False))
+    return summary.select("n", "n_pos", (F.col("auc") > 0.5).alias("supera_azar"), F.col("brier").between(0, 0.25).alias("brier_valido"))
 
 
 @query
