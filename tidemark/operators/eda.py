@@ -17,6 +17,7 @@ from tidemark.operators.metrics import DECILES
 from tidemark.operators.quality import INCOME_FLOOR, MAX_AGE, MIN_AGE
 from tidemark.operators.quantiles import group_median, group_quantiles
 from tidemark.schema import DATE, LEAK, TARGET
+from tidemark.session import write_stage
 
 RANK_CUTS = 1_023
 SMOOTHING = 0.5
@@ -112,7 +113,8 @@ def mid_ranks(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     and shifted by the sizes of the intervals before. Any increasing cuts give
     the same ranks.
     """
-    values = df.groupBy(column).agg(F.count("*").alias("n"))
+    # read twice below, so counted once and kept
+    values = write_stage(df.groupBy(column).agg(F.count("*").alias("n")), "rank-values")
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     tagged = Bucketizer(splits=splits, inputCol=column, outputCol="bucket").transform(values)
     sizes = tagged.groupBy("bucket").agg(F.sum("n").alias("size"))       # len(splits) rows at most

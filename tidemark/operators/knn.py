@@ -17,7 +17,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import write_stage
@@ -206,10 +206,11 @@ def _search(queries: DataFrame, donors: DataFrame, k: int, factors: dict, value_
         best, f"qid long, d double, value {value_type}, n long")
 
 
-def _ranked(candidates: DataFrame) -> DataFrame:
-    """Candidates of a query in order; k rows per searched part at most."""
-    return candidates.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("d", "value", "n"))).alias("found"))
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+    """Candidates of a query in order, as many as hold k rows, whatever the parts searched."""
+    nearer = Window.partitionBy("qid").orderBy("d", "value").rowsBetween(Window.unboundedPreceding, -1)
+    kept = candidates.withColumn("before", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("before") < k)
+    return kept.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("d", "value", "n"))).alias("found"))
 
 
 def _kth_distance(found: Column, k: int) -> Column:
@@ -240,7 +241,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, factors: dict[int, fl
     located = _with_leaf(queries, trees)
     own = write_stage(_search(located, donors, k, factors, value_type), "knn-own")
     # a query whose own cell gave too few, or nothing, goes to every cell
-    bounds = _ranked(own).select("qid", _kth_distance(F.col("found"), k).alias("bound"))
+    bounds = _ranked(own, k).select("qid", _kth_distance(F.col("found"), k).alias("bound"))
     bounded = located.join(bounds, "qid", "left").select(
         "qid", "cls", "vec", "leaf", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
@@ -263,7 +264,7 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, factors: dict[int, fl
     routed = write_stage(
         bounded.mapInPandas(route, "qid long, cls int, leaf int, vec array<double>"), "knn-routes")
     rest = _search(routed, donors, k, factors, value_type)
-    return _ranked(own.unionByName(rest))
+    return _ranked(own.unionByName(rest), k)
 
 
 # --- neighbour means --------------------------------------------------------

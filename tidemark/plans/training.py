@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.probability import prior_correction
-from tidemark.operators.balance import MinoritySpace, class_weights, smote, with_weight
+from tidemark.operators.balance import MinoritySpace, class_weights, with_weight
 from tidemark.operators.encode import FEATURES, SCALED, NoCenterScaler, feature_names
 from tidemark.operators.metrics import eval_summary
 from tidemark.operators.quality import split_guard
@@ -139,7 +139,8 @@ class Trainer:
             frame = self.frame
             if ratio is not None:
                 self._space = self._space or MinoritySpace(self.frame)
-                frame = write_stage(spread(smote(self.frame, ratio, self._space), ID), "resampled")
+                # only the new rows are stored; the fit frame is a table already
+                frame = frame.unionByName(write_stage(self._space.synthetic(ratio), "synthetic"))
             n, pos = frame.agg(F.count("*"), F.sum(TARGET)).first()
             self._resampled[ratio] = (frame, n, pos / n)
         return self._resampled[ratio]
