@@ -17,7 +17,7 @@ from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
 from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
                              feature_columns)
-from tidemark.session import spread, stage_path, write_stage
+from tidemark.session import spread, stage_path, table_state, write_stage
 from tidemark.sources import sinks
 from tidemark.sources.applications import (LABELLED_UNTIL, applications, p_proxy,
                                            read_applications)
@@ -47,13 +47,21 @@ _SHARED: dict = {}
 
 
 def shared(spark, key: tuple, build: Callable):
-    """Build once per application; later queries reuse the result."""
-    key = (spark.sparkContext.applicationId, *key)
+    """Build once per application and state of the tables; later queries reuse the result."""
+    sf_dir = key[1]
+    state = tuple(table_state(spark, f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "customer"))
+    key = (spark.sparkContext.applicationId, state, *key)
     if key not in _SHARED:
         _SHARED[key] = build()
     return _SHARED[key]
 
 
+def forget_fits() -> None:
+    """Drops shared models, so that the next query that needs one fits it."""
+    for key in [k for k in _SHARED if "applications" not in k]:
+        del _SHARED[key]
+
+
 def stored(spark, sf_dir) -> DataFrame:
     """The applications table: derived once per application and kept in the
     shared folder, as a user would keep it. Queries then read only the columns

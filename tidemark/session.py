@@ -52,9 +52,27 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, among those of this application."""
+    return f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results not yet read are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of change of a table, to tell whether it is still the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary = files.getContentSummary(path)
+    return summary.getLength(), summary.getFileCount(), files.getFileStatus(path).getModificationTime()
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
