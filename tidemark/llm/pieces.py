@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: Words, parts of words and pairs that a task remembers, each, before it starts afresh.
 REMEMBERED = 400_000
+#: Rows handled at a time.
+ROWS = 256
+#: Stands for a character outside the vocabulary.
+OTHER = -1
 
 #: Fixed values of the public model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -46,6 +51,7 @@ class Vocabulary:
     kinds: list[int]
     scores: list[float]
     unknown_surface: str
+    unreached: set[int]         # pieces that merging their own characters doesn't give
 
 
 def _fields(data: bytes):
@@ -90,115 +96,132 @@ def read_vocabulary(path: str) -> Vocabulary:
         raise ValueError("a BPE model with byte fallback, a leading space and no other normalisation is expected")
     if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, k in zip(pieces, kinds) if k == NORMAL):
         raise ValueError("a piece goes on after a space, so words can't be encoded apart")
-    return Vocabulary(pieces, kinds, scores, trainer.get(44, " ⁇ ".encode()).decode())
+    ranks = {p: r for p, r, k in zip(pieces, scores, kinds) if k == NORMAL}
+    unreached = {i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == NORMAL and merge(p, ranks) != [p]}
+    return Vocabulary(pieces, kinds, scores, trainer.get(44, " ⁇ ".encode()).decode(), unreached)
 
 
-class Encoder:
-    """Encodes words; built once in a task."""
+def merge(text: str, ranks: dict[str, float]) -> list[str]:
+    """Plain merging, for the few characters of one piece or two. ``ranks``: scores of the pieces."""
+    parts = list(text)
+    while len(parts) > 1:
+        best, where = None, -1
+        for i in range(len(parts) - 1):
+            found = ranks.get(parts[i] + parts[i + 1])
+            if found is not None and (best is None or found > best):
+                best, where = found, i
+        if where < 0:
+            break
+        parts[where:where + 2] = [parts[where] + parts[where + 1]]
+    return parts
+
+
+class Encoder(dict):
+    """Ids of words as bytes of int32, remembered; a key is a word without the space in front. Built once in a task."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
-        self.ids = {p: i for i, (p, k) in enumerate(zip(vocabulary.pieces, vocabulary.kinds)) if k == NORMAL}
-        self.scores = vocabulary.scores
-        self.bytes = {p: i for i, (p, k) in enumerate(zip(vocabulary.pieces, vocabulary.kinds)) if k == BYTE}
+        self.pieces = vocabulary.pieces
+        normal = [i for i, k in enumerate(vocabulary.kinds) if k == NORMAL]
+        self.ranks = {self.pieces[i]: vocabulary.scores[i] for i in normal}
+        self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(vocabulary.kinds) if k == BYTE}
+        self.together = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
         self.matches = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.matches.add_word(piece, len(piece))
+        for i in normal:
+            if i not in vocabulary.unreached:
+                self.matches.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.matches.make_automaton()
-        self.together = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.reached: dict[str, bool] = {}
-        self.known: dict[str, list[int]] = {}
-
-    def merge(self, text: str) -> list[str]:
-        """Plain merging, for the few characters of one piece or two."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                found = self.ids.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or self.scores[found] > best):
-                    best, where = self.scores[found], i
-            if where < 0:
-                break
-            parts[where:where + 2] = [parts[where] + parts[where + 1]]
-        return parts
-
-    def compatible(self, left: str, right: str) -> bool:
+        self.pairs: dict[int, bool] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self.encode(SPACE + key.replace(" ", SPACE))
+        if len(key) < 64:
+            self[key] = found
+        return found
+
+    def compatible(self, pair: int) -> bool:
+        """Whether merging the joined text of two pieces gives these two again."""
         if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
-        fits = self.pairs[left, right] = self.merge(left + right) == [left, right]
+        left, right = self.pieces[pair >> 24], self.pieces[pair & 0xFFFFFF]
+        fits = self.pairs[pair] = merge(left + right, self.ranks) == [left, right]
         return fits
 
-    def reachable(self, piece: str) -> bool:
-        """Whether merging a piece's own characters gives that piece."""
-        known = self.reached.get(piece)
-        if known is None:
-            known = self.reached[piece] = self.merge(piece) == [piece]
-        return known
-
-    def split(self, word: str) -> list[str]:
-        """The pieces of a word; characters outside the vocabulary stay single."""
+    def encode(self, word: str) -> bytes:
+        """Cuts the word where no piece holds both neighbours, so no merge can cross, and encodes the parts."""
+        together, parts, start, out = self.together, self.parts, 0, []
+        for end in range(1, len(word) + 1):
+            if end == len(word) or word[end - 1:end + 1] not in together:
+                part = word[start:end]
+                found = parts.get(part)
+                if found is None:
+                    found = array("i", self.split(part)).tobytes()
+                    if len(part) < 64:
+                        if len(parts) >= REMEMBERED:
+                            parts.clear()
+                        parts[part] = found
+                out.append(found)
+                start = end
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def split(self, word: str) -> list[int]:
+        """The ids of a part of a word, by backtracking."""
         n = len(word)
-        if word in self.ids and self.reachable(word):
-            return [word]
-        lengths: list[list[int]] = [[1] for _ in range(n)]      # by start, ascending
-        for end, size in self.matches.iter(word):
-            if size > 1:
-                lengths[end - size + 1].append(size)
-        failed, pairs = 0, self.pairs
-        pieces: list[str] = []
-        tries: list[int] = []                                   # per piece: how many lengths are left below it
-        at, left = 0, len(lengths[0])
+        starts: list[list[tuple[int, int]] | None] = [None] * n        # (size, id) of the pieces, by start, ascending
+        for end, match in self.matches.iter(word):
+            at = end - match[0] + 1
+            if starts[at] is None:
+                starts[at] = [match]
+            else:
+                starts[at].append(match)
+        for at in range(n):
+            if starts[at] is None or starts[at][0][0] > 1:
+                starts[at] = [(1, OTHER), *(starts[at] or ())]          # a character outside the vocabulary
+        ids: list[int] = []
+        sizes: list[int] = []
+        tries: list[int] = []                                   # per piece: how many alternatives are left below it
+        pairs, failed, at, before, options = self.pairs, 0, 0, OTHER, starts[0]
+        left = len(options)
         while at < n:
-            options, before = lengths[at], pieces[-1] if pieces else None
             while left:
                 left -= 1
-                size = options[left]
-                piece = word[at:at + size]
-                if failed >> (at + size) & 1 or size > 1 and not self.reachable(piece):
+                size, piece = options[left]
+                if failed and failed >> (at + size) & 1:
                     continue
-                fits = before is None or pairs.get((before, piece))
-                if fits is None:
-                    fits = self.compatible(before, piece)
-                if fits:
-                    pieces.append(piece)
-                    tries.append(left)
-                    at += size
-                    left = len(lengths[at]) if at < n else 0
-                    break
+                if before >= 0 and piece >= 0:
+                    pair = before << 24 | piece
+                    fits = pairs.get(pair)
+                    if not (self.compatible(pair) if fits is None else fits):
+                        continue
+                ids.append(piece)
+                sizes.append(size)
+                tries.append(left)
+                at += size
+                if at < n:
+                    options, before = starts[at], piece
+                    left = len(options)
+                break
             else:
                 failed |= 1 << at
-                at -= len(pieces.pop())
+                at -= sizes.pop()
+                ids.pop()
                 left = tries.pop()
-        return pieces
-
-    def encode(self, word: str) -> list[int]:
-        """Ids of a word. It is cut where no piece holds both neighbours, so no merge can cross."""
-        ids: list[int] = []
-        start, together, known = 0, self.together, self.known
-        for end in [*(i for i in range(1, len(word)) if word[i - 1:i + 1] not in together), len(word)]:
-            part = word[start:end]
-            found = known.get(part)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = self._ids(part)
-                if len(part) < 64:
-                    known[part] = found
-            ids += found
-            start = end
+                options, before = starts[at], ids[-1] if ids else OTHER
+        if OTHER in ids:
+            places = np.cumsum([0, *sizes]).tolist()
+            ids = [i for k, piece in enumerate(ids) for i in
+                   ([piece] if piece >= 0 else map(self.bytes.__getitem__, word[places[k]].encode()))]
         return ids
 
-    def _ids(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(part):
-            found = self.ids.get(piece)
-            if found is not None:
-                ids.append(found)
-            else:
-                ids.extend(self.bytes[f"<0x{b:02X}>"] for b in piece.encode())
-        return ids
+
+def keys_of(text: str) -> list[str]:
+    """The words of a text, each without its first space."""
+    if "  " not in text and SPACE not in text and text[0] != " ":
+        return text.split(" ")
+    return [word[1:] for word in WORDS.findall(" " + text)]
 
 
 #: A word is the spaces in front and what follows; spaces alone only at the end.
@@ -211,25 +234,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     at = docs.schema.fieldNames().index(text)
 
     def task(batches):
-        encoder, known = Encoder(vocabulary), {}
-        for batch in batches:
-            parts, counts = [], [0]
-            for document in batch.column(at).to_pylist():
-                total = 0
-                if document:
-                    for word in WORDS.findall(" " + document):
-                        ids = known.get(word)
-                        if ids is None:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            ids = np.asarray(encoder.encode(word.replace(" ", SPACE)), np.int32).tobytes()
-                            if len(word) < 64:
-                                known[word] = ids
-                        parts.append(ids)
-                        total += len(ids)
-                counts.append(counts[-1] + total // 4)
-            ids = pa.ListArray.from_arrays(pa.array(counts, pa.int32()),
-                                           pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        encoder = Encoder(vocabulary)
+        for batch in sliced(batches):
+            data = [b"".join(map(encoder.__getitem__, keys_of(t))) if t else b"" for t in batch.column(at).to_pylist()]
+            counts = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(counts, np.frombuffer(b"".join(data), np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(task, _with(docs, out, "array<int>"))
@@ -251,7 +260,7 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
         surfaces = pa.array([surface(p, k) for p, k in zip(vocabulary.pieces, vocabulary.kinds)], pa.large_binary())
         control = np.array([k == CONTROL for k in vocabulary.kinds])
         spaced = np.array([p.startswith(SPACE) and k == NORMAL for p, k in zip(vocabulary.pieces, vocabulary.kinds)])
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column(at)
             flat = lists.flatten()
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
@@ -277,6 +286,13 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
     return docs.mapInArrow(task, _with(docs, out, "string"))
 
 
+def sliced(batches):
+    """Batches of ROWS rows at most, so that a task's memory doesn't depend on the session's batch size."""
+    for batch in batches:
+        for start in range(0, len(batch), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _repair(data: bytes) -> str:
     """UTF-8 with U+FFFD for every byte that starts no character."""
     out, at = [], 0
