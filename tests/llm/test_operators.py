@@ -242,7 +242,7 @@ def test_phrases_equal_direct_parse():
         cut = len(text) - len(text) // 2
         assert phrases.fingerprints_of_edit(text, cut, tail, hashes) == (
             phrases.fingerprint_of(text, hashes), phrases.fingerprint_of(text[:cut] + tail, hashes))
-    assert phrases.likeness_of("", "") == 1 and phrases.likeness_of("", phrases.fingerprint_of("a", hashes)) == 0
+    assert phrases.likeness_of(b"", b"") == 1 and phrases.likeness_of(b"", phrases.fingerprint_of("a", hashes)) == 0
 
 
 def test_phrases_over_frames(spark, odd, nothing):
@@ -252,7 +252,7 @@ def test_phrases_over_frames(spark, odd, nothing):
     assert following[1] == "" and following[2] == "  \n " and following[5] == "12 34 !!"
     assert following[6] == "one two three four five six" and following[None] == ""
     assert phrases.with_next(nothing, 3).count() == 0
-    assert [r.f for r in odd.where("text = ''").select(phrases.fingerprint("text").alias("f")).collect()] == [""]
+    assert [r.f for r in odd.where("text = ''").select(phrases.fingerprint("text").alias("f")).collect()] == [b""]
 
 
 # 8 exact dedup
