@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 PIECE = 1 << 19
+#: A text is rejected below this share of the cosine that 99 of 100 learning texts reach: a few letters may have little in common with whole texts.
+REJECT = 0.25
 
 
 @dataclass
@@ -112,7 +114,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 400, centroids:
     centre = np.concatenate(centres)
     best = (x @ centre.T).max(1)
     return LanguageModel(languages, np.array(owner), np.ascontiguousarray((centre * idf).T.astype(np.float32)), idf,
-                         float(np.quantile(best, 0.01)) / 2)
+                         float(np.quantile(best, 0.01)) * REJECT)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
