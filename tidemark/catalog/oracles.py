@@ -418,12 +418,27 @@ def _spearman(columns) -> str:
                 f"ranks AS (SELECT {ranks} FROM complete)")
 
 
-def _vif(a, b, c) -> str:
-    det = "(1 + 2 * rab * rac * rbc - rab * rab - rac * rac - rbc * rbc)"
-    return over(
-        " UNION ALL ".join(f"SELECT '{name}' AS variable, ROUND((1 - {r} * {r}) / {det}, 6) AS vif FROM r"
-                           for name, r in ((a, "rbc"), (b, "rac"), (c, "rab"))),
-        f"r AS (SELECT CORR({a}, {b}) AS rab, CORR({a}, {c}) AS rac, CORR({b}, {c}) AS rbc FROM applications)")
+def _vif(columns) -> str:
+    """Diagonal of the inverse correlation matrix, by sweeping out one column at a time."""
+    k = range(len(columns))
+
+    def at(i, j):
+        return f"m{min(i, j)}_{max(i, j)}"
+    upper = [(i, j) for i in k for j in k if i <= j]
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    steps = ["s0 AS (SELECT " + ", ".join(
+        f"{'1.0::DOUBLE' if i == j else f'CORR({columns[i]}, {columns[j]})'} AS {at(i, j)}" for i, j in upper)
+        + f" FROM applications WHERE {complete})"]
+    for p in k:
+        def swept(i, j):
+            if i == p and j == p:
+                return f"-1 / {at(p, p)}"
+            if p in (i, j):
+                return f"{at(i, j)} / {at(p, p)}"
+            return f"{at(i, j)} - {at(i, p)} * {at(p, j)} / {at(p, p)}"
+        steps.append(f"s{p + 1} AS MATERIALIZED (SELECT " + ", ".join(f"{swept(i, j)} AS {at(i, j)}" for i, j in upper) + f" FROM s{p})")
+    return over(" UNION ALL ".join(f"SELECT '{c}' AS variable, ROUND(-{at(i, i)}, 6) AS vif FROM s{len(columns)}"
+                                   for i, c in enumerate(columns)), *steps)
 
 
 def _reports() -> str:
@@ -570,7 +585,7 @@ def build() -> dict[str, str]:
         "feature_names": _feature_names(),
         "scale_no_center": over("SELECT id_solicitud, " + ", ".join(
             f"ROUND({c} / COALESCE(NULLIF((SELECT STDDEV_POP({c}) FROM train), 0), 1), 9) AS {c}"
-            for c in ("score_buro", "plazo_meses", "uso_linea_credito_pct")) + " FROM applications"),
+            for c in NUMERIC) + " FROM applications"),
         # balancing and calibration
         "class_weights": over("""SELECT n, n_pos, n - n_pos AS n_neg, ROUND(n / (2.0 * n_pos), 9) AS peso_pos,
             ROUND(n / (2.0 * (n - n_pos)), 9) AS peso_neg,
@@ -658,7 +673,7 @@ def build() -> dict[str, str]:
             SELECT dia_semana_solicitud <> CASE ISODOW(fecha_solicitud) {weekdays} END AS d FROM applications)"""),
         "pearson_corr": over(_correlations([*NUMERIC, "default_12m"])),
         "spearman_corr": _spearman(NUMERIC),
-        "vif": _vif("score_buro", "tasa_interes_anual", "uso_linea_credito_pct"),
+        "vif": _vif(NUMERIC),
         "information_value": over("SELECT variable, ROUND(iv, 6) AS iv FROM iv", *_bins(NUMERIC, CATEGORICAL)),
         "chi_square": over("SELECT variable, n, ROUND(chi2, 6) AS chi2, gl FROM chi",
                            *_bins((), [*CATEGORICAL, "dia_semana_solicitud"])),

@@ -28,7 +28,6 @@ NUMERIC = ["score_buro", "tasa_interes_anual", "num_consultas_buro_3m", "uso_lin
            "edad", "deuda_sistema", LEAK, "ingreso_declarado", "antiguedad_laboral_meses",
            "antiguedad_cliente_meses", "num_creditos_vigentes", "peor_morosidad_12m",
            "monto_solicitado", "plazo_meses"]
-VIF_COLUMNS = ["score_buro", "tasa_interes_anual", "uso_linea_credito_pct"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,8 +328,7 @@ def feature_names(spark, sf_dir):
 @query
 def scale_no_center(spark, sf_dir):
     df = stored(spark, sf_dir)
-    columns = ["score_buro", "plazo_meses", "uso_linea_credito_pct"]
-    return rounded(encode.scale_columns(df, train(df), columns), 9, *columns).select(ID, *columns)
+    return rounded(encode.scale_columns(df, train(df), NUMERIC), 9, *NUMERIC).select(ID, *NUMERIC)
 
 
 # --- balancing and calibration ----------------------------------------------
@@ -663,7 +661,7 @@ def spearman_corr(spark, sf_dir):
 
 @query
 def vif(spark, sf_dir):
-    return rounded(eda.vif(stored(spark, sf_dir), VIF_COLUMNS), 6, "vif")
+    return rounded(eda.vif(stored(spark, sf_dir), NUMERIC), 6, "vif")
 
 
 def _bins(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -29,12 +29,11 @@ class RoundConfig:
     smote: bool = False          # search over oversampling ratios
     refit: bool = True           # the scoring model is refitted on all labelled rows
     logit_c: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
-    extra_plain: tuple[str, ...] = field(default=())
 
     @property
     def plain(self) -> list[str]:
         kept = [c for c in PLAIN if self.use_rate or c != "tasa_interes_anual"]
-        return kept + (QUALITY_FLAGS if self.clean else []) + list(self.extra_plain)
+        return kept + (QUALITY_FLAGS if self.clean else [])
 
     @property
     def categorical(self) -> list[str]:
