@@ -537,7 +537,7 @@ def score_hist(spark, sf_dir):
 @query
 def score_hist_by_class(spark, sf_dir):
     df = scored(spark, sf_dir)
-    return rounded(metrics.score_hist(df, metrics.hist_max(df), target=TARGET), 9, "edge_lo", "edge_hi")
+    return rounded(metrics.score_hist(df, metrics.hist_max(df, target=TARGET), target=TARGET), 9, "edge_lo", "edge_hi")
 
 
 @query

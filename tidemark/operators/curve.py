@@ -4,8 +4,8 @@ A window over all scores would put every row in one task. Rows are first
 summed per distinct score, so a score shared by a third of the rows is one
 row. Running totals are then built in two levels: inside narrow bands of the
 [0, 1] scale, and over the bands. The band is a function of the score alone,
-which keeps the result exact and independent of partitioning, whatever the
-distribution.
+which keeps the result exact and independent of partitioning. Distinct scores
+within a millionth of each other, or outside the scale, share one window.
 """
 
 from __future__ import annotations

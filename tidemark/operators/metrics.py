@@ -76,9 +76,13 @@ def decile_table(scored: DataFrame, score: str = SCORE, target: str = TARGET) ->
     )
 
 
-def hist_max(scored: DataFrame, score: str = SCORE, floor: float | None = HIST_MIN_RANGE) -> Column:
-    """Upper end of a histogram: the 99.5 % quantile, at most 1, at least ``floor``."""
-    curve = score_curve(score_counts(scored, score, None))
+def hist_max(scored: DataFrame, score: str = SCORE, floor: float | None = HIST_MIN_RANGE,
+             target: str | None = None) -> Column:
+    """Upper end of a histogram: the 99.5 % quantile, at most 1, at least ``floor``.
+
+    Name the ``target`` of a histogram by class, and both use the same counts.
+    """
+    curve = score_curve(score_counts(scored, score, target))
     high = F.least(F.lit(1.0), F.col("q")[0])
     if floor is not None:
         high = F.greatest(high, F.lit(floor))
