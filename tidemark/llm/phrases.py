@@ -78,26 +78,27 @@ def _bins() -> np.ndarray:
     return np.full(BINS, NONE, np.uint64)
 
 
-def _hex(least: np.ndarray) -> str:
-    return np.where(least == NONE, EMPTY, mix64(least) % np.uint64(EMPTY)).astype(">u2").tobytes().hex()
+def _packed(least: np.ndarray) -> bytes:
+    """16 bits of each bin, so that a fingerprint is small to shuffle."""
+    return np.where(least == NONE, EMPTY, mix64(least) % np.uint64(EMPTY)).astype(">u2").tobytes()
 
 
 def _codes(tokens: list[str], hashes: TokenHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def fingerprint_of(text: str, hashes: TokenHashes) -> str:
+def fingerprint_of(text: str, hashes: TokenHashes) -> bytes:
     if not text:
-        return ""
+        return b""
     tokens, least = tokens_of(text), _bins()
     for start in range(0, len(tokens), BLOCK):
         block, root = tokens[start:start + BLOCK], {}
         ends, node = parse(block, root, root)
         _collect(_codes(block, hashes), ends if node is root else [*ends, len(block)], least)
-    return _hex(least)
+    return _packed(least)
 
 
-def fingerprints_of_edit(text: str, cut: int, tail: str, hashes: TokenHashes) -> tuple[str, str]:
+def fingerprints_of_edit(text: str, cut: int, tail: str, hashes: TokenHashes) -> tuple[bytes, bytes]:
     """Fingerprints of ``text`` and of its first ``cut`` characters with ``tail`` behind.
 
     What both start with is parsed once: the phrases that the rest of the text
@@ -118,7 +119,7 @@ def fingerprints_of_edit(text: str, cut: int, tail: str, hashes: TokenHashes) ->
         own, node = parse(tokens, root, fork, made)
         own = own if node is root else [*own, len(tokens)]
         _collect(np.concatenate([open_codes, _codes(tokens, hashes)]), [e + len(open_codes) for e in own], bins)
-        out.append(_hex(bins))
+        out.append(_packed(bins))
         for place, token in reversed(made):
             del place[token]
         made.clear()
@@ -142,17 +143,17 @@ def _collect(codes: np.ndarray, phrase_ends: list[int], least: np.ndarray) -> No
     np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes >> np.uint64(7))
 
 
-def likeness_of(a: str, b: str) -> float:
+def likeness_of(a: bytes, b: bytes) -> float:
     if not a or not b:
         return float(a == b)
-    x, y = np.frombuffer(bytes.fromhex(a), ">u2"), np.frombuffer(bytes.fromhex(b), ">u2")
+    x, y = np.frombuffer(a, ">u2"), np.frombuffer(b, ">u2")
     used = (x != EMPTY) | (y != EMPTY)
     return float((x == y)[used].mean())
 
 
 def fingerprint(text: str | Column) -> Column:
-    """Fingerprint of a text column, a hex string."""
-    @F.pandas_udf("string")
+    """Fingerprint of a text column."""
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
         hashes = TokenHashes()
         return pd.Series([fingerprint_of(t or "", hashes) for t in texts], dtype=object)
@@ -164,7 +165,7 @@ def fingerprint_edit(text: str, next_text: str) -> Column:
 
     The edited text has, in place of its last half, the first as many characters of ``next_text``.
     """
-    @F.pandas_udf("fingerprint string, edited_fingerprint string, edited_sha256 string")
+    @F.pandas_udf("fingerprint binary, edited_fingerprint binary, edited_sha256 binary")
     def of(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
         hashes, rows = TokenHashes(), []
         for t, other in zip(texts, others):
@@ -172,7 +173,7 @@ def fingerprint_edit(text: str, next_text: str) -> Column:
             half = len(t) // 2
             tail = other[:half]
             rows.append((*fingerprints_of_edit(t, len(t) - half, tail, hashes),
-                         hashlib.sha256((t[:len(t) - half] + tail).encode()).hexdigest()))
+                         hashlib.sha256((t[:len(t) - half] + tail).encode()).digest()))
         return pd.DataFrame(rows, columns=["fingerprint", "edited_fingerprint", "edited_sha256"])
     return of(text, next_text)
 
@@ -181,7 +182,7 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     """Estimated overlap of the phrase sets behind two fingerprints, 0 to 1; null counts as empty."""
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([likeness_of(i or "", j or "") for i, j in zip(x, y)], dtype="float64")
+        return pd.Series([likeness_of(i or b"", j or b"") for i, j in zip(x, y)], dtype="float64")
     return of(a, b)
 
 

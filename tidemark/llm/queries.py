@@ -66,7 +66,8 @@ def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = edited.withColumn("f", phrases.fingerprint_edit("text", "next_text")).select(
         "doc_id", "part", "halo", F.xxhash64("text").alias("text"), F.length("text").cast("long").alias("n_chars"), "f.*")
     nearby = marked.withColumn("next_fingerprint", phrases.following("fingerprint")).where("halo = 0")
-    return nearby.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    return nearby.select("doc_id", "n_chars",
+                         *(F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")),
                          phrases.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
                          phrases.likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
