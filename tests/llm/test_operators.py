@@ -352,3 +352,12 @@ def test_near_dedup_edges(spark, odd, nothing, tmp_path, monkeypatch):
     got = {r.doc_id: r.group_id for r in bagminhash.groups(spark.read.parquet(str(tmp_path / "t"))).collect()}
     same = lambda g: {frozenset(i for i in g if g[i] == k) for k in g.values()}
     assert same(got) == same(truth)
+
+
+def test_pipeline_keeps_one_row_of_odd_ones(spark, odd, nothing):
+    import corpus_pipeline
+    assert corpus_pipeline.near(spark, odd, "").columns == odd.columns
+    kept = corpus_pipeline.near(spark, odd, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4, 5, 6]     # null and empty texts are one class, blanks another
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, "").count() == 0

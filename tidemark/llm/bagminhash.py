@@ -42,7 +42,7 @@ COMPONENTS = BANDS * ROWS
 #: Characters of the bags that one block of a large bucket holds.
 BLOCK_CHARS = 4_000_000
 #: Members that one task compares with a hub.
-STAR = 4_000
+STAR = 500
 MEMORY = 1 << 20
 #: Characters of the texts whose signatures are made together.
 BATCH_CHARS = 1 << 19
@@ -126,7 +126,7 @@ def overlap(a: tuple, b: tuple) -> float:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, class_id) and class texts (class_id, text, least doc_id, copies).
+    """Members (doc_id, digest, class_id, copies) and classes (digest, class_id, first_id, copies).
 
     Class ids number the texts by least doc_id, so the least class of a group holds its survivor.
     """
@@ -135,7 +135,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     per = (members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
            .withColumn("one", F.lit(1).cast("long")))
     numbered = prefix_sum(per, [F.col("first_id").asc_nulls_last(), F.col("digest")], "one", "class_id", "bag-classes").drop("one")
-    return members.join(numbered.select("digest", "class_id", "copies"), "digest").drop("digest"), numbered
+    return members.join(numbered.select("digest", "class_id", "copies"), "digest"), numbered
 
 
 def _bands(texts: pd.Series) -> pd.Series:
@@ -266,7 +266,7 @@ def links(docs: DataFrame, numbered: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id, copies, group_id (least class of the group), kept.
+    """One row per document: doc_id, digest, class_id, copies, group_id (least class of the group), kept.
 
     The survivor of a group is its document of least doc_id; if several rows carry that id and text, all of them.
     """
