@@ -11,8 +11,8 @@ Learning takes a bounded sample of labelled rows: ``per_class`` rows a class for
 the dictionaries and ``calibration`` rows for the curve, the rows whose hashed id
 is least; rows over ``max_chars`` are left out of the sample (never of scoring).
 
-Defined cases: a null text counts as empty; an empty text compresses equally
-with both and gets the score of difference 0; ids whose labels contradict each
+Defined cases: a null text counts as empty; empty texts compress equally with
+both and all get one score; ids whose labels contradict each
 other and null labels teach nothing; repeated rows count once each; without
 labels of both classes every score is the share of label 1 (0.5 without labels);
 extra columns are ignored.
