@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Words, parts of words and pairs that a task remembers, each, before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Rows handled at a time.
 ROWS = 256
 #: Stands for a character outside the vocabulary.
