@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import SF_DIR
 from tidemark.llm import bagminhash, common, cuckoo, htmldiff, langid, linedup, mixing, phrases, pieces, pii, quality
 from tidemark.llm.queries import vocabulary_path
 
@@ -231,6 +232,25 @@ def test_language_edges(spark, odd, nothing):
     assert np.abs(langid.counts(long, letters) - 60_000 / 10 * langid.counts(long[:240], letters)).max() < 60_010
 
 
+def test_language_rejects_what_it_has_not_learnt(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    held = F.pmod("doc_id", F.lit(4)) == 2
+    model, rng = langid.fit(docs, ~held), random.Random(3)
+
+    def noise(n, alphabet):
+        return " ".join("".join(rng.choices(alphabet, k=rng.randint(2, 9))) for _ in range(n))
+    strange = ["kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki ja omatunto ja heidan on toimittava",
+               "wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem i sumieniem i powinni postepowac"]
+    strange += [noise(n, a) for n in (50, 200, 3000) for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", [chr(c) for c in range(0x4E00, 0x9000)])]
+    real = [r.text for r in docs.where(held).collect() if r.text]
+    short = [t[at:at + n] for t in real for n in (3, 8, 15, 30, 60, 120) if len(t) > n for at in (rng.randrange(len(t) - n),)]
+    short = [t for t in short if any(c.isalpha() for c in t)]
+    rows = [(kind, t) for kind, texts in (("strange", strange), ("real", real), ("short", short)) for t in texts]
+    passed = Counter(r.kind for r in langid.predict(spark.createDataFrame(rows, "kind string, text string"), model).where("NOT rejected").collect())
+    assert passed["strange"] == 0
+    assert passed["real"] == len(real) and passed["short"] > 0.99 * len(short)
+
+
 # 7 phrases
 
 def test_phrases_equal_direct_parse():

@@ -4,7 +4,13 @@ A text becomes counts of its hashed letter n-grams (one to three letters, spaces
 included), damped, weighted by inverse document frequency and scaled to length
 one. Each language has several centroids, from spherical k-means over its own
 vectors. The language of the nearest centroid by cosine is the prediction; a
-text further from it than nearly all learning texts is rejected.
+text much further from it than nearly all learning texts with as many different
+n-grams is rejected. A cosine rises with the n-grams there are, from 0.05 for a
+word to 0.9 for a page, so whole learning texts and pieces of them of all lengths
+are measured, each against centroids of the half of the sample it is not in; a
+language and half octave of n-grams has its own bound, ``MARGIN`` of the 1%
+quantile. The margin is for texts of the language on other subjects than those
+learnt from. A few letters can't be told from other languages and mostly pass.
 
 Learning takes a bounded sample: about ``per_language`` rows a language, chosen
 by a hash of id and text against a rate from the counts of all rows.
@@ -27,8 +33,11 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 PIECE = 1 << 19
-#: A text is rejected below this share of the cosine that 99 of 100 learning texts reach: a few letters may have little in common with whole texts.
-REJECT = 0.25
+#: A text is rejected below this share of the cosine that 99 of 100 learning texts of its language and size reach.
+MARGIN = 0.5
+#: Half octaves of different n-grams, and lengths of the pieces of learning texts.
+LEVELS = 2 * 13 + 1
+LENGTHS = [1 << k for k in range(17)]
 
 
 @dataclass
@@ -37,7 +46,7 @@ class LanguageModel:
     owner: np.ndarray           # language of each centroid
     centroids: np.ndarray       # one column each, times the idf
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray    # a row for each language, a column for each level
 
 
 def _letter_table() -> np.ndarray:
@@ -75,55 +84,90 @@ def counts(text: str, letters: np.ndarray) -> np.ndarray | None:
     return total if found else None
 
 
+def level(grams: np.ndarray) -> np.ndarray:
+    """Half octave of a number of different n-grams."""
+    return (2 * np.log2(np.maximum(grams, 1))).astype(np.int64)
+
+
+def _centres(own: np.ndarray, centroids: int, rounds: int) -> np.ndarray:
+    """Spherical k-means over the vectors of one language."""
+    picks = np.linspace(0, len(own) - 1, min(centroids, len(own))).round().astype(int)
+    centre = own[np.unique(picks)].copy()
+    for _ in range(rounds):
+        nearest = (own @ centre.T).argmax(1)
+        for j in range(len(centre)):
+            if (nearest == j).any():
+                m = own[nearest == j].mean(0)
+                centre[j] = m / np.linalg.norm(m)
+    return centre
+
+
+def _bounds(texts: list[str], own: np.ndarray, idf: np.ndarray, per_language: int, centroids: int, rounds: int) -> np.ndarray:
+    """The least cosine to accept for one language, by level of different n-grams."""
+    letters, draw, found = _letter_table(), np.random.default_rng(0), [[] for _ in range(LEVELS)]
+    for half in (0, 1):
+        mine, rest = own[half::2], own[1 - half::2]
+        centre = _centres(rest if len(rest) else own, centroids, rounds).T
+        for k, best in zip(level((mine > 0).sum(1)), (mine @ centre).max(1)):
+            found[k].append(best)
+        joined = "\n".join(t[:LENGTHS[-1]] for t in texts[half::2])
+        for n in LENGTHS:
+            for _ in range(min(per_language // 2, len(joined) // n)):
+                at = int(draw.integers(len(joined) - n + 1))
+                c = counts(joined[at:at + n], letters)
+                if c is not None:
+                    v = np.log1p(c).astype(np.float32) * idf
+                    found[level((v > 0).sum())].append((v @ centre).max() / np.linalg.norm(v))
+    out, last = np.zeros(LEVELS), 0.0
+    for k, cosines in enumerate(found):                         # beyond what was measured the level before holds
+        last = MARGIN * float(np.quantile(cosines, 0.01)) if cosines else last
+        out[k] = last
+    return out
+
+
 def fit(docs: DataFrame, learnable: Column, per_language: int = 400, centroids: int = 3, rounds: int = 8) -> LanguageModel:
     """Learns from ``docs`` (doc_id, text, lang) where ``learnable`` holds."""
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}   # a row per language
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))]) if sizes else None
     if rate is None:
-        return LanguageModel([], np.zeros(0, int), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
+        return LanguageModel([], np.zeros(0, int), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, LEVELS)))
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000.0
     sample = rows.where(draw < rate[F.col("lang")]).select("lang", "text").toPandas()
     sample = sample.sort_values(["lang", "text"], ignore_index=True)
     letters = _letter_table()
-    vectors, langs = [], []
+    vectors, langs, texts = [], [], []
     for lang, text in zip(sample.lang, sample.text):
         c = counts(text, letters)
         if c is not None:
             vectors.append(np.log1p(c).astype(np.float32))
             langs.append(lang)
+            texts.append(text)
     if not vectors:
-        return LanguageModel([], np.zeros(0, int), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(DIMENSIONS, np.float32), 0.0)
+        return LanguageModel([], np.zeros(0, int), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(DIMENSIONS, np.float32), np.zeros((0, LEVELS)))
     x, langs = np.stack(vectors), np.array(langs, object)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = x * idf
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    languages, owner, centres = sorted(set(langs)), [], []
+    languages, owner, centres, bounds = sorted(set(langs)), [], [], []
     for k, lang in enumerate(languages):
         own = x[langs == lang]
-        picks = np.linspace(0, len(own) - 1, min(centroids, len(own))).round().astype(int)
-        centre = own[np.unique(picks)].copy()
-        for _ in range(rounds):
-            nearest = (own @ centre.T).argmax(1)
-            for j in range(len(centre)):
-                if (nearest == j).any():
-                    m = own[nearest == j].mean(0)
-                    centre[j] = m / np.linalg.norm(m)
+        centre = _centres(own, centroids, rounds)
+        bounds.append(_bounds([t for t, o in zip(texts, langs) if o == lang], own, idf, per_language, centroids, rounds))
         centres.append(centre)
         owner += [k] * len(centre)
     centre = np.concatenate(centres)
-    best = (x @ centre.T).max(1)
     return LanguageModel(languages, np.array(owner), np.ascontiguousarray((centre * idf).T.astype(np.float32)), idf,
-                         float(np.quantile(best, 0.01)) * REJECT)
+                         np.stack(bounds))
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (cosine to the nearest centroid) and rejected."""
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         letters = _letter_table()
         n = len(texts)
-        lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
+        lang, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
         block, places = [], []
 
         def flush():
@@ -134,6 +178,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 best = cosine.argmax(1)
                 lang[places] = np.array(model.languages, object)[model.owner[best]]
                 score[places] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+                rejected[places] = score[places] < model.reject_below[model.owner[best], level((x > 0).sum(1))]
             block.clear()
             places.clear()
         for i, value in enumerate(texts):
@@ -144,7 +189,6 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 if len(block) == 256:
                     flush()
         flush()
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]      # columns of these names are replaced
-    out = docs.withColumn("_p", predicted(text)).select(*own, "_p.lang_pred", "_p.score")
-    return out.withColumn("rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < model.reject_below))
+    return docs.withColumn("_p", predicted(text)).select(*own, "_p.lang_pred", "_p.score", "_p.rejected")
