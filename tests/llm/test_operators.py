@@ -381,3 +381,18 @@ def test_pipeline_keeps_one_row_of_odd_ones(spark, odd, nothing):
     assert sorted(r.doc_id for r in kept) == [1, 3, 4, 5, 6]     # null and empty texts are one class, blanks another
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, "").count() == 0
+
+
+def texts_of(spark, path, rows):
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(path))
+    return {r.page_id: r.text for r in htmldiff.extract(spark.read.parquet(str(path))).collect()}
+
+
+def test_neighbours_decide_beside_an_article(spark, tmp_path):
+    names = "red green blue white".split()
+    page = "<div>Site name and topics</div><div>A {0} headline</div><article><p>the {0} story of {0}</p><p>they all say this</p></article><div>Contact us here</div>"
+    rows = [(i, f"http://h.example/{i}", page.format(c)) for i, c in enumerate(names)] + [(9, "http://alone.example/", page.format("grey"))]
+    got = texts_of(spark, tmp_path / "t", rows)
+    for i, c in enumerate(names):
+        assert got[i] == f"A {c} headline the {c} story of {c} they all say this"
+    assert got[9] == "the grey story of grey they all say this"

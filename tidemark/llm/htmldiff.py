@@ -6,13 +6,15 @@ the longest common subsequence of lines, and shared lines are taken for the
 site's frame and deleted. Two things need the markup as well: lines inside an
 article or main element are the page's own even if a neighbour carries the same
 passage, and lines in menus, headers, footers, sidebars, notices, adverts, forms
-and comment threads go even if no neighbour shares them. A neighbour that shares
-nearly all words is a copy of the page and says nothing about the frame.
+and comment threads go even if no neighbour shares them. All other lines, also
+those beside an article, stay if no neighbour shares them and go if one does. A
+neighbour that shares nearly all words is a copy of the page and says nothing
+about the frame.
 
 Defined cases: null html is empty, text ""; a null or broken URL gives an empty
 host and path, and such pages are neighbours of each other; equal URLs are
 ordered by place in the scan; a page without neighbours keeps what the markup
-leaves; unclosed and stray tags are tolerated; repeated rows are separate pages;
+leaves, only the article or main element where it has one; unclosed and stray tags are tolerated; repeated rows are separate pages;
 extra columns are ignored.
 """
 
@@ -178,7 +180,7 @@ def outlines(pages: DataFrame) -> DataFrame:
 
 
 def frame_lines(pages: DataFrame) -> DataFrame:
-    """row_id and the places of the lines that a neighbouring page shares; pages without any are left out.
+    """row_id and the places of the lines that a neighbouring page shares; pages compared with none are left out.
 
     Pages of a host with equal lines are one page here, at the place of the first of them.
     """
@@ -198,13 +200,13 @@ def frame_lines(pages: DataFrame) -> DataFrame:
         for a, w, b, v in zip(hashes, words, others, other_words):
             places = shared(a.tolist(), b.tolist())
             same = int(np.asarray(w)[places].sum()) if places else 0
-            out.append([] if same >= COPY * min(int(np.sum(w)), int(np.sum(v))) else places)
+            out.append(None if same >= COPY * min(int(np.sum(w)), int(np.sum(v))) else places)
         return pd.Series(out)
 
     # a page whose lines all have a role from the markup needs no neighbour
-    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r == PLAIN) & ~F.exists("roles", lambda r: r == MAIN)).withColumn(
+    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r == PLAIN)).withColumn(
         "places", common("hashes", "words", "others", "other_words"))
-    merged = found.where(F.size("places") > 0).groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    merged = found.where("places IS NOT NULL").groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     return outlined.select("row_id", "host", "same").join(merged, ["host", "same"]).select("row_id", "places")
 
 
@@ -217,9 +219,9 @@ def extract(pages: DataFrame) -> DataFrame:
         out = []
         for html, drop in zip(htmls, places):
             lines = lines_of(html or "")
+            alone = drop is None and any(r == MAIN for _, r in lines)        # nothing but the markup to go by
             drop = set(drop.tolist()) if drop is not None else ()
-            marked = any(r == MAIN for _, r in lines)
-            out.append(" ".join(t for i, (t, r) in enumerate(lines) if r == MAIN or r == PLAIN and not marked and i not in drop))
+            out.append(" ".join(t for i, (t, r) in enumerate(lines) if r == MAIN or r == PLAIN and not alone and i not in drop))
         return pd.Series(out)
 
     rows = with_row_id(pages.select("page_id", "url", "html"), "row_id")
