@@ -396,3 +396,19 @@ def test_neighbours_decide_beside_an_article(spark, tmp_path):
     for i, c in enumerate(names):
         assert got[i] == f"A {c} headline the {c} story of {c} they all say this"
     assert got[9] == "the grey story of grey they all say this"
+
+
+def test_frame_rules_keep_real_text(spark, tmp_path):
+    def one(html):
+        return " ".join(t for t, r in htmldiff.lines_of(html) if r not in (htmldiff.CHROME, htmldiff.GUESSED))
+    for attributes in ('style="overflow:hidden"', 'href="/a/hidden-gems"', 'title="the hidden side"', 'data-hidden="false"', "href=/x?class=ad",
+                       'aria-hidden="false"', *(f'class="{c}"' for c in ("layout has-sidebar", "no-sidebar", "comments-open single", "elementor-widget",
+                                                                        "entry-header", "share-price", "related-work"))):
+        assert one(f"<div {attributes}><p>real text</p></div>") == one(f"<article><div {attributes}><p>real text</p></div></article>") == "real text"
+    for attributes in ("hidden", 'HIDDEN=""', "aria-hidden='true'", "role=navigation", 'class="x ad"', "id=comments"):
+        assert one(f"<div {attributes}>gone<p>gone</p></div>stays") == "stays"
+    assert one('<div class="page sidebar">gone<article>real</article>gone</div>') == "real"
+    assert one('<main>real<div class="sidebar">gone<article>teaser</article></div></main>') == one("<main>real</main><div class=comments><article>gone</article></div>") == "real"
+    page = '<article><div class="share-box">Share this now</div><div class="share-price">It stands at {0} today</div><p>news of {0} and {0}, on {0}</p></article>'
+    got = texts_of(spark, tmp_path / "t", [(i, f"http://h.example/{i}", page.format(c)) for i, c in enumerate(("ten", "six", "two"))])
+    assert got[1] == "It stands at six today news of six and six, on six"

@@ -41,14 +41,20 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 OWN = {"article", "main"}
 FRAME = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "header", "head"}
 FRAME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-FRAME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|share|social|newsletter|"
-    r"subscribe|signup|login|comments?|disqus|replies)(?:$|[\s_-])", re.I)
+#: Class and id names, compared whole: those of what is never page text, and those that page text may carry as well.
+#: The latter, and names with a part from either list, are confirmed by what neighbours share.
+FRAME_NAMES = set("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored cookie cookies popup nav "
+                  "navbar navigation breadcrumb breadcrumbs footer sidebar newsletter subscribe".split())
+THREADS = {"comments", "disqus", "replies"}             # often full of article elements
+DOUBTFUL = FRAME_NAMES | THREADS | set("promo promos promotion banner consent notice modal overlay menu header masthead aside widget related share social signup "
+                             "login comment".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-PLAIN, MAIN, CHROME = 0, 1, 2
+#: One attribute from its start: the name, then the value if it has one.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'=][^\s>]*")
+#: GUESSED is dropped like CHROME, but an article or main element in it is MAIN again, unless it stands in one itself.
+#: DOUBT is a doubtful name inside an article: unlike MAIN it goes if a neighbour shares it.
+PLAIN, MAIN, CHROME, GUESSED, DOUBT = range(5)
 #: Share of the words of either page from which a neighbour counts as a copy.
 COPY = 0.8
 
@@ -57,21 +63,25 @@ def _role(name: str, attributes: str, now: int, inside: bool) -> int:
     """Role of the text in an element, given that of its parent."""
     if now == CHROME:
         return CHROME
-    if name in OWN:
+    given = {}
+    for key, *values in ATTRIBUTE.findall(attributes) if attributes else ():
+        if key:
+            given.setdefault(key.lower(), next(filter(None, values), ""))
+    as_role = given.get("role", "").strip().lower()
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or as_role in FRAME_ROLES:
+        return CHROME
+    if (name in OWN or as_role in OWN) and not (now == GUESSED and inside):
         return MAIN
     if name in FRAME and not (name == "header" and inside):
         return CHROME
-    if attributes:
-        for key, *values in ATTRIBUTE.findall(attributes):
-            value, key = next(filter(None, values), ""), key.lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true":
-                return CHROME
-            if key == "role" and value.lower() in FRAME_ROLES:
-                return CHROME
-            if key == "role" and value.lower() in OWN:
-                return MAIN
-            if key in ("class", "id") and name not in ("html", "body") and FRAME_NAMES.search(value):
-                return CHROME
+    if now != GUESSED and name not in ("html", "body"):
+        words = [w.lower() for key in ("class", "id") for w in given.get(key, "").split()]
+        if any(w in THREADS for w in words):
+            return CHROME
+        if any(w in FRAME_NAMES for w in words):
+            return GUESSED
+        if now == MAIN and any(w in DOUBTFUL or not DOUBTFUL.isdisjoint(re.split("[_-]+", w)) for w in words):
+            return DOUBT
     return now
 
 
@@ -204,7 +214,7 @@ def frame_lines(pages: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     # a page whose lines all have a role from the markup needs no neighbour
-    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r == PLAIN)).withColumn(
+    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r.isin(PLAIN, DOUBT))).withColumn(
         "places", common("hashes", "words", "others", "other_words"))
     merged = found.where("places IS NOT NULL").groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     return outlined.select("row_id", "host", "same").join(merged, ["host", "same"]).select("row_id", "places")
@@ -221,7 +231,7 @@ def extract(pages: DataFrame) -> DataFrame:
             lines = lines_of(html or "")
             alone = drop is None and any(r == MAIN for _, r in lines)        # nothing but the markup to go by
             drop = set(drop.tolist()) if drop is not None else ()
-            out.append(" ".join(t for i, (t, r) in enumerate(lines) if r == MAIN or r == PLAIN and not alone and i not in drop))
+            out.append(" ".join(t for i, (t, r) in enumerate(lines) if r == MAIN or i not in drop and (r == DOUBT or r == PLAIN and not alone)))
         return pd.Series(out)
 
     rows = with_row_id(pages.select("page_id", "url", "html"), "row_id")
