@@ -412,3 +412,16 @@ def test_frame_rules_keep_real_text(spark, tmp_path):
     page = '<article><div class="share-box">Share this now</div><div class="share-price">It stands at {0} today</div><p>news of {0} and {0}, on {0}</p></article>'
     got = texts_of(spark, tmp_path / "t", [(i, f"http://h.example/{i}", page.format(c)) for i, c in enumerate(("ten", "six", "two"))])
     assert got[1] == "It stands at six today news of six and six, on six"
+
+
+def test_copies_are_passed_and_stubs_are_not_copies(spark, tmp_path):
+    frame_top = "".join(f"<div>Topic {t} of our long plain menu</div>" for t in "abcdefgh")
+    names = "red green blue white black brown pink".split()
+    rows = [(i, f"http://stubs.example/{i}", f"{frame_top}<p>Item {c}</p><div>Contact us here</div>") for i, c in enumerate(names)]
+    story = "the long story of a river that runs past many towns and many mills " * 3
+    copies = [(20 + i, f"http://copies.example/a{i:02}", f"<div>Site name</div><p>{story}</p><p>seen {i}</p>") for i in range(12)]
+    others = [(40 + i, f"http://copies.example/{k}", f"<div>Site name</div><p>only {c} here {c} and {c}</p>") for i, (k, c) in enumerate(zip("019bcd", names))]
+    got = texts_of(spark, tmp_path / "t", rows + copies + others)
+    assert [got[i] for i in range(len(names))] == [f"Item {c}" for c in names]
+    assert [got[20 + i] for i in range(12)] == [f"{story}seen {i}" for i in range(12)]
+    assert [got[40 + i] for i in range(6)] == [f"only {c} here {c} and {c}" for c in names[:6]]

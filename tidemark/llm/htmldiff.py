@@ -8,8 +8,11 @@ article or main element are the page's own even if a neighbour carries the same
 passage, and lines in menus, headers, footers, sidebars, notices, adverts, forms
 and comment threads go even if no neighbour shares them. All other lines, also
 those beside an article, stay if no neighbour shares them and go if one does. A
-neighbour that shares nearly all words is a copy of the page and says nothing
-about the frame.
+page that shares nearly all words is a copy and says nothing about the frame: the
+next page in order that is no copy is the neighbour. Copies are judged on the
+words outside the frame, which is what the markup says is frame and, on hosts of
+enough pages, lines that nearly all their pages have. (With fewer pages, stubs in
+one frame can't be told from copies, and keep it.)
 
 Defined cases: null html is empty, text ""; a null or broken URL gives an empty
 host and path, and such pages are neighbours of each other; equal URLs are
@@ -57,6 +60,10 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 PLAIN, MAIN, CHROME, GUESSED, DOUBT = range(5)
 #: Share of the words of either page from which a neighbour counts as a copy.
 COPY = 0.8
+#: A line is the host's frame on hosts of so many different pages if this share of them has it.
+LEAST_PAGES, USUAL = 5, 0.9
+#: So many copies are passed one by one; then a run of pages that are each a copy of the one before is passed at once.
+SINGLY = 4
 
 
 def _role(name: str, attributes: str, now: int, inside: bool) -> int:
@@ -178,7 +185,7 @@ def _hashed(lines) -> list[int]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """row_id, host, path, url, and of each line its hash, its role and its words; same: hash of all lines."""
+    """row_id, host, path, url, and of each line its hash, its role and its words; same: hash of all lines and roles."""
     @F.pandas_udf("hashes array<long>, roles array<int>, words array<int>")
     def outline(htmls: pd.Series) -> pd.DataFrame:
         pages = [lines_of(h or "") for h in htmls]
@@ -186,37 +193,83 @@ def outlines(pages: DataFrame) -> DataFrame:
                              "words": [[line.count(" ") + 1 for line, _ in p] for p in pages]})
     rows = with_row_id(pages.select("page_id", "url", "html"), "row_id")
     return (rows.withColumn("o", outline("html")).select("row_id", host("url").alias("host"), path("url").alias("path"), "url", "o.*")
-            .withColumn("same", F.xxhash64(F.size("hashes"), "hashes")))
+            .withColumn("same", F.xxhash64(F.size("hashes"), "hashes", "roles")))
 
 
 def frame_lines(pages: DataFrame) -> DataFrame:
     """row_id and the places of the lines that a neighbouring page shares; pages compared with none are left out.
 
     Pages of a host with equal lines are one page here, at the place of the first of them.
+    Each side of a page is asked again, further on, while it only met copies.
     """
     outlined = write_stage(outlines(pages), "page-outlines")
-    firsts = (outlined.groupBy("host", "same").agg(F.min(F.struct("path", "url", "row_id")).alias("k"))
+    asking = F.exists("roles", lambda r: r.isin(PLAIN, DOUBT))
+    hosts = outlined.where(asking).select("host").distinct()        # other hosts have nothing to decide
+    firsts = (outlined.join(hosts, "host", "left_semi").groupBy("host", "same").agg(F.min(F.struct("path", "url", "row_id")).alias("k"))
               .select("host", "same", F.col("k.row_id").alias("row_id")))
-    distinct = outlined.join(firsts.select("row_id"), "row_id").withColumn("one", F.lit(1).cast("long"))
-    lined = prefix_sum(distinct, [F.col("host"), F.col("path"), F.col("url"), F.col("row_id")], "one", "place", "page-order").drop("one")
-    other = lined.select("host", F.col("place").alias("p"), F.struct("hashes", "words").alias("n"))
-    sides = [lined.alias("l").join(other.alias("o"), (F.col("l.host") == F.col("o.host")) & (F.col("o.p") == F.col("l.place") + d))
-             .select("l.host", "same", "hashes", "roles", "words", F.col("n.hashes").alias("others"), F.col("n.words").alias("other_words"))
-             for d in (-1, 1)]
+    distinct = write_stage(outlined.join(firsts.select("row_id"), "row_id"), "page-distinct")
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    usual = (distinct.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+             .join(sizes, "host").where(F.col("n") >= USUAL * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("usual")))
+
+    @F.pandas_udf("array<int>")
+    def own_words(hashes: pd.Series, roles: pd.Series, words: pd.Series, usual: pd.Series) -> pd.Series:
+        """Words of each line, 0 for lines of the frame."""
+        out = []
+        for h, r, w, u in zip(hashes, roles, words, usual):
+            frame = set(u.tolist()) if u is not None else ()
+            out.append([0 if role in (CHROME, GUESSED) or line in frame else n for line, role, n in zip(h.tolist(), r.tolist(), w.tolist())])
+        return pd.Series(out)
+    lined = distinct.join(usual, "host", "left").withColumn("words", own_words("hashes", "roles", "words", "usual")).drop("usual").withColumn("one", F.lit(1).cast("long"))
+    lined = prefix_sum(lined, [F.col("host"), F.col("path"), F.col("url"), F.col("row_id")], "one", "place", "page-order").drop("one")
+    lined = write_stage(lined.withColumn("asking", asking), "page-lined")
+    page = F.struct("hashes", "words")
 
     @F.pandas_udf("array<int>")
     def common(hashes: pd.Series, words: pd.Series, others: pd.Series, other_words: pd.Series) -> pd.Series:
+        """Places of the shared lines, null for a copy."""
         out = []
         for a, w, b, v in zip(hashes, words, others, other_words):
             places = shared(a.tolist(), b.tolist())
-            same = int(np.asarray(w)[places].sum()) if places else 0
-            out.append(None if same >= COPY * min(int(np.sum(w)), int(np.sum(v))) else places)
+            w, v = np.asarray(w), np.asarray(v)
+            same = int(w[places].sum()) if places else 0
+            least = min(int(w.sum()), int(v.sum()))
+            out.append(None if least and same >= COPY * least else places)
         return pd.Series(out)
 
-    # a page whose lines all have a role from the markup needs no neighbour
-    found = sides[0].unionByName(sides[1]).where(F.exists("roles", lambda r: r.isin(PLAIN, DOUBT))).withColumn(
-        "places", common("hashes", "words", "others", "other_words"))
-    merged = found.where("places IS NOT NULL").groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    def compared(asked: DataFrame) -> DataFrame:
+        """``asked`` (host, place, at, step) with the places that the page at ``place`` shares with the one at ``at``."""
+        mine = lined.select("host", "place", "same", page.alias("m"))
+        other = lined.select("host", F.col("place").alias("at"), page.alias("o"))
+        return asked.join(mine, ["host", "place"]).join(other, ["host", "at"]).select(
+            "host", "place", "same", "at", "step", common("m.hashes", "m.words", "o.hashes", "o.words").alias("places"))
+
+    sides = F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")
+    asked = lined.where("asking").select("host", "place", sides).withColumn("at", F.col("place") + F.col("step"))
+    done, turn, runs = [], 0, None
+    while True:
+        found = write_stage(compared(asked), f"page-shared-{turn}")
+        done.append(found.where("places IS NOT NULL").select("host", "same", "places"))
+        copies = found.where("places IS NULL")
+        if copies.isEmpty():
+            break
+        turn += 1
+        if turn < SINGLY:
+            asked = copies.select("host", "place", "step", (F.col("at") + F.col("step")).alias("at"))
+            continue
+        if runs is None:                                        # runs of pages that are each a copy of the one before
+            pairs = lined.select("host", "place", F.lit(-1).alias("step"), (F.col("place") - 1).alias("at"))
+            linked = compared(pairs).where("places IS NULL").select("host", "place", F.lit(0).cast("long").alias("starts"))
+            runs = lined.select("host", "place").join(linked, ["host", "place"], "left").fillna(1, ["starts"])
+            runs = prefix_sum(runs, [F.col("host"), F.col("place")], "starts", "before", "page-runs").withColumn("run", F.col("before") + F.col("starts"))
+            runs = write_stage(runs.groupBy("host", "run").agg(F.min("place").alias("first"), F.max("place").alias("last")), "page-runs")
+            places = write_stage(runs.select("host", "first", "last", F.explode(F.sequence("first", "last")).alias("at")), "page-run-places")
+        asked = (copies.select("host", "place", "at", "step").join(places, ["host", "at"])          # on to the next run
+                 .select("host", "place", "step", F.when(F.col("step") > 0, F.col("last") + 1).otherwise(F.col("first") - 1).alias("at")))
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     return outlined.select("row_id", "host", "same").join(merged, ["host", "same"]).select("row_id", "places")
 
 
