@@ -214,6 +214,25 @@ def test_pii_base_and_bootstrap(spark, odd, nothing, tmp_path):
     assert pii.extract(nothing).count() == 0
 
 
+def test_pii_finds_identifiers_with_blanks(spark, tmp_path):
+    def found(text):
+        return [text[s:e] for s, e in pii.candidates(text, sorted((s, e) for s, _, e in pii.base_spans(text)))]
+    assert found("call (743) 555-3824, or 020 7946 0958. Pay 4111 1111 1111 now") == ["(743) 555-3824", "020 7946 0958", "4111 1111 1111"]
+    assert found("write to jo.do at mail dot example dot org or JO [at] host [dot] org") == ["jo.do at mail dot example dot org", "JO [at] host [dot] org"]
+    assert found("(see 555 - 3824) and (abc123x) in 2019, 2020 +1 (212) 555-0100 7") == ["555 - 3824", "abc123x"]
+    assert found("1234567890 1234567891 12") == ["1234567890", "1234567891"]
+    seeds = [(i, f"please call us on +1 (743) 555-38{i:02} thanks") for i in range(10)]
+    hidden = [(100 + i, f"please call us on {t} thanks") for i, t in enumerate(("(743) 555-3924", "020 7946 0958", "743 555 3825"))]
+    mail = [(200 + i, f"so send it to user{i}@mail.example.org today") for i in range(10)] + [(300, "so send it to jo do at host dot org today")]
+    mixed = [(400 + i, f"one of many +1 (743) 555-39{i:02} of these") for i in range(5)] + [(450 + i, f"one of many 19990{i}x of these") for i in range(10)]
+    rows = seeds + hidden + mail + [(301, "so send it to jo.do at host dot org today")] + mixed
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    text = dict(rows)
+    got = {r.doc_id: [(pii.KINDS[s.kind], text[r.doc_id][s.at:s.stop]) for s in r.spans] for r in pii.extract(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert [got[100 + i] for i in range(3)] == [[("phone", t)] for t in ("(743) 555-3924", "020 7946 0958", "743 555 3825")]
+    assert got[301] == [("email", "jo.do at host dot org")] and all(got[450 + i] == [] for i in range(10))
+
+
 # 6 language
 
 def test_language_edges(spark, odd, nothing):

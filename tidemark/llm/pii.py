@@ -4,14 +4,18 @@ Base expressions find e-mail addresses, IP addresses, card and phone numbers.
 They are the seeds: the two words in front of a find, and the one behind it, are
 lexical patterns. Over the graph of patterns and instances Spark alternates two
 steps: a pattern scores by the share of its instances that are known of a kind,
-an instance by the patterns that extract it. Identifier-like strings that the
-expressions miss, but that confident patterns extract, are added as spans.
+where those of no known kind count by ``UNLABELLED``, an instance by the patterns
+that extract it. Identifier-like strings that the expressions miss, but that
+confident patterns extract, are added as spans: words with a digit or an at sign,
+runs of numbers with single blanks between, and addresses with "at" and "dot"
+spelled out, each with the context of the whole.
 
 Scoring works on counted edges, so a pattern or an instance with a third of all
 mentions is one row per neighbour, and every step is a grouped sum.
 
 Defined cases: a null text counts as empty and has no spans; spans count code
-points, end exclusive; a mention that touches a base span is not a candidate;
+points, end exclusive; a word that touches a base span is not a candidate,
+and a run of more than 19 digits falls into its words;
 repeated rows keep their own spans but, counting once, lend a pattern no weight;
 with no seeds nothing is added; extra columns are ignored.
 """
@@ -19,6 +23,8 @@ with no seeds nothing is added; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +42,20 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What could be an identifier: a string with a digit or an at sign, at least this long.
-CANDIDATE = r"[^\s]*[0-9@][^\s]*"
+CANDIDATE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 LEAST_LENGTH = 6
+#: Words of digits, brackets and hyphens that may go on after the next blank, or from the one before; what may be between; most digits of a run.
+GOES_ON = re.compile(r"[^\w\s@]*+[0-9](?:[0-9()./+-]*[0-9)])?")
+FOLLOWS = re.compile(r"[(+]?[0-9][0-9()./+-]*+[^\w\s@]*+")
+BETWEEN = re.compile("[ \u00a0](?:[-/\u2013][ \u00a0])?")
+MOST_DIGITS = 19
+#: An e-mail address with its signs spelled out, tried where "dot" occurs.
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({]?\bat\b[\])}]? ?[A-Za-z0-9-]+(?: ?[\[({]?\bdot\b[\])}]? ?[A-Za-z0-9-]+)+", re.I)
+DOT = re.compile("dot", re.I)
 #: A pattern needs so many different seeds, and this share of its instances known; an instance this score.
 SUPPORT, CONFIDENT, ACCEPTED, ROUNDS = 3, 0.8, 0.8, 3
+#: What an instance of no known kind counts against a pattern; one known of another kind counts 1.
+UNLABELLED = 0.5
 
 MENTION = "array<struct<at:int,stop:int,kind:string,surface:string,patterns:array<string>>>"
 FOUND = f"row_id long, doc_id long, counts array<long>, base array<struct<at:int,kind:int,stop:int>>, mentions {MENTION}"
@@ -90,21 +106,51 @@ def patterns_at(text: str, start: int, end: int) -> list[str]:
     return [f"{left} _", f"{left} _ {_word(after[0]) if after else ''}"] if left else []
 
 
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    """Without signs at the ends, but for a plus, and brackets that close within."""
+    while s < e and not text[s].isalnum():
+        if text[s] in "+(" and text[s + 1:s + 2].isdigit():
+            close = text.find(")", s, e)
+            if text[s] == "+" or close >= 0 and any(map(str.isalnum, text[close + 1:e])):
+                break
+        s += 1
+    while e > s and not text[e - 1].isalnum():
+        e -= 1
+    return s, e
+
+
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of what could be an identifier and touches nothing in ``taken``, which is in order."""
+    out = [m.span() for m in SPELLED.finditer(text)] if DOT.search(text) else []
+    if out:
+        starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+        out = [(s, e) for s, e in out if not (n := bisect_left(starts, e)) or ends[n - 1] <= s]
+    taken, i = sorted([*taken, *out]), 0
+    runs: list[list[tuple[int, int]]] = []
+    for m in CANDIDATE.finditer(text):
+        s, e = m.span()
+        cut = _trimmed(text, s, e)
+        while i < len(taken) and taken[i][1] <= cut[0]:
+            i += 1
+        if any(a < cut[1] and cut[0] < b for a, b in taken[max(0, i - 1):i + 4]):
+            continue
+        if runs and FOLLOWS.fullmatch(text, s, e) and s - runs[-1][-1][1] <= 3 and BETWEEN.fullmatch(text, runs[-1][-1][1], s) \
+                and GOES_ON.fullmatch(text, *runs[-1][-1]):
+            runs[-1].append((s, e))
+        else:
+            runs.append([(s, e)])
+    for run in runs:
+        whole = (run[0][0], run[-1][1])
+        long = len(run) > 1 and sum(c.isdigit() for c in text[slice(*whole)]) > MOST_DIGITS
+        out += [_trimmed(text, *part) for part in (run if long else [whole])]       # too many digits for one number
+    return sorted((s, e) for s, e in out if e - s >= LEAST_LENGTH)
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Base finds and candidates with their patterns."""
     out = [{"at": s, "stop": e, "kind": KINDS[k], "surface": text[s:e][:200], "patterns": patterns_at(text, s, e)} for s, k, e in spans]
-    taken, i = sorted((s, e) for s, _, e in spans), 0
-    for m in re.finditer(CANDIDATE, text):
-        s, e = m.span()
-        while s < e and not text[s].isalnum():
-            s += 1
-        while e > s and not text[e - 1].isalnum():
-            e -= 1
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if e - s >= LEAST_LENGTH and not any(a < e and s < b for a, b in taken[max(0, i - 1):i + 4]):
-            out.append({"at": s, "stop": e, "kind": None, "surface": text[s:e][:200], "patterns": patterns_at(text, s, e)})
-    return out
+    return out + [{"at": s, "stop": e, "kind": None, "surface": text[s:e][:200], "patterns": patterns_at(text, s, e)}
+                  for s, e in candidates(text, sorted((s, e) for s, _, e in spans))]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -138,8 +184,9 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
     strong = None
     for turn in range(ROUNDS):
         weights = links.join(instances, "surface").groupBy("pattern", "kind").agg(F.sum("score").alias("weight"))
-        strong = (weights.join(sizes, "pattern").join(seeds, ["pattern", "kind"])
-                  .withColumn("confidence", F.col("weight") / (F.col("size") + 0.1))
+        known = links.join(instances.select("surface").distinct(), "surface").groupBy("pattern").agg(F.count("*").alias("known"))
+        strong = (weights.join(sizes, "pattern").join(known, "pattern").join(seeds, ["pattern", "kind"])
+                  .withColumn("confidence", F.col("weight") / (F.col("known") + UNLABELLED * (F.col("size") - F.col("known")) + 0.1))
                   .where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "kind", "confidence"))
         strong = write_stage(strong, f"pii-patterns-{turn}")
         reached = (links.join(strong, "pattern").groupBy("surface", "kind")
