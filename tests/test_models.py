@@ -145,3 +145,32 @@ def test_quantiles_in_cells(spark):
     probabilities = [0, 0.1, 0.25, 0.5, 0.9, 0.995, 1]
     got = quantiles.exact_quantiles(df, "x", probabilities).first().q
     assert got == pytest.approx(np.quantile(x, probabilities).tolist(), abs=1e-12)
+
+
+def test_policy_of_fitted_rounds(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_DIR
+    sizes = {r.ronda: r.n for r in entry.queries()["round_comparison_fitted"](spark, SF_DIR).collect()}
+    rows = {r.ronda: r for r in entry.queries()["policy_round_comparison_fitted"](spark, SF_DIR).collect()}
+    assert {k: r.n for k, r in rows.items()} == sizes and len(rows) == 6 and {r.modelo for r in rows.values()} == {"logistica"}
+    assert all(0 <= r.n_aprob <= r.n for r in rows.values())
+    assert len({r.ganancia_politica for k, r in rows.items() if k != "ronda_5"}) > 1     # one window, but not one model
+
+
+def test_boosted_models_asked_for(spark, monkeypatch):
+    from conftest import SF_DIR
+    from tidemark.catalog import queries
+    asked, logistic = [], queries.fitted(spark, SF_DIR, 4, "logistica")
+
+    def stand_in(spark, sf_dir, number, family):
+        asked.append((number, family))
+        return logistic
+    monkeypatch.setattr(queries, "fitted", stand_in)
+    monkeypatch.setattr(queries.training, "importance_ranked", lambda model: asked.append("ranked"))
+    queries.QUERIES["importance_ranked"](spark, SF_DIR)
+    assert asked == [(1, "hojas"), "ranked"]
+    every = [(n, f) for f in ("hojas", "profundidad") for n in range(1, 7)]
+    for name in ("round_comparison_boosted", "policy_round_comparison_boosted"):
+        asked.clear()
+        rows = queries.QUERIES[name](spark, SF_DIR).collect()
+        assert asked == every and sorted((r.ronda, r.modelo) for r in rows) == sorted((f"ronda_{n}", f) for n, f in every)

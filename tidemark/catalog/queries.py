@@ -404,7 +404,7 @@ def train_logistic(spark, sf_dir):
 
 @query
 def train_gbt_leafwise(spark, sf_dir):
-    return _stated(_search(spark, sf_dir, 1, "hojas"))
+    return _stated(fitted(spark, sf_dir, 1, "hojas").results)
 
 
 @query
@@ -432,6 +432,21 @@ def round_comparison_fitted(spark, sf_dir):
     return table.select("ronda", F.lit("logistica").alias("modelo"), "n", "n_pos", (F.col("auc") > 0.5).alias("supera_azar"))
 
 
+def _rounds_fitted(spark, sf_dir, measure, *families):
+    """``measure`` of every round and family, each fitted as the round is set up and scored on its own validation window."""
+    df = labelled(stored(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [
+        reports.compare_rounds({cfg.name: measure(fitted(spark, sf_dir, number, family).score(cfg.valid(df), final=False))
+                                for number, cfg in ROUNDS.items()}).withColumn("modelo", F.lit(family)) for family in families])
+
+
+@query
+def round_comparison_boosted(spark, sf_dir):
+    """Every round's two boosted models, whole grids, with their metrics."""
+    table = _rounds_fitted(spark, sf_dir, metrics.eval_summary, "hojas", "profundidad")
+    return rounded(table, 9, *RATIOS).select("ronda", "modelo", "n", "n_pos", *RATIOS)
+
+
 # Fixed scores standing in for fitted candidates, so that selection over
 # measured results can be checked exactly.
 def _proxy_scores() -> list:
@@ -490,7 +505,7 @@ def coefficients_ranked(spark, sf_dir):
 
 @query
 def importance_ranked(spark, sf_dir):
-    return training.importance_ranked(fitted(spark, sf_dir, 1, "profundidad"))
+    return training.importance_ranked(fitted(spark, sf_dir, 1, "hojas"))
 
 
 # --- metrics ----------------------------------------------------------------
@@ -624,6 +639,25 @@ def policy_round_comparison(spark, sf_dir):
     return rounded(rounded(totals, 2, *MONEY), 6, "pct_aprob", "veces_aprobar_todo")
 
 
+def _policy_fitted(spark, sf_dir, *families):
+    table = reports.policy_uplift(_rounds_fitted(
+        spark, sf_dir, lambda df: policy.policy_eval(policy.realized_value(policy.decide(policy.add_economics(df)))), *families))
+    table = table.select("ronda", "modelo", *[c for c in table.columns if c not in ("ronda", "modelo")])
+    return rounded(rounded(table, 2, *MONEY), 6, "pct_aprob", "veces_aprobar_todo")
+
+
+@query
+def policy_round_comparison_fitted(spark, sf_dir):
+    """The policy over the fitted logistic model of every round, on its own validation window."""
+    return _policy_fitted(spark, sf_dir, "logistica")
+
+
+@query
+def policy_round_comparison_boosted(spark, sf_dir):
+    """The policy over the fitted boosted models of every round."""
+    return _policy_fitted(spark, sf_dir, "hojas", "profundidad")
+
+
 # --- exploration ------------------------------------------------------------
 
 @query
