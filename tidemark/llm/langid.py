@@ -7,7 +7,7 @@ vectors. The language of the nearest centroid by cosine is the prediction; a
 text much further from it than nearly all learning texts with as many different
 n-grams is rejected. A cosine rises with the n-grams there are, from 0.05 for a
 word to 0.9 for a page, so whole learning texts and pieces of them of all lengths
-are measured, each against centroids of the half of the sample it is not in; a
+are measured, each against centroids of the parts of the sample it is not in; a
 language and half octave of n-grams has its own bound, ``MARGIN`` of the 1%
 quantile. The margin is for texts of the language on other subjects than those
 learnt from. A few letters can't be told from other languages and mostly pass.
@@ -35,8 +35,9 @@ DIMENSIONS = 1 << 13
 PIECE = 1 << 19
 #: A text is rejected below this share of the cosine that 99 of 100 learning texts of its language and size reach.
 MARGIN = 0.5
-#: Half octaves of different n-grams, and lengths of the pieces of learning texts.
+#: Half octaves of different n-grams, parts of the sample, and lengths of the pieces of learning texts.
 LEVELS = 2 * 13 + 1
+PARTS = 5
 LENGTHS = [1 << k for k in range(17)]
 
 
@@ -105,14 +106,14 @@ def _centres(own: np.ndarray, centroids: int, rounds: int) -> np.ndarray:
 def _bounds(texts: list[str], own: np.ndarray, idf: np.ndarray, per_language: int, centroids: int, rounds: int) -> np.ndarray:
     """The least cosine to accept for one language, by level of different n-grams."""
     letters, draw, found = _letter_table(), np.random.default_rng(0), [[] for _ in range(LEVELS)]
-    for half in (0, 1):
-        mine, rest = own[half::2], own[1 - half::2]
+    for part in range(min(PARTS, len(own))):
+        mine, rest = own[part::PARTS], np.delete(own, slice(part, None, PARTS), 0)
         centre = _centres(rest if len(rest) else own, centroids, rounds).T
         for k, best in zip(level((mine > 0).sum(1)), (mine @ centre).max(1)):
             found[k].append(best)
-        joined = "\n".join(t[:LENGTHS[-1]] for t in texts[half::2])
+        joined = "\n".join(t[:LENGTHS[-1]] for t in texts[part::PARTS])
         for n in LENGTHS:
-            for _ in range(min(per_language // 2, len(joined) // n)):
+            for _ in range(min(per_language // PARTS, len(joined) // n)):
                 at = int(draw.integers(len(joined) - n + 1))
                 c = counts(joined[at:at + n], letters)
                 if c is not None:
