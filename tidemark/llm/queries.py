@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, cuckoo, htmldiff, langid, linedup, mixing, phrases, pieces, pii, quality
+from tidemark.llm import bagminhash, cuckoo, htmldiff, infill, langid, linedup, mixing, phrases, pieces, pii, quality
 from tidemark.llm.common import fold, table
 
 
@@ -86,9 +86,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "group_id", "kept")
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(infill.restore("output", "form"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_sentencepiece, op3_quality, op4_line_dedup, op5_pii,
-    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup)}
+    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup, op12_infill)}
 
 
 #: SQL of the queries that SQL can express.
@@ -124,4 +130,28 @@ ORACLES = {
         SELECT doc_id, size, source_size, target,
                (((start + (place + 1) * step) >> 24) - ((start + place * step) >> 24)) * size AS taken
         FROM l""",
+    "op12_infill": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units,
+                   CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                   CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+            FROM d),
+        c AS (
+            SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+                   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM u),
+        p AS (
+            SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+                   array_to_string(units[b + 1:], '') AS suffix
+            FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
