@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, cuckoo, htmldiff, infill, langid, linedup, mixing, phrases, pieces, pii, quality
+from tidemark.llm import bagminhash, cuckoo, htmldiff, infill, langid, linedup, mixing, phrases, pieces, pii, quality, repair
 from tidemark.llm.common import fold, table
+from tidemark.session import write_stage
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -92,9 +93,20 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(infill.restore("output", "form"), 256).alias("restored_sha256"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    rows = repair.damage(told)
+    found = write_stage(repair.repair(rows), "repair-found")
+    digests = repair.digests(repair.apply(rows, found))
+    every = repair.matched(told.select("conv_id").distinct(), found, "conv_id", how="left")
+    return repair.matched(every, digests, "conv_id", how="left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_sentencepiece, op3_quality, op4_line_dedup, op5_pii,
-    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup, op12_infill)}
+    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup, op12_infill, op13_repair)}
 
 
 #: SQL of the queries that SQL can express.
@@ -154,4 +166,64 @@ ORACLES = {
                                 WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
                sha256(t) AS restored_sha256
         FROM p""",
+    # states (rows done, role before) are kept with their cheapest, least edits; more than one
+    # insertion in a row pays only at the end
+    "op13_repair": """
+        WITH RECURSIVE bytes AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                  lambda c: CAST(ord(c) AS BIGINT)) AS key
+            FROM conversations),
+        sums AS (
+            SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], key), lambda crc, b:
+                   list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                               lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS damage
+            FROM bytes),
+        damaged AS (
+            SELECT conv_id, turn, unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+                   CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM sums WHERE damage <> 0),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged),
+        told AS (
+            SELECT conv_id, turn, role, text, i, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                        WHEN regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN '-' ELSE 't' END AS fault
+            FROM placed),
+        paired AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM told),
+        facts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM paired GROUP BY conv_id),
+        best AS (
+            SELECT conv_id, 0::BIGINT AS i, '' AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM facts
+            UNION ALL
+            SELECT conv_id, i, q, cost, audit, lines FROM (
+                SELECT b.conv_id, t.i, CASE e.edit WHEN 'D' THEN b.q WHEN 'K' THEN t.initial ELSE b.next END AS q,
+                       b.cost + CASE e.edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN e.edit <> 'D' AND t.fault = 't' THEN 1 ELSE 0 END AS cost,
+                       b.audit || e.edit AS audit,
+                       CASE e.edit WHEN 'D' THEN b.lines WHEN 'K' THEN list_append(b.lines, t.role || ':' || t.text)
+                            ELSE list_append(b.lines, CASE b.next WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || t.text) END AS lines
+                FROM (
+                    SELECT *, CASE q WHEN 'u' THEN 'a' ELSE 'u' END AS next FROM (
+                        SELECT conv_id, i, q, cost, audit, lines FROM best
+                        UNION ALL
+                        SELECT conv_id, i, CASE q WHEN 'u' THEN 'a' ELSE 'u' END, cost + 2, audit || 'I',
+                               list_append(lines, CASE q WHEN 'u' THEN 'assistant:' ELSE 'user:' END) FROM best)) b
+                JOIN told t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1
+                CROSS JOIN (VALUES ('D'), ('K'), ('R')) e(edit)
+                WHERE e.edit = 'D' OR t.fault IN ('t', '-') AND (e.edit = 'R' OR b.q || t.initial IN ('s', 'u', 'su', 'ua', 'au')))
+            QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+        ended AS (
+            SELECT f.*, b.cost + CASE q WHEN 'u' THEN 2 WHEN 's' THEN 4 ELSE 0 END AS cost,
+                   b.audit || CASE q WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit,
+                   list_concat(b.lines, CASE q WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END) AS lines
+            FROM facts f JOIN best b ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.i),
+        repaired AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id""",
 }
