@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, cuckoo, htmldiff, infill, langid, linedup, mixing, phrases, pieces, pii, quality, repair
+from tidemark.llm import bagminhash, cuckoo, htmldiff, infill, langid, linedup, mixing, phrases, pieces, pii, quality, repair, setjoin
 from tidemark.llm.common import fold, table
 from tidemark.session import write_stage
 
@@ -87,6 +87,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies", "group_id", "kept")
 
 
+def op11_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.transform(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -106,7 +110,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_sentencepiece, op3_quality, op4_line_dedup, op5_pii,
-    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup, op12_infill, op13_repair)}
+    op6_language, op7_phrases, op8_exact_dedup, op9_html, op10_near_dedup, op11_set_join, op12_infill, op13_repair)}
 
 
 #: SQL of the queries that SQL can express.
@@ -142,6 +146,24 @@ ORACLES = {
         SELECT doc_id, size, source_size, target,
                (((start + (place + 1) * step) >> 24) - ((start + place * step) >> 24)) * size AS taken
         FROM l""",
+    "op11_set_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id),
+        l AS (
+            SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n""",
     "op12_infill": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
