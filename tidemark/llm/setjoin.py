@@ -56,6 +56,8 @@ SHINGLE = 5
 HEAD = np.uint64(1 << 62)
 #: Rounds in which each list's hub meets the rest of the list.
 HUBS = 3
+#: Rows of two numbers that are broadcast, some 50 MB; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 1 << 20
 #: Bytes of text that are hashed at a time.
 PART_BYTES = 1 << 20
 
@@ -165,10 +167,13 @@ def linked(both, a, b):
 
 
 def _left_over(sets: DataFrame) -> DataFrame:
-    """A row id for each class that may link: those without a fifth of their size of tokens of their own."""
-    head = sets.select("row", "digest", F.explode("tokens").alias("token"))
-    shared = (head.groupBy("token").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("token"))
-    known = (head.select("row", "token").join(shared, "token", "left_semi").groupBy("row").agg(F.count("*").alias("shared")))
+    """A row for each class that may link: those without a fifth of their size of tokens that no other row has.
+
+    Rows of one class have no tokens of their own, so a repeated text always stays, once.
+    """
+    head = sets.select("row", F.explode("tokens").alias("token"))
+    shared = head.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    known = head.join(shared, "token", "left_semi").groupBy("row").agg(F.count("*").alias("shared"))
     own = F.col("held") - F.coalesce("shared", F.lit(0))
     return (sets.where("n > 0").select("row", "mark", "digest", "n", F.size("tokens").alias("held"))
             .join(known, "row", "left").where(own < first_part())
@@ -291,9 +296,12 @@ def join(docs: DataFrame) -> DataFrame:
     told = with_row_id(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), "row")
     sets = write_stage(_sets(told, whole=False), "set-heads")
     left = write_stage(_left_over(sets), "set-left")
-    again = told.select("row", "mark", "text").join(left, ["row", "mark"]).select(F.col("row").alias("cid"), "text")
+    classes = left.count()
+    wanted = left.withColumnRenamed("mark", "_mark")
+    again = (told.join(F.broadcast(wanted) if classes <= BROADCAST_ROWS else wanted, "row").where("mark = _mark")
+             .select(F.col("row").alias("cid"), "text"))
     whole = write_stage(_sets(again, whole=True), "set-whole")
-    if whole.count() != left.count():
+    if whole.count() != classes:
         raise ValueError("the documents changed between two readings: write them to a table first")
     ranked = write_stage(_ranked(whole), "set-ranked")
     index = write_stage(_index(ranked), "set-index")
