@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of a staged table: a writing task holds one, whole texts included.
+ROW_GROUP = 16 << 20
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None,
                   **settings: str) -> SparkSession:
     """Session with the settings the library is tuned for.
@@ -92,5 +96,5 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
