@@ -20,7 +20,9 @@ set of links. Components of all links are the groups.
 
 Defined cases: a null text counts as empty; a text of fewer than five words is
 one shingle of its words; a text without words is in no bucket, so its group is
-its class; white space between words doesn't matter; the survivor of a group has
+its class; white space between words doesn't matter; ``docs`` is read several
+times and must give the same rows in the same partitions, as a table does, else
+this raises; the survivor of a group has
 its least doc_id (null ids last); repeated rows are members of one class; an
 empty table gives none.
 """
@@ -29,11 +31,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, mix64, prefix_sum
+from tidemark.llm.common import byte_slices, components, mix64, prefix_sum, with_row_id
 from tidemark.session import write_stage
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -43,9 +46,11 @@ COMPONENTS = BANDS * ROWS
 BLOCK_CHARS = 4_000_000
 #: Members that one task compares with a hub.
 STAR = 500
-MEMORY = 1 << 20
-#: Characters of the texts whose signatures are made together.
-BATCH_CHARS = 1 << 19
+MEMORY = 1 << 19
+#: Bytes of the texts whose signatures are made together.
+BATCH_BYTES = 1 << 19
+#: Rows of two numbers that are broadcast, some 50 MB; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 1 << 20
 
 
 class WordHashes(dict):
@@ -125,53 +130,63 @@ def overlap(a: tuple, b: tuple) -> float:
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def _numbered_rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest")), "row")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, digest, class_id, copies) and classes (digest, class_id, first_id, copies).
+    """Members (doc_id, digest, class_id, copies) and classes (digest, class_id, first_id, row, copies).
 
-    Class ids number the texts by least doc_id, so the least class of a group holds its survivor.
+    Class ids number the texts by least doc_id, so the least class of a group holds its survivor. ``row`` is the
+    place of one of its texts.
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    members = write_stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "bag-members")
-    per = (members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    members = write_stage(_numbered_rows(docs).select("doc_id", "digest", "row"), "bag-members")
+    per = (members.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("row").alias("row"))
            .withColumn("one", F.lit(1).cast("long")))
     numbered = prefix_sum(per, [F.col("first_id").asc_nulls_last(), F.col("digest")], "one", "class_id", "bag-classes").drop("one")
-    return members.join(numbered.select("digest", "class_id", "copies"), "digest"), numbered
-
-
-def _bands(texts: pd.Series) -> pd.Series:
-    hashes, out, block, chars = WordHashes(), [], [], 0
-
-    def flush():
-        shingles, weights, owner = bags(block, hashes)
-        marks = signatures(shingles, weights, owner, len(block)).reshape(len(block), BANDS, ROWS)
-        full = np.bincount(owner, minlength=len(block)) > 0
-        keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(block), 1))
-        for r in range(ROWS):
-            keys = mix64(keys ^ marks[:, :, r])
-        out.extend(k.view(np.int64) if f else np.zeros(0, np.int64) for k, f in zip(keys, full))
-        block.clear()
-    for text in texts:
-        block.append(text or "")
-        chars += len(block[-1])
-        if chars >= BATCH_CHARS:
-            flush()
-            chars = 0
-    if block:
-        flush()
-    return pd.Series(out, dtype=object)
-
-
-def _verify_stars(frames):
+    return members.drop("row").join(numbered.select("digest", "class_id", "copies"), "digest"), numbered
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """class_id and text of the ``chosen`` classes (class_id, row): broadcast if they are few, else joined by a shuffle."""
+    few = chosen.count() <= BROADCAST_ROWS
+    return _numbered_rows(docs).select("row", "text").join(F.broadcast(chosen) if few else chosen, "row").select("class_id", "text")
+
+
+def _signed(batches):
+    """class_id, characters and band keys of batches of class_id and text."""
+    hashes = WordHashes()
+    for batch in batches:
+        ids, texts = batch.columns
+        for start, stop in byte_slices(texts, BATCH_BYTES):
+            block = texts.slice(start, stop - start).to_pylist()
+            shingles, weights, owner = bags(block, hashes)
+            marks = signatures(shingles, weights, owner, len(block)).reshape(len(block), BANDS, ROWS)
+            full = np.bincount(owner, minlength=len(block)) > 0
+            keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(block), 1))
+            for r in range(ROWS):
+                keys = mix64(keys ^ marks[:, :, r])
+            ends = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(ends, pa.array(keys[full].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array([len(t) for t in block], pa.int64()), listed],
+                                             names=["class_id", "chars", "keys"])
+
+
+def _verify_stars(batches):
     """Rows sorted by hub: the hub's own text comes first in each run."""
     hashes, hub, own = WordHashes(), None, None
-    for frame in frames:
-        keep = []
-        for h, m, text in zip(frame.hub, frame.member, frame.text):
-            if h == m:
-                hub, own = h, bag(text, hashes)
-            elif h == hub:
-                keep.append((h, m, overlap(own, bag(text, hashes))))
-        yield pd.DataFrame(keep, columns=["hub", "member", "similarity"])
+    for batch in batches:
+        for start, stop in byte_slices(batch.column(2)):
+            keep = []
+            for h, m, text in zip(*(c.slice(start, stop - start).to_pylist() for c in batch.columns)):
+                if h == m:
+                    hub, own = h, bag(text, hashes)
+                elif h == hub:
+                    keep.append((h, m, overlap(own, bag(text, hashes))))
+            columns = list(zip(*keep)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))],
+                                             names=["hub", "member", "similarity"])
 
 
 def links_within(ids: list[int], bags: list[tuple], known: list[int]) -> list[tuple[int, int]]:
@@ -220,11 +235,6 @@ def _join_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def _all_texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.sha2(text, 256).alias("digest"), text.alias("text"))
-
-
 def _spread(stars: DataFrame, kept: DataFrame) -> DataFrame:
     """Pairs with the member's text, a copy of the hub in front of every few thousand members."""
     counts = stars.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
@@ -238,18 +248,17 @@ def _spread(stars: DataFrame, kept: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, numbered: DataFrame) -> DataFrame:
     """Links (a, b) between classes; their components are the near-duplicate groups."""
-    ids = numbered.select("digest", "class_id")
-    signed = (_all_texts(docs).withColumn("keys", F.pandas_udf(_bands, "array<long>")("text"))
-              .select("digest", F.length("text").alias("chars"), "keys")
-              .groupBy("digest").agg(F.first("chars").alias("chars"), F.first("keys").alias("keys")))
-    rows = write_stage(signed.join(ids, "digest").select("class_id", "chars", F.explode("keys").alias("bucket")), "bag-rows")
+    signed = write_stage(_texts_of(docs, numbered.select("class_id", "row")).mapInArrow(_signed, "class_id long, chars long, keys array<long>"), "bag-signed")
+    if signed.count() != numbered.count():
+        raise ValueError("the documents changed between two readings: write them to a table first")
+    rows = signed.select("class_id", "chars", F.explode("keys").alias("bucket"))
     sizes = (rows.groupBy("bucket").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"), F.sum("chars").alias("all_chars"))
              .where("n > 1"))
     buckets = write_stage(rows.join(sizes, "bucket"), "bag-buckets")
     stars = buckets.select("hub", F.col("class_id").alias("member")).distinct()
-    wanted = buckets.select("class_id").distinct().join(ids, "class_id")
-    kept = write_stage(_all_texts(docs).join(wanted, "digest").groupBy("class_id").agg(F.any_value("text").alias("text")), "bag-texts")
-    sure = write_stage(_spread(stars, kept).mapInPandas(_verify_stars, "hub long, member long, similarity double")
+    wanted = write_stage(buckets.select("class_id").distinct().join(numbered.select("class_id", "row"), "class_id"), "bag-wanted")
+    kept = write_stage(_texts_of(docs, wanted), "bag-texts")
+    sure = write_stage(_spread(stars, kept).mapInArrow(_verify_stars, "hub long, member long, similarity double")
                        .where(F.col("similarity") >= SIMILAR - 1e-9).select(F.col("hub").alias("a"), F.col("member").alias("b")), "bag-stars")
     roots = components(sure, "bag-roots")
     placed = (buckets.where("n > 2").join(roots, F.col("class_id") == F.col("node"), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,28 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return nodes.union(now.selectExpr("b AS node", "b AS root").distinct())
 
 
+#: Bytes of text that a task turns into Python objects at a time.
+SLICE_BYTES = 1 << 20
+
+
+def byte_slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """(start, stop) of runs of rows with ``most`` bytes of text at most, or of a single longer row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, stop
+        at = stop
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def string_batches(batches, column: int):
     """(batch, list of texts) with null as the empty text."""
     for batch in batches:

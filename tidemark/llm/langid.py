@@ -26,13 +26,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import byte_slices, free_name
+
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 PIECE = 1 << 19
+#: Vectors that are compared with the centroids at a time.
+BLOCK = 128
 #: A text is rejected below this share of the cosine that 99 of 100 learning texts of its language and size reach.
 MARGIN = 0.5
 #: Half octaves of different n-grams, parts of the sample, and lengths of the pieces of learning texts.
@@ -111,7 +115,7 @@ def _bounds(texts: list[str], own: np.ndarray, idf: np.ndarray, per_language: in
         centre = _centres(rest if len(rest) else own, centroids, rounds).T
         for k, best in zip(level((mine > 0).sum(1)), (mine @ centre).max(1)):
             found[k].append(best)
-        joined = "\n".join(t[:LENGTHS[-1]] for t in texts[part::PARTS])
+        joined = "\n".join(texts[part::PARTS])
         for n in LENGTHS:
             for _ in range(min(per_language // PARTS, len(joined) // n)):
                 at = int(draw.integers(len(joined) - n + 1))
@@ -164,8 +168,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 400, centroids:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score (cosine to the nearest centroid) and rejected."""
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
+    def predicted(texts: pa.Array) -> pa.Array:
         letters = _letter_table()
         n = len(texts)
         lang, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
@@ -182,14 +185,17 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 rejected[places] = score[places] < model.reject_below[model.owner[best], level((x > 0).sum(1))]
             block.clear()
             places.clear()
-        for i, value in enumerate(texts):
-            c = counts(value, letters) if value else None
-            if c is not None:
-                block.append(np.log1p(c).astype(np.float32))
-                places.append(i)
-                if len(block) == 256:
-                    flush()
+        for start, stop in byte_slices(texts):
+            for i, value in enumerate(texts.slice(start, stop - start).to_pylist(), start):
+                c = counts(value, letters) if value else None
+                if c is not None:
+                    block.append(np.log1p(c).astype(np.float32))
+                    places.append(i)
+                    if len(block) == BLOCK:
+                        flush()
         flush()
-        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
+                                          names=["lang_pred", "score", "rejected"])
+    found, udf = free_name(docs, "_p"), F.arrow_udf(predicted, "lang_pred string, score double, rejected boolean")
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]      # columns of these names are replaced
-    return docs.withColumn("_p", predicted(text)).select(*own, "_p.lang_pred", "_p.score", "_p.rejected")
+    return docs.withColumn(found, udf(text)).select(*own, f"{found}.lang_pred", f"{found}.score", f"{found}.rejected")

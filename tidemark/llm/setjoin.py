@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, mix64, with_row_id
+from tidemark.llm.common import byte_slices, components, mix64, with_row_id
 from tidemark.session import write_stage
 
 SHINGLE = 5
@@ -118,17 +118,6 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [_set(words[a:b]) for a, b in zip(cut, cut[1:])]
 
 
-def _slices(batch: pa.RecordBatch, column: int):
-    """Slices of a batch of PART_BYTES of text or a single row."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(sizes):
-        behind = sizes[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(sizes, behind + PART_BYTES, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -141,7 +130,8 @@ def _sets(docs: DataFrame, whole: bool) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            for part in _slices(batch, at):
+            for start, stop in byte_slices(batch.column(at), PART_BYTES):
+                part = batch.slice(start, stop - start)
                 own = [c for i, c in enumerate(part.columns) if i != at]
                 sets = shingle_sets(pc.fill_null(part.column(at), "").cast(pa.binary()).to_pylist())
                 n = pa.array([len(s) for s in sets], pa.int64())
