@@ -217,6 +217,9 @@ def _choose(frame: pd.DataFrame) -> pd.DataFrame:
 
 def audits(cut: DataFrame) -> DataFrame:
     """Best repairs from ``pieces``: conv_id, cost, audit, illegal, and counts of blank, duplicate and truncated rows."""
+    # short rows, but each a search: more tasks than their bytes would give
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut.repartition(parts, "conv_id", "piece")
     counts = [(F.length("faults") - F.length(F.replace("faults", F.lit(f), F.lit("")))).cast("long").alias(name)
               for f, name in (("b", "blank"), ("d", "duplicate"), ("t", "truncated"))]
     alone = (cut.where(F.col("n") <= PIECE).withColumn("best", F.pandas_udf(_alone, "cost long, audit string, illegal long")("initials", "faults"))
