@@ -122,6 +122,16 @@ def _capped(step: bool = False) -> list[str]:
       JOIN caps ON cap_day >= caps.d0 AND (caps.d1 IS NULL OR cap_day < caps.d1))"""]
 
 
+def _certificates() -> list[str]:
+    """CTEs ``banded``, the applications with their amount band, and ``certs``, the caps by band and validity."""
+    rows = ", ".join(f"(DATE '{day}', {a}, {b}, {c})" for day, a, b, c in RATE_CAPS)
+    return [*_capped(), """banded AS (SELECT id_solicitud, fecha_solicitud, CASE WHEN monto_solicitado / uf <= 50 THEN 'hasta_50'
+        WHEN monto_solicitado / uf <= 200 THEN 'hasta_200' ELSE 'sobre_200' END AS banda FROM capped)""",
+            f"""dated AS (SELECT UNNEST(['hasta_50', 'hasta_200', 'sobre_200']) AS banda, vigente_desde,
+        CAST(UNNEST([a, b, c]) AS DOUBLE) AS tope FROM (VALUES {rows}) t(vigente_desde, a, b, c))""",
+            """certs AS (SELECT *, LEAD(vigente_desde) OVER (PARTITION BY banda ORDER BY vigente_desde) AS vigente_hasta FROM dated)"""]
+
+
 AGE_FILL = "(SELECT MEDIAN(edad) FROM train WHERE edad BETWEEN 18 AND 100)"
 BAD_AGE = "(edad < 18 OR edad > 100)"
 
@@ -557,6 +567,17 @@ def build() -> dict[str, str]:
             COUNT(CASE WHEN tasa_interes_anual > tope_tasa THEN 1 END) AS n_tasa_corregida
             FROM capped GROUP BY 1""", *_capped()),
         "rate_cap_asof": over("SELECT id_solicitud, tope_tasa FROM capped", *_capped(step=True)),
+        "rate_cap_in_force": over("""SELECT a.id_solicitud, a.banda, c.vigente_desde, c.tope AS tope_tasa FROM banded a
+            ASOF LEFT JOIN certs c ON a.banda = c.banda AND a.fecha_solicitud >= c.vigente_desde""", *_certificates()),
+        "rate_cap_validity": over("""SELECT a.id_solicitud, a.banda, c.vigente_desde, c.vigente_hasta, c.tope AS tope_tasa
+            FROM banded a JOIN certs c ON a.banda = c.banda AND a.fecha_solicitud >= c.vigente_desde
+            AND (c.vigente_hasta IS NULL OR a.fecha_solicitud < c.vigente_hasta)""", *_certificates()),
+        "asof_join": """SELECT p.event_id, p.user_id, e.error_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+            ASOF LEFT JOIN (SELECT user_id, ts, MAX(event_id) AS error_id FROM events WHERE event_type = 'error' GROUP BY user_id, ts) e
+            ON p.user_id = e.user_id AND p.ts >= e.ts""",
+        "interval_join": """SELECT v.event_id, v.user_id, e.event_id AS error_id FROM events v JOIN events e
+            ON e.event_type = 'error' AND v.user_id = e.user_id AND v.ts >= e.ts
+            AND v.ts < e.ts + CAST(FLOOR(e.value * 600) AS BIGINT) * INTERVAL 1 SECOND""",
         # imputation
         "group_median_impute": over("""SELECT id_solicitud, COALESCE(ingreso_declarado, m,
             (SELECT MEDIAN(ingreso_declarado) FROM train)) AS ingreso_declarado

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import month_label, with_rate_cap
+from tidemark.functions.calendar import MEDIUM_AMOUNT_UF, RATE_CAPS, SMALL_AMOUNT_UF, month_label, with_rate_cap
 from tidemark.functions.probability import hard_predict, prior_correction
-from tidemark.operators import balance, eda, encode, impute, metrics, policy, quality
+from tidemark.operators import balance, eda, encode, impute, metrics, policy, quality, temporal
 from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
 from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
@@ -24,6 +25,7 @@ from tidemark.sources.applications import (LABELLED_UNTIL, applications, p_proxy
 from tidemark.streaming import jobs
 
 SPLIT = "2025-01-01"
+BANDS = ("hasta_50", "hasta_200", "sobre_200")
 NUMERIC = ["score_buro", "tasa_interes_anual", "num_consultas_buro_3m", "uso_linea_credito_pct",
            "edad", "deuda_sistema", LEAK, "ingreso_declarado", "antiguedad_laboral_meses",
            "antiguedad_cliente_meses", "num_creditos_vigentes", "peor_morosidad_12m",
@@ -255,6 +257,59 @@ def rate_cap_asof(spark, sf_dir):
     return with_rate_cap(stored(spark, sf_dir), step=True).select(ID, "tope_tasa")
 
 
+def _certificates(spark):
+    """The certificates: dated caps by amount band, 36 rows, each in force until the next of its band."""
+    rows = [(band, dt.date.fromisoformat(day), cap) for day, *caps in RATE_CAPS for band, cap in zip(BANDS, caps)]
+    listed = spark.createDataFrame(rows, "banda string, vigente_desde date, tope double")
+    until = F.lead("vigente_desde").over(Window.partitionBy("banda").orderBy("vigente_desde"))
+    return listed.withColumn("vigente_hasta", until)
+
+
+def _banded(spark, sf_dir):
+    in_uf = F.col("monto_solicitado") / F.col("uf")
+    band = F.when(in_uf <= SMALL_AMOUNT_UF, BANDS[0]).when(in_uf <= MEDIUM_AMOUNT_UF, BANDS[1]).otherwise(BANDS[2])
+    return with_rate_cap(stored(spark, sf_dir)).select(ID, "fecha_solicitud", band.alias("banda"))
+
+
+@query
+def rate_cap_in_force(spark, sf_dir):
+    """The certificate in force on the day of each application, none before the first."""
+    told = _certificates(spark).drop("vigente_hasta")
+    return temporal.asof_join(_banded(spark, sf_dir), told, ["banda"], "fecha_solicitud", "vigente_desde").select(
+        ID, "banda", "vigente_desde", F.col("tope").alias("tope_tasa"))
+
+
+@query
+def rate_cap_validity(spark, sf_dir):
+    """The same by intervals of validity: applications in each."""
+    joined = temporal.interval_join(_banded(spark, sf_dir), _certificates(spark), ["banda"], "fecha_solicitud", "vigente_desde", "vigente_hasta")
+    return joined.select(ID, "banda", "vigente_desde", "vigente_hasta", F.col("tope").alias("tope_tasa"))
+
+
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+@query
+def asof_join(spark, sf_dir):
+    """Every purchase with the last error of its user before it, ties in time to the greater event."""
+    events = _events(spark, sf_dir)
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    failed = events.where("event_type = 'error'").select("user_id", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id"))
+    return temporal.asof_join(bought, failed, ["user_id"], "ts", "error_ts").select("event_id", "user_id", "error_id")
+
+
+@query
+def interval_join(spark, sf_dir):
+    """Events of a user within the time after one of its errors: ten minutes for each point of the error's value."""
+    events = _events(spark, sf_dir)
+    spans = (events.where("event_type = 'error'")
+             .select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("desde"),
+                     (F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value") * 600))).alias("hasta")))
+    return temporal.interval_join(events.select("event_id", "user_id", "ts"), spans, ["user_id"], "ts", "desde", "hasta").select(
+        "event_id", "user_id", "error_id")
+
+
 # --- imputation -------------------------------------------------------------
 
 @query
