@@ -174,3 +174,76 @@ def test_boosted_models_asked_for(spark, monkeypatch):
         asked.clear()
         rows = queries.QUERIES[name](spark, SF_DIR).collect()
         assert asked == every and sorted((r.ronda, r.modelo) for r in rows) == sorted((f"ronda_{n}", f) for n, f in every)
+
+
+def tiny_grid():
+    return [training.Candidate("profundidad", (("max_depth", d), ("learning_rate", .1), ("n_estimators", 2), ("min_child_weight", 5)),
+                               ratio=r) for d in (2, 3) for r in (None, 0.5)]
+
+
+def test_search_goes_on_where_it_was_cut_short(spark, labelled, monkeypatch):
+    from tidemark.session import drop_ledger
+    cfg, fitted, new = ROUNDS[3], [], training.Trainer.fit_new
+
+    def dies(self, candidate):
+        if len(fitted) == 2:
+            raise RuntimeError("driver lost")
+        fitted.append(candidate)
+        return new(self, candidate)
+    drop_ledger(spark)
+    monkeypatch.setattr(training, "PARALLEL_FITS", 1)
+    monkeypatch.setattr(training.Trainer, "fit_new", dies)
+    with pytest.raises(RuntimeError, match="driver lost"):
+        training.search(training.Trainer(cfg, cfg.train(labelled)), cfg.valid(labelled), tiny_grid())
+    again = []
+    monkeypatch.setattr(training.Trainer, "fit_new", lambda self, c: again.append(c) or new(self, c))
+    results = training.search(training.Trainer(cfg, cfg.train(labelled)), cfg.valid(labelled), tiny_grid())
+    assert len(again) == 2 and set(again).isdisjoint(fitted) and set(again) | set(fitted) == set(tiny_grid())
+    kept = [tuple(r) for r in results.orderBy("posicion").collect()]
+    assert len(kept) == 4 and training.search(training.Trainer(cfg, cfg.train(labelled)), cfg.valid(labelled), tiny_grid()).count() == 4 and len(again) == 2
+    drop_ledger(spark)
+    fresh = training.search(training.Trainer(cfg, cfg.train(labelled)), cfg.valid(labelled), tiny_grid())
+    assert len(again) == 6 and [tuple(r) for r in fresh.orderBy("posicion").collect()] == kept
+    other = labelled.withColumn("edad", F.col("edad") + 1)
+    training.search(training.Trainer(cfg, cfg.train(other)), cfg.valid(other), tiny_grid()[:1])
+    assert len(again) == 7              # another frame is another fit
+
+
+def test_split_counts(spark, labelled):
+    """By hand: two trees, three inner nodes on feature 4 and one on feature 1; a fitted model's add up to its inner nodes."""
+    leaf, node = (-1, -1, -1), lambda f, a, b: (a, b, f)
+    trees = [(0, node(4, 1, 2)), (0, leaf), (0, node(1, 3, 4)), (0, leaf), (0, leaf), (1, node(4, 1, 4)), (1, node(4, 2, 3)), (1, leaf), (1, leaf), (1, leaf)]
+    nodes = spark.createDataFrame([(t, (a, b, (f,))) for t, (a, b, f) in trees],
+                                  "treeID int, nodeData struct<leftChild int, rightChild int, split struct<featureIndex int>>")
+    assert {r.position: r.splits for r in training.node_splits(nodes).collect()} == {4: 3, 1: 1}
+    cfg = ROUNDS[1]
+    fitted = training.fit_round(cfg, labelled, "profundidad", grid=tiny_grid()[::2])
+    rows = training.importance_ranked(fitted).collect()
+    learner = fitted.final.stages[-2]
+    assert sum(r.splits for r in rows) == sum((t.numNodes - 1) // 2 for t in learner.trees) > 0
+    assert [r.splits for r in rows] == sorted((r.splits for r in rows), reverse=True) and len(rows) == len(fitted.names)
+    assert {r.feature: r.importance for r in rows} == dict(zip(fitted.names, learner.featureImportances.toArray()))
+    assert all((r.splits > 0) == (r.importance > 0) for r in rows)
+
+
+def test_fitted_queries_return_what_the_model_says(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_DIR
+    run = lambda name: entry.queries()[name](spark, SF_DIR).toPandas()
+    scores, written, both = run("score"), run("predictions_output"), run("fit_oot_and_final")
+    assert scores.p_default.between(0, 1).all() and scores.p_default.nunique() > 100
+    assert dict(zip(scores.id_solicitud, scores.p_default)) == dict(zip(written.id_solicitud, written.prob_default))
+    final = both[both.modelo == "final"]
+    assert dict(zip(final.id_solicitud, final.p_default)) == dict(zip(scores.id_solicitud, scores.p_default))
+    oot = both[both.modelo == "oot"].merge(
+        entry.queries()["applications_scan"](spark, SF_DIR).select("id_solicitud", "default_12m").toPandas(), on="id_solicitud")
+    pos, neg = (oot.p_default[oot.default_12m == k].to_numpy() for k in (1, 0))
+    auc = ((pos[:, None] > neg[None, :]).mean() + (pos[:, None] == neg[None, :]).mean() / 2)
+    job = run("job_round").iloc[0]
+    assert (job.n, job.n_pos) == (len(oot), len(pos)) and job.auc == pytest.approx(auc, abs=1e-4)
+    assert job.brier == pytest.approx(((oot.p_default - oot.default_12m) ** 2).mean(), abs=1e-6)
+    grid = run("train_logistic")
+    assert len(grid) == 8 and grid.auc.between(.5, 1).all() and grid.auc[~grid.balanceado].max() == job.auc
+    assert grid.brier[grid.balanceado].min() > grid.brier[~grid.balanceado].max()       # weighting wrecks calibration
+    rounds = run("round_comparison_fitted")
+    assert len(rounds) == 6 and rounds[rounds.ronda == "ronda_4"].iloc[0].auc == job.auc

@@ -5,7 +5,6 @@ from __future__ import annotations
 from tidemark.functions.calendar import MONTH_LABELS, RATE_CAPS, UF_VALUES
 from tidemark.operators.eda import WEEKDAYS
 from tidemark.plans.rounds import ROUNDS
-from tidemark.plans.training import candidates
 from tidemark.schema import APPLICATIONS, QUALITY_FLAGS, feature_columns
 
 APPLICATIONS_CTE = """
@@ -495,25 +494,6 @@ _POLICY_OUTPUT = over("""SELECT id_solicitud, p_default, ROUND(p_umbral, 9) AS p
 _PI, _PT = "(SELECT AVG(CAST(default_12m AS DOUBLE)) FROM train)", "(CAST(0.5 AS DOUBLE) / 1.5)"
 
 
-def _candidates(number: int, *families: str) -> str:
-    """The grid of a round on its validation window."""
-    cfg = ROUNDS[number]
-    rows = []
-    for place, c in enumerate(c for family in families for c in candidates(cfg, family)):
-        trees = dict(c.settings).get("n_estimators", "NULL")
-        rows.append(f"({place}, '{c.family}', '{c.architecture}', {trees}, {c.balanced}, {'NULL' if c.ratio is None else c.ratio})")
-    return over(f"""SELECT CAST(posicion AS INT) AS posicion, familia, arquitectura, CAST(arboles AS INT) AS arboles, balanceado,
-        CAST(ratio AS DOUBLE) AS ratio, n, n_pos, TRUE AS supera_azar, TRUE AS brier_valido
-        FROM (VALUES {", ".join(rows)}) g(posicion, familia, arquitectura, arboles, balanceado, ratio)
-        CROSS JOIN ({_window_sizes(cfg)}) w""")
-
-
-def _window_sizes(cfg) -> str:
-    end = f" AND fecha_solicitud < DATE '{cfg.valid_end}'" if cfg.valid_end else ""
-    return (f"SELECT COUNT(*) AS n, COUNT(CASE WHEN default_12m = 1 THEN 1 END) AS n_pos FROM applications "
-            f"WHERE {LABELLED} AND fecha_solicitud >= DATE '{cfg.valid_start}'{end}")
-
-
 def build() -> dict[str, str]:
     months = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MONTH_LABELS, 1))
     weekdays = " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(WEEKDAYS, 1))
@@ -663,21 +643,8 @@ def build() -> dict[str, str]:
             "ROUND(ganancia_politica / NULLIF(ganancia_aprobar_todo, 0), 6) AS veces_aprobar_todo FROM pol",
             _BY_ROUND, "by_round2 AS (SELECT *, COALESCE(p_default < p_umbral, FALSE) AS aprobar FROM by_round)",
             f"pol AS ({_policy('by_round2', 'ronda, modelo')})"),
-        # fitted models: what is known of them beforehand
-        "train_logistic": _candidates(4, "logistica"),
-        "train_gbt_leafwise": _candidates(1, "hojas"),
-        "train_gbt_depthwise": _candidates(1, "profundidad"),
-        "grid_smote_logit": _candidates(3, "logistica"),
-        "grid_smote_tree": _candidates(3, "hojas", "profundidad"),
-        "round_comparison_fitted": over(" UNION ALL ".join(
-            f"SELECT '{cfg.name}' AS ronda, 'logistica' AS modelo, n, n_pos, TRUE AS supera_azar FROM ({_window_sizes(cfg)}) v{i}"
-            for i, cfg in ROUNDS.items())),
-        "score": over(f"SELECT id_solicitud, TRUE AS p_valida FROM applications WHERE {TEST}"),
-        "predictions_output": over(f"SELECT id_solicitud, TRUE AS p_valida FROM applications WHERE {TEST}"),
+        # fitted models: most are checked by tests against a solver of their own
         "model_reload": over(f"SELECT id_solicitud, TRUE AS igual FROM applications WHERE {TEST}"),
-        "fit_oot_and_final": over(f"""SELECT 'oot' AS modelo, n, TRUE AS p_valida FROM ({_window_sizes(ROUNDS[4])}) v
-            UNION ALL SELECT 'final' AS modelo, COUNT(*) AS n, TRUE AS p_valida FROM applications WHERE {TEST}"""),
-        "job_round": over(f"SELECT n, n_pos, TRUE AS supera_azar, TRUE AS brier_valido FROM ({_window_sizes(ROUNDS[4])}) v"),
         # exploration
         "null_profile": over(_null_profile(), *_capped()),
         "numeric_profile": over(

@@ -18,13 +18,14 @@ from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
 from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
                              feature_columns)
-from tidemark.session import spread, stage_path, table_state, write_stage
+from tidemark.session import drop_ledger, spread, stage_path, table_state, write_stage
 from tidemark.sources import sinks
 from tidemark.sources.applications import (LABELLED_UNTIL, applications, p_proxy,
                                            read_applications)
 from tidemark.streaming import jobs
 
 SPLIT = "2025-01-01"
+RATIOS = ["auc", "gini", "ks", "pr_auc", "brier", "default_rate"]
 BANDS = ("hasta_50", "hasta_200", "sobre_200")
 NUMERIC = ["score_buro", "tasa_interes_anual", "num_consultas_buro_3m", "uso_linea_credito_pct",
            "edad", "deuda_sistema", LEAK, "ingreso_declarado", "antiguedad_laboral_meses",
@@ -59,6 +60,7 @@ def shared(spark, key: tuple, build: Callable):
 
 def forget_fits() -> None:
     """Drops shared models, so that the next query that needs one fits it."""
+    drop_ledger(SparkSession.getActiveSession())
     for key in [k for k in _SHARED if "applications" not in k]:
         del _SHARED[key]
 
@@ -130,7 +132,7 @@ def predictions_output(spark, sf_dir):
     path = stage_path(spark, "predictions")
     sinks.write_predictions(fitted(spark, sf_dir, 4, "logistica").score(rows), rows, path)
     written = spark.read.schema("id_solicitud long, prob_default double").option("header", True).csv(path)
-    return written.select(ID, _sound("prob_default").alias("p_valida"))
+    return rounded(written, 9, "prob_default")
 
 
 @query
@@ -439,52 +441,35 @@ def _search(spark, sf_dir, number, *families):
     return training.search(trainer(spark, sf_dir, number), cfg.valid(labelled(stored(spark, sf_dir))), grid)
 
 
-def _sound(p: str | F.Column = SCORE) -> F.Column:
-    """Whether a probability is one."""
-    return F.coalesce(F.col(p).between(0, 1), F.lit(False))
-
-
-def _stated(results: DataFrame) -> DataFrame:
-    """Fitted candidates with what can be said of them beforehand: sizes, trees,
-    better than chance, and errors below those of a coin."""
-    return results.select("posicion", "familia", "arquitectura", "arboles", "balanceado", "ratio", "n", "n_pos",
-                          ((F.col("auc") > 0.5) & (F.col("auc") <= 1)).alias("supera_azar"),
-                          F.col("brier").between(0, 0.25).alias("brier_valido"))
+def _told(results: DataFrame) -> DataFrame:
+    """Fitted candidates in their order, with their measures on the validation window."""
+    return rounded(results, 9, *RATIOS).select(
+        "posicion", "familia", "arquitectura", "arboles", "balanceado", "ratio", "n", "n_pos", *RATIOS).orderBy("posicion")
 
 
 @query
 def train_logistic(spark, sf_dir):
-    return _stated(fitted(spark, sf_dir, 4, "logistica").results)
+    return _told(fitted(spark, sf_dir, 4, "logistica").results)
 
 
 @query
 def train_gbt_leafwise(spark, sf_dir):
-    return _stated(fitted(spark, sf_dir, 1, "hojas").results)
+    return _told(fitted(spark, sf_dir, 1, "hojas").results)
 
 
 @query
 def train_gbt_depthwise(spark, sf_dir):
-    return _stated(fitted(spark, sf_dir, 1, "profundidad").results)
+    return _told(fitted(spark, sf_dir, 1, "profundidad").results)
 
 
 @query
 def grid_smote_logit(spark, sf_dir):
-    return _stated(_search(spark, sf_dir, 3, "logistica"))
+    return _told(_search(spark, sf_dir, 3, "logistica"))
 
 
 @query
 def grid_smote_tree(spark, sf_dir):
-    return _stated(_search(spark, sf_dir, 3, "hojas", "profundidad"))
-
-
-@query
-def round_comparison_fitted(spark, sf_dir):
-    """Every round fitted as it is set up, its logistic model on its own validation window."""
-    df = labelled(stored(spark, sf_dir))
-    results = {cfg.name: metrics.eval_summary(fitted(spark, sf_dir, number, "logistica").score(cfg.valid(df), final=False))
-               for number, cfg in ROUNDS.items()}
-    table = reports.compare_rounds(results)
-    return table.select("ronda", F.lit("logistica").alias("modelo"), "n", "n_pos", (F.col("auc") > 0.5).alias("supera_azar"))
+    return _told(_search(spark, sf_dir, 3, "hojas", "profundidad"))
 
 
 def _rounds_fitted(spark, sf_dir, measure, *families):
@@ -495,6 +480,13 @@ def _rounds_fitted(spark, sf_dir, measure, *families):
                                 for number, cfg in ROUNDS.items()}).withColumn("modelo", F.lit(family)) for family in families])
 
 
+@query
+def round_comparison_fitted(spark, sf_dir):
+    """Every round fitted as it is set up, its logistic model on its own validation window."""
+    table = _rounds_fitted(spark, sf_dir, metrics.eval_summary, "logistica")
+    return rounded(table, 9, *RATIOS).select("ronda", "modelo", "n", "n_pos", *RATIOS)
+
+
 @query
 def round_comparison_boosted(spark, sf_dir):
     """Every round's two boosted models, whole grids, with their metrics."""
@@ -540,17 +532,17 @@ def select_brier_guard(spark, sf_dir):
 
 @query
 def fit_oot_and_final(spark, sf_dir):
+    """Scores of the model that gives honest metrics and of the one that serves, each on its rows."""
     model = fitted(spark, sf_dir, 4, "logistica")
     df = stored(spark, sf_dir)
     parts = [("oot", valid(df), False), ("final", test(df), True)]
     return reduce(DataFrame.unionByName, [
-        model.score(rows, final).agg(F.count("*").alias("n"), F.bool_and(_sound()).alias("p_valida"))
-        .withColumn("modelo", F.lit(name)) for name, rows, final in parts])
+        model.score(rows, final).select(F.lit(name).alias("modelo"), ID, F.round(SCORE, 9).alias(SCORE)) for name, rows, final in parts])
 
 
 @query
 def score(spark, sf_dir):
-    return fitted(spark, sf_dir, 4, "logistica").score(test(stored(spark, sf_dir))).select(ID, _sound().alias("p_valida"))
+    return fitted(spark, sf_dir, 4, "logistica").score(test(stored(spark, sf_dir))).select(ID, F.round(SCORE, 9).alias(SCORE))
 
 
 @query
@@ -565,9 +557,6 @@ def importance_ranked(spark, sf_dir):
 
 # --- metrics ----------------------------------------------------------------
 
-RATIOS = ["auc", "gini", "ks", "pr_auc", "brier", "default_rate"]
-
-
 @query
 def auc_gini(spark, sf_dir):
     return rounded(metrics.eval_summary(scored(spark, sf_dir)).select("auc", "gini"), 9, "auc", "gini")
@@ -816,7 +805,7 @@ def job_round(spark, sf_dir):
     """Out-of-time metrics of the chosen model of the chosen round."""
     model = fitted(spark, sf_dir, 4, "logistica")
     summary = metrics.eval_summary(model.score(valid(stored(spark, sf_dir)), final=False))
-    return summary.select("n", "n_pos", (F.col("auc") > 0.5).alias("supera_azar"), F.col("brier").between(0, 0.25).alias("brier_valido"))
+    return rounded(summary, 9, *RATIOS).select("n", "n_pos", *RATIOS)
 
 
 @query

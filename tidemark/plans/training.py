@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 from dataclasses import dataclass
 from itertools import chain
@@ -24,10 +25,12 @@ from tidemark.operators.metrics import eval_summary
 from tidemark.operators.quality import split_guard
 from tidemark.plans.rounds import SMOTE_RATIOS, RoundConfig
 from tidemark.schema import ID, SCORE, TARGET
-from tidemark.session import spread, write_stage
+from tidemark.session import exists, ledger, mark, spread, stage_path, write_stage
 
 BRIER_TOLERANCE = 1.10
 PARALLEL_FITS = 4
+#: Written into the folder of a kept fit when it is whole.
+DONE = "_FITTED"
 
 # The boosting settings tried, leaf-wise and depth-wise.
 LEAFWISE_GRID = [
@@ -132,6 +135,7 @@ class Trainer:
         self.true_rate = sizes.n_pos / sizes.n
         self._resampled: dict = {}
         self._space: MinoritySpace | None = None
+        self._state: tuple | None = None
 
     def resampled(self, ratio: float | None) -> tuple[DataFrame, int, float]:
         """Fit frame at a ratio, its size and its default rate."""
@@ -145,22 +149,48 @@ class Trainer:
             self._resampled[ratio] = (frame, n, pos / n)
         return self._resampled[ratio]
 
+    def known(self, candidate: Candidate) -> str | None:
+        """Where the ledger keeps the fit of this candidate on this frame, if it does."""
+        path = self._place(candidate)
+        return path if exists(self.frame.sparkSession, f"{path}/{DONE}") else None
+
+    def _place(self, candidate: Candidate) -> str:
+        if self._state is None:
+            row = F.xxhash64(ID, TARGET, vector_to_array(FEATURES))
+            self._state = tuple(self.frame.agg(F.count("*"), F.bit_xor(row), F.sum(row % 1_000_003)).first())
+        key = repr((self._state, self.names, candidate))
+        return f"{ledger(self.frame.sparkSession)}/{hashlib.sha256(key.encode()).hexdigest()}"
+
     def fit(self, candidate: Candidate, suffix: str = "") -> list[Transformer]:
-        """Fitted stages from the assembled vector to ``p_default<suffix>``."""
+        """Fitted stages from the assembled vector to ``p_default<suffix>``.
+
+        Fits are kept in a ledger in the shared folder, under the state of the frame and the settings, so that a search
+        that was cut short, or another query, fits only what is missing.
+        """
+        path = self.known(candidate)
+        if path is None:
+            stages, path = self.fit_new(candidate), self._place(candidate)
+            PipelineModel(stages).write().overwrite().save(path)
+            mark(self.frame.sparkSession, f"{path}/{DONE}")     # last, so a fit that is found is whole
+        else:
+            stages = PipelineModel.load(path).stages
+        return renamed(stages, suffix)
+
+    def fit_new(self, candidate: Candidate) -> list[Transformer]:
         frame, n, trained_rate = self.resampled(candidate.ratio)
         settings = dict(candidate.settings)
         stages: list[Transformer] = []
         if candidate.family == "logistica":
-            stages.append(NoCenterScaler(outputCol=f"{SCALED}{suffix}").fit(frame))
+            stages.append(NoCenterScaler(outputCol=SCALED).fit(frame))
             # the regularised loss is a mean here, hence the division by n;
             # balanced weights also sum to n
             learner = LogisticRegression(
-                featuresCol=f"{SCALED}{suffix}", regParam=1.0 / (settings["C"] * n), elasticNetParam=0.0,
+                featuresCol=SCALED, regParam=1.0 / (settings["C"] * n), elasticNetParam=0.0,
                 standardization=False, maxIter=3000, tol=1e-6, family="binomial")
         else:
             learner = self._booster(settings)
-        learner.setLabelCol(TARGET).setPredictionCol(f"prediction{suffix}")
-        learner.setProbabilityCol(f"probability{suffix}").setRawPredictionCol(f"raw{suffix}")
+        learner.setLabelCol(TARGET).setPredictionCol("prediction")
+        learner.setProbabilityCol("probability").setRawPredictionCol("raw")
         if candidate.balanced:
             weights = self.weights.get(candidate.family, self.boost_weights)
             frame = with_weight(frame, *weights)
@@ -170,7 +200,7 @@ class Trainer:
         stages.append(learner.fit(frame))
         rates = {} if candidate.ratio is None else {
             "trueRate": self.true_rate, "trainedRate": trained_rate}
-        stages.append(ProbabilityColumn(source=f"probability{suffix}", output=f"{SCORE}{suffix}", **rates))
+        stages.append(ProbabilityColumn(source="probability", output=SCORE, **rates))
         return stages
 
     def _booster(self, settings: dict) -> GBTClassifier:
@@ -191,15 +221,15 @@ class Trainer:
         return PipelineModel(self.features.stages + (renamed(fitted) if fitted else self.fit(candidate)))
 
 
-def renamed(stages: list[Transformer]) -> list[Transformer]:
-    """Fitted stages of a search, with the column names that a single model has."""
+def renamed(stages: list[Transformer], suffix: str = "") -> list[Transformer]:
+    """Fitted stages with the column names of a single model, or those of one of a search."""
     out = [stage.copy() for stage in stages]
     learner, last = out[-2], out[-1]
     if len(out) == 3:
-        out[0].setOutputCol(SCALED)
-        learner.setFeaturesCol(SCALED)
-    learner.setPredictionCol("prediction").setProbabilityCol("probability").setRawPredictionCol("raw")
-    last._set(source="probability", output=SCORE)
+        out[0].setOutputCol(f"{SCALED}{suffix}")
+        learner.setFeaturesCol(f"{SCALED}{suffix}")
+    learner.setPredictionCol(f"prediction{suffix}").setProbabilityCol(f"probability{suffix}").setRawPredictionCol(f"raw{suffix}")
+    last._set(source=f"probability{suffix}", output=f"{SCORE}{suffix}")
     return out
 
 
@@ -216,7 +246,7 @@ def search_fits(trainer: Trainer, valid: DataFrame, grid: list[Candidate]) -> tu
     is the number of trees that were fitted.
     """
     scored = trainer.features.transform(valid).select(ID, TARGET, FEATURES)
-    for ratio in {c.ratio for c in grid}:
+    for ratio in {c.ratio for c in grid if not trainer.known(c)}:
         trainer.resampled(ratio)
     # independent fits share the cluster; the driver only submits their jobs
     with ThreadPool(PARALLEL_FITS) as pool:
@@ -314,9 +344,22 @@ def coefficients_ranked(fitted: FittedRound) -> DataFrame:
         rows, "feature string, coef double").orderBy(F.desc(F.abs("coef")))
 
 
+def node_splits(nodes: DataFrame) -> DataFrame:
+    """How often each feature splits a node, from the node table of a saved ensemble: position, splits."""
+    split = F.col("nodeData.split.featureIndex").alias("position")
+    return nodes.where("nodeData.leftChild >= 0").select(split).groupBy("position").agg(F.count("*").alias("splits"))
+
+
 def importance_ranked(fitted: FittedRound) -> DataFrame:
-    """Gain-based importances of the final boosted trees, largest first."""
-    learner = fitted.final.stages[-2]
-    rows = list(zip(fitted.names, map(float, learner.featureImportances.toArray())))
-    return fitted.results.sparkSession.createDataFrame(
-        rows, "feature string, importance double").orderBy(F.desc("importance"))
+    """Importances of the final boosted trees: nodes split by each feature, and its share of the gain.
+
+    Most splits first, then by name.
+    """
+    spark, learner = fitted.results.sparkSession, fitted.final.stages[-2]
+    path = stage_path(spark, "ensemble")
+    learner.write().save(path)
+    rows = [(i, name, float(gain)) for i, (name, gain) in enumerate(zip(fitted.names, learner.featureImportances.toArray()))]
+    listed = spark.createDataFrame(rows, "position int, feature string, importance double")
+    return (listed.join(node_splits(spark.read.parquet(f"{path}/data")), "position", "left")
+            .select("feature", F.coalesce("splits", F.lit(0).cast("long")).alias("splits"), "importance")
+            .orderBy(F.desc("splits"), "feature"))

@@ -71,6 +71,32 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _file(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, path = _file(spark, path)
+    return files.exists(path)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, path = _file(spark, path)
+    files.create(path, True).close()
+
+
+def ledger(spark: SparkSession) -> str:
+    """Folder of fits that outlive this application."""
+    return f"{shared_folder(spark)}/tidemark-fits"
+
+
+def drop_ledger(spark: SparkSession) -> None:
+    files, path = _file(spark, ledger(spark))
+    files.delete(path, True)
+
+
 def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Bytes, files and time of change of a table, to tell whether it is still the same."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
