@@ -1,5 +1,7 @@
 """Streams agree with the batch result and count an application once."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,38 @@ def test_watermark_counts_what_comes_late(spark, apps, tmp_path):
     assert jobs.late_rows(run_once()) == 0
     old.coalesce(1).write.mode("append").parquet(source)
     assert jobs.late_rows(run_once()) >= old.count()
+
+
+def test_monitor_keeps_only_open_windows(spark, tmp_path):
+    """Batches out of order, an application reported twice, a late row, and a batch that is run again."""
+    day = lambda n: dt.date(1970, 1, 1) + dt.timedelta(600 * 30 + n)        # day 0 starts a window
+    schema = "id_solicitud long, fecha_solicitud date, default_12m int, p_default double"
+    batches = [[(1, day(3), 1, .5), (2, day(20), 0, .1), (3, day(31), 1, .3)],
+               [(2, day(20), 0, .1), (4, day(29), 1, .6), (5, day(75), 0, .2), (5, day(75), 0, .2)],
+               [(6, day(10), 1, .9), (7, day(100), None, .4), (8, day(64), 0, .8)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.start_monitor(stream, str(tmp_path / "out"), str(tmp_path / "state"), 10).awaitTermination()
+    read = lambda table: spark.read.parquet(str(tmp_path / "out" / table))
+    closed = {(r.lote, r.desde): (r.n, r.tasa_observada, round(r.tasa_predicha, 9)) for r in read("cerrada").collect()}
+    assert closed == {(1, day(0)): (3, 2 / 3, .4), (1, day(30)): (1, 1.0, .3), (2, day(60)): (2, 0.0, .5)}
+    assert [(r.lote, r.id_solicitud, r.desde) for r in read("tarde").collect()] == [(2, 6, day(0))]
+    assert {r.lote: r["count"] for r in read("ids").groupBy("lote").count().collect()} == {0: 3, 1: 1, 2: 1}
+    assert [r.n for r in read("sumas").where("lote = 2").collect()] == [1]
+
+
+def test_monitor_batch_run_again_writes_the_same(spark, tmp_path):
+    schema = "id_solicitud long, fecha_solicitud date, default_12m int, p_default double"
+    for i in range(2):
+        spark.createDataFrame([(9 * i + k, dt.date(2024, 1 + 3 * i, 1 + k), k % 2, .25) for k in range(9)], schema) \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.start_monitor(stream, str(tmp_path / "out"), str(tmp_path / "state"), 10).awaitTermination()
+    tables = ("cerrada", "tarde", "sumas", "ids", "limite")
+    read = lambda: {t: sorted(map(repr, spark.read.parquet(str(tmp_path / "out" / t)).collect())) for t in tables}
+    first = read()
+    (tmp_path / "state" / "commits" / "1").unlink()          # as if the driver was lost before the commit
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    jobs.start_monitor(stream, str(tmp_path / "out"), str(tmp_path / "state"), 10).awaitTermination()
+    assert read() == first and len(first["cerrada"]) == 1

@@ -702,4 +702,18 @@ def build() -> dict[str, str]:
               SELECT *, DATE '1970-01-01' + CAST(30 * FLOOR((fecha_solicitud - DATE '1970-01-01') / 30.0) AS INT) AS desde
               FROM decided)
             GROUP BY desde"""),
+        "stream_late_rows": over("""SELECT 'cerrada' AS estado, CAST((SELECT MIN(lote) FROM marcas m WHERE m.limite >= j.desde + 30) AS INT) AS lote,
+            desde, CAST(desde + 30 AS DATE) AS hasta, COUNT(*) AS n, ROUND(AVG(CAST(default_12m AS DOUBLE)), 9) AS tasa_observada,
+            ROUND(AVG(p_default), 9) AS tasa_predicha
+            FROM juzgadas j WHERE NOT tarde AND desde + 30 <= (SELECT MAX(limite) FROM marcas) GROUP BY desde
+            UNION ALL SELECT 'tarde', CAST(lote AS INT), desde, CAST(desde + 30 AS DATE), COUNT(*), NULL, NULL
+            FROM juzgadas WHERE tarde GROUP BY lote, desde""",
+            """llegadas AS (SELECT *, FLOOR((fecha_solicitud - DATE '2024-01-01' + CASE WHEN id_solicitud % 10 = 0 THEN 150
+                ELSE id_solicitud % 20 END) / 90.0) AS llegada,
+                CAST(DATE '1970-01-01' + CAST(30 * FLOOR((fecha_solicitud - DATE '1970-01-01') / 30.0) AS INT) AS DATE) AS desde FROM scored)""",
+            """marcas AS (SELECT llegada, ROW_NUMBER() OVER (ORDER BY llegada) - 1 AS lote,
+                MAX(MAX(fecha_solicitud)) OVER (ORDER BY llegada) - 30 AS limite FROM llegadas GROUP BY llegada)""",
+            "antes AS (SELECT *, LAG(limite) OVER (ORDER BY lote) AS anterior FROM marcas)",
+            """juzgadas AS (SELECT l.*, a.lote, COALESCE(desde + 30 <= anterior, FALSE) AS tarde
+                FROM llegadas l JOIN antes a ON a.llegada = l.llegada)"""),
     }

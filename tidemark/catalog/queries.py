@@ -16,7 +16,7 @@ from tidemark.functions.probability import hard_predict, prior_correction
 from tidemark.operators import balance, eda, encode, impute, metrics, policy, quality, temporal
 from tidemark.plans import bakeoff, reports, training
 from tidemark.plans.rounds import ROUNDS
-from tidemark.schema import (APPLICATIONS, CATEGORICAL, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
+from tidemark.schema import (APPLICATIONS, CATEGORICAL, DATE, ID, LEAK, QUALITY_FLAGS, SCORE, TARGET, UNRELIABLE,
                              feature_columns)
 from tidemark.session import drop_ledger, spread, stage_path, table_state, write_stage
 from tidemark.sources import sinks
@@ -861,3 +861,25 @@ def stream_default_rate(spark, sf_dir):
     rates = _stream(spark, sf_dir, lambda rows: jobs.stream_default_rate(rows.withColumn(SCORE, p_proxy())),
                     jobs.start_complete)
     return rounded(rates, 9, "tasa_observada", "tasa_predicha", "pct_aprob")
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Default rates of closed windows, and the late rows of each, from applications that arrive out of order.
+
+    Every tenth application arrives 150 days late, the others up to 19; a file holds the arrivals of 90 days.
+    """
+    rows = scored(spark, sf_dir)
+    lag = F.when(F.col(ID) % 10 == 0, 150).otherwise(F.col(ID) % 20)
+    arrived = F.floor((F.datediff(DATE, F.lit("2024-01-01")) + lag) / 90)
+    source, folder = stage_path(spark, "arrivals"), stage_path(spark, "monitor")
+    table = write_stage(rows.withColumn("llegada", arrived), "arrivals")
+    for n in [r.llegada for r in table.select("llegada").distinct().orderBy("llegada").collect()]:     # a dozen quarters
+        table.where(F.col("llegada") == n).drop("llegada").coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.stream_applications(spark, source, schema=rows.schema, maxFilesPerTrigger=1)
+    jobs.start_monitor(stream, folder, f"{folder}-state", delay=30).awaitTermination()
+    closed = spark.read.parquet(f"{folder}/cerrada").withColumn("estado", F.lit("cerrada"))
+    late = (spark.read.parquet(f"{folder}/tarde").groupBy("desde", "hasta", "lote").agg(F.count("*").alias("n"))
+            .withColumn("estado", F.lit("tarde")))
+    return rounded(closed.unionByName(late, allowMissingColumns=True), 9, "tasa_observada", "tasa_predicha").select(
+        "estado", F.col("lote").cast("int").alias("lote"), "desde", "hasta", "n", "tasa_observada", "tasa_predicha")

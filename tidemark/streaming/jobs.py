@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,8 @@ from tidemark.operators import policy
 from tidemark.schema import APPLICATIONS, DATE, ID, SCORE, TARGET
 from tidemark.sources.applications import nan_to_null
 
-WINDOW = "30 days"
+WINDOW_DAYS = 30
+WINDOW = f"{WINDOW_DAYS} days"
 
 
 def stream_applications(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -79,3 +81,62 @@ def start_complete(stream: DataFrame, path: str, checkpoint: str, fmt: str = "pa
         batch.write.format(fmt).mode("overwrite").save(path)
     return (stream.writeStream.outputMode("complete").foreachBatch(replace)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def window_start(day: str = DATE) -> Column:
+    """First day of the 30-day window of a date, counted from 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(F.unix_date(day) / WINDOW_DAYS) * WINDOW_DAYS).cast("int"))
+
+
+def start_monitor(stream: DataFrame, folder: str, checkpoint: str, delay: int, score: str = SCORE) -> StreamingQuery:
+    """Default rates by window, each reported once, when the latest date seen is ``delay`` days past its end.
+
+    Rows of a window that has been reported are late: they change nothing and go to a table of their own, with their
+    window. Tables of ``folder``, partitioned by batch (``lote``):
+
+    * ``cerrada``: desde, hasta, n, tasa_observada, tasa_predicha of the windows that the batch closed
+    * ``tarde``: id, date, desde, hasta of its late rows
+    * ``sumas`` and ``ids``: sums and applications of the windows still open, all that later batches need. They shrink
+      as windows close; an application reported twice while its window is open counts once.
+    * ``limite``: the day up to which windows are closed
+
+    A batch reads only the tables of the batch before and replaces its own partitions, so one that is run again after
+    a failure writes the same.
+    """
+    spark = stream.sparkSession
+    at = lambda table, lote: f"{folder}/{table}/lote={lote}"
+    sums = ("n", "suma_observada", "n_observada", "suma_predicha")
+
+    def take(batch: DataFrame, lote: int) -> None:
+        put = lambda rows, table: rows.write.mode("overwrite").parquet(at(table, lote))
+        rows = (batch.select(ID, DATE, TARGET, F.col(score).alias("p"), window_start().alias("desde"))
+                .withColumn("hasta", F.date_add("desde", WINDOW_DAYS)).persist())
+        before = spark.read.parquet(at("limite", lote - 1)).first().limite if lote else None
+        latest = rows.agg(F.max(DATE)).first()[0]
+        days = [d for d in (before, latest - dt.timedelta(delay) if latest else None) if d]
+        limit = F.lit(max(days) if days else None).cast("date")
+        late = F.coalesce(F.col("hasta") <= F.lit(before).cast("date"), F.lit(False))
+        put(rows.where(late).select(ID, DATE, "desde", "hasta"), "tarde")
+        new = rows.where(~late).dropDuplicates([ID])
+        if lote:
+            new = new.join(spark.read.parquet(at("ids", lote - 1)), ID, "left_anti")
+        total = new.groupBy("desde", "hasta").agg(
+            F.count("*").alias("n"), F.sum(F.col(TARGET).cast("double")).alias("suma_observada"),
+            F.count(TARGET).alias("n_observada"), F.sum("p").alias("suma_predicha"))
+        known = new.select(ID, "hasta")
+        if lote:
+            total = (total.unionByName(spark.read.parquet(at("sumas", lote - 1)))
+                     .groupBy("desde", "hasta").agg(*(F.sum(c).alias(c) for c in sums)))
+            known = known.unionByName(spark.read.parquet(at("ids", lote - 1)))
+        closed = F.coalesce(F.col("hasta") <= limit, F.lit(False))
+        total = total.persist()
+        put(total.where(closed).select(
+            "desde", "hasta", "n", F.try_divide("suma_observada", F.col("n_observada")).alias("tasa_observada"),
+            F.try_divide("suma_predicha", F.col("n")).alias("tasa_predicha")), "cerrada")
+        put(total.where(~closed), "sumas")
+        put(known.where(~closed), "ids")
+        put(spark.range(1).select(limit.alias("limite")), "limite")
+        total.unpersist()
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
