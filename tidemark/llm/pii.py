@@ -17,20 +17,24 @@ Defined cases: a null text counts as empty and has no spans; spans count code
 points, end exclusive; a word that touches a base span is not a candidate,
 and a run of more than 19 digits falls into its words;
 repeated rows keep their own spans but, counting once, lend a pattern no weight;
-with no seeds nothing is added; extra columns are ignored.
+with no seeds nothing is added; of two kinds with equal confidence the one listed
+first is added; base spans and contexts take time linear in the text, whatever
+its longest word; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import string_batches, with_row_id
+from tidemark.llm.common import mix64, string_batches, with_row_id
 from tidemark.session import write_stage
 
 #: Kinds in the order of ties, and their expressions.
@@ -56,6 +60,9 @@ DOT = re.compile("dot", re.I)
 SUPPORT, CONFIDENT, ACCEPTED, ROUNDS = 3, 0.8, 0.8, 3
 #: What an instance of no known kind counts against a pattern; one known of another kind counts 1.
 UNLABELLED = 0.5
+#: Longer words of a pattern, and longer instances, go by a hash of all their letters.
+WHOLE, SURFACE = 40, 200
+FACTOR = 0x9E3779B97F4A7C15
 
 MENTION = "array<struct<at:int,stop:int,kind:string,surface:string,patterns:array<string>>>"
 FOUND = f"row_id long, doc_id long, counts array<long>, base array<struct<at:int,kind:int,stop:int>>, mentions {MENTION}"
@@ -85,25 +92,80 @@ def holds(kind: str, value: str) -> bool:
 NEEDED = {"email": re.compile("@"), "phone": re.compile(r"\+[0-9]"), "ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile("[0-9][ -]?[0-9]")}
 
 
+#: The same matches in linear time: what can start in the middle of a run that has failed is not tried, and no run is given back.
+LINEAR = {
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
+    "phone": re.compile(EXPRESSIONS["phone"]),
+}
+#: What may start an address right behind the last one, where the run of its letters has begun before.
+AGAIN = re.compile(LINEAR["email"].pattern.partition(")")[2])
+
+
+def matches(kind: str, text: str):
+    """(start, end) of the leftmost non-overlapping matches of a kind's expression."""
+    if kind != "email":
+        yield from (m.span() for m in LINEAR[kind].finditer(text))
+        return
+    at = 0
+    while found := AGAIN.match(text, at) or LINEAR[kind].search(text, at):
+        yield found.span()
+        at = found.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base expressions, by start and then kind."""
     spans = []
     for k, kind in enumerate(KINDS):
         if NEEDED[kind].search(text):
-            spans += [(m.start(), k, m.end()) for m in re.finditer(EXPRESSIONS[kind], text) if holds(kind, m.group())]
+            spans += [(s, k, e) for s, e in matches(kind, text) if holds(kind, text[s:e])]
     return sorted(spans)
 
 
-def _word(text: str) -> str:
-    return re.sub(r"[0-9]", "0", text.lower())[:40]
+class Context:
+    """The words of a text, and a short name of any part of one: a part of over WHOLE letters goes by a hash.
+
+    The hashes of all parts of a word come from one running sum, so many finds within one long word cost no more.
+    """
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in re.finditer(r"\S+", text)]
+        self.starts = [s for s, _ in self.spans]
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def name(self, word: int, start: int, end: int) -> str:
+        if end - start <= WHOLE:
+            return re.sub(r"[0-9]", "0", self.text[start:end].lower())
+        first, last = self.spans[word]
+        if word not in self.sums:
+            letters = np.frombuffer(self.text[first:last].encode("utf-32-le", "surrogatepass"), np.uint32)
+            inverse = np.cumprod(np.full(len(letters) + 1, pow(FACTOR, -1, 1 << 64), np.uint64))
+            powers = np.cumprod(np.full(len(letters), FACTOR, np.uint64))
+            codes = mix64(np.where((letters >= 48) & (letters < 58), np.uint32(48), letters).astype(np.uint64))
+            self.sums[word] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers)]), inverse
+        sums, inverse = self.sums[word]
+        part = (int(sums[end - first]) - int(sums[start - first])) * int(inverse[start - first]) % (1 << 64)
+        return f"#{end - start}:{part:x}"
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The lexical patterns of what stands at a place: words in front, words in front with the one behind."""
+        word = bisect_left(self.starts, start)                     # the first word that starts at it or behind
+        before = [(w, s, min(e, start)) for w, (s, e) in enumerate(self.spans[max(0, word - 2):word], max(0, word - 2))]
+        if not before:
+            return []
+        left = " ".join(self.name(*part) for part in before)
+        word = bisect_left(self.starts, end)
+        if word and self.spans[word - 1][1] > end:
+            after = self.name(word - 1, end, self.spans[word - 1][1])
+        else:
+            after = self.name(word, *self.spans[word]) if word < len(self.spans) else ""
+        return [f"{left} _", f"{left} _ {after}"]
 
 
-def patterns_at(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of what stands at a place: words in front, words in front with the one behind."""
-    before = text[max(0, start - 80):start].split()[-2:]
-    after = text[end:end + 40].split()[:1]
-    left = " ".join(map(_word, before))
-    return [f"{left} _", f"{left} _ {_word(after[0]) if after else ''}"] if left else []
+def surface(text: str) -> str:
+    """The name of an instance: itself, or a hash if it is long."""
+    return text if len(text) <= SURFACE else f"#{len(text)}:{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
 
 def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
@@ -148,9 +210,10 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Base finds and candidates with their patterns."""
-    out = [{"at": s, "stop": e, "kind": KINDS[k], "surface": text[s:e][:200], "patterns": patterns_at(text, s, e)} for s, k, e in spans]
-    return out + [{"at": s, "stop": e, "kind": None, "surface": text[s:e][:200], "patterns": patterns_at(text, s, e)}
-                  for s, e in candidates(text, sorted((s, e) for s, _, e in spans))]
+    places = [(s, e, KINDS[k]) for s, k, e in spans]
+    places += [(s, e, None) for s, e in candidates(text, sorted((s, e) for s, _, e in spans))]
+    context = Context(text) if places else None
+    return [{"at": s, "stop": e, "kind": kind, "surface": surface(text[s:e]), "patterns": context.patterns(s, e)} for s, e, kind in places]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -183,14 +246,15 @@ def confident_patterns(seen: DataFrame) -> DataFrame:
     links = edges.select("pattern", "surface").distinct()
     strong = None
     for turn in range(ROUNDS):
-        weights = links.join(instances, "surface").groupBy("pattern", "kind").agg(F.sum("score").alias("weight"))
+        weights = links.join(instances, "surface").groupBy("pattern", "kind").agg(F.round(F.sum("score"), 9).alias("weight"))
         known = links.join(instances.select("surface").distinct(), "surface").groupBy("pattern").agg(F.count("*").alias("known"))
         strong = (weights.join(sizes, "pattern").join(known, "pattern").join(seeds, ["pattern", "kind"])
                   .withColumn("confidence", F.col("weight") / (F.col("known") + UNLABELLED * (F.col("size") - F.col("known")) + 0.1))
                   .where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern", "kind", "confidence"))
         strong = write_stage(strong, f"pii-patterns-{turn}")
         reached = (links.join(strong, "pattern").groupBy("surface", "kind")
-                   .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score")).where(F.col("score") >= ACCEPTED))
+                   .agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
+                   .withColumn("score", F.round("score", 9)).where(F.col("score") >= ACCEPTED))
         instances = write_stage(
             edges.where("kind IS NOT NULL").select("surface", "kind", F.lit(1.0).alias("score"))
             .unionByName(reached).groupBy("surface", "kind").agg(F.max("score").alias("score")), f"pii-instances-{turn}")
@@ -204,7 +268,7 @@ def extract(docs: DataFrame) -> DataFrame:
     strong = confident_patterns(seen)
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     added = (seen.where("kind IS NULL").select("row_id", "at", "stop", F.explode("patterns").alias("pattern"))
-             .join(strong, "pattern").groupBy("row_id", "at", "stop").agg(F.max_by("kind", "confidence").alias("kind"))
+             .join(strong, "pattern").groupBy("row_id", "at", "stop").agg(F.max_by("kind", F.struct("confidence", -order[F.col("kind")])).alias("kind"))
              .groupBy("row_id").agg(F.collect_list(F.struct("at", order[F.col("kind")].alias("kind"), "stop")).alias("added")))
     return (found.drop("mentions").join(added, "row_id", "left")
             .withColumn("spans", F.sort_array(F.concat("base", F.coalesce("added", F.expr("CAST(array() AS array<struct<at:int,kind:int,stop:int>>)")))))
