@@ -8,7 +8,8 @@ helps to compress the other.
 
 Defined cases: a null text counts as empty; a text without phrases has the empty
 fingerprint, which is like another empty one (1) and nothing else (0); a phrase
-that the end cuts short counts; empty bins of both texts are left out; equal
+that the end cuts short counts; a text of any length has one dictionary, whose
+memory grows with its phrases; empty bins of both texts are left out; equal
 texts have equal fingerprints.
 """
 
@@ -34,15 +35,15 @@ FACTOR = 0x9E3779B97F4A7C15
 LONG = 48
 PART = re.compile(r"\w{1,8}\W*+|\W+")
 NONE = np.iinfo(np.uint64).max
-#: Tokens that share one dictionary; a longer text starts a new one.
-BLOCK = 1 << 18
+#: Hashes of tokens that a task remembers.
+MEMORY = 1 << 18
 
 
 class TokenHashes(dict):
     """64-bit hash of each token, remembered."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > BLOCK:
+        if len(self) > MEMORY:
             self.clear()
         found = self[token] = xxhash.xxh64_intdigest(token)
         return found
@@ -90,11 +91,9 @@ def _codes(tokens: list[str], hashes: TokenHashes) -> np.ndarray:
 def fingerprint_of(text: str, hashes: TokenHashes) -> bytes:
     if not text:
         return b""
-    tokens, least = tokens_of(text), _bins()
-    for start in range(0, len(tokens), BLOCK):
-        block, root = tokens[start:start + BLOCK], {}
-        ends, node = parse(block, root, root)
-        _collect(_codes(block, hashes), ends if node is root else [*ends, len(block)], least)
+    tokens, least, root = tokens_of(text), _bins(), {}
+    ends, node = parse(tokens, root, root)
+    _collect(_codes(tokens, hashes), ends if node is root else [*ends, len(tokens)], least)
     return _packed(least)
 
 
@@ -106,7 +105,7 @@ def fingerprints_of_edit(text: str, cut: int, tail: str, hashes: TokenHashes) ->
     """
     edited = text[:cut] + tail
     space = text.rfind(" ", 0, cut)
-    if space < 0 or max(text.count(" "), edited.count(" "), (len(text) + len(edited)) // 8) >= BLOCK:
+    if space < 0:
         return fingerprint_of(text, hashes), fingerprint_of(edited, hashes)
     head, root, made = tokens_of(text[:space]), {}, []
     ends, fork = parse(head, root, root)
