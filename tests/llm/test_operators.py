@@ -99,6 +99,10 @@ def test_pieces_over_frames(spark, odd, nothing, vocabulary):
     rows = pieces.decode(pieces.encode(odd, vocabulary), vocabulary).collect()
     for r in rows:
         assert r.ids == library.encode(r.text or "") and r.decoded == library.decode(r.ids)
+    at_once = pieces.encode_decode(odd, vocabulary)
+    assert at_once.columns == [*odd.columns, "ids", "decoded"]
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, rows))
+    assert pieces.encode_decode(nothing, vocabulary).count() == 0
     loose = [[0, 1, 2], [1, 278, 338], [240, 159, 300], [230, 187, 155], [278], [1, 2], [], list(range(3, 259))]
     df = spark.createDataFrame([(x,) for x in loose], "ids array<int>")
     for r in pieces.decode(df, vocabulary).collect():
@@ -106,6 +110,9 @@ def test_pieces_over_frames(spark, odd, nothing, vocabulary):
     assert pieces.decode(pieces.encode(nothing, vocabulary), vocabulary).count() == 0
     with pytest.raises(ValueError):
         pieces.encode(odd, vocabulary, out="source")
+    for taken in ({"ids": "source"}, {"out": "source"}, {"out": "ids"}):
+        with pytest.raises(ValueError):
+            pieces.encode_decode(odd, vocabulary, **taken)
 
 
 # 3 quality

@@ -228,11 +228,8 @@ def keys_of(text: str) -> list[str]:
 WORDS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``, the ids of the whole ``text`` as array<int>."""
-    _free(docs, out)
-    at = docs.schema.fieldNames().index(text)
-
+def _encoding(vocabulary: Vocabulary, at: int, out: str):
+    """Task that adds the ids of the texts in column ``at``."""
     def task(batches):
         encoder = Encoder(vocabulary)
         for batch in sliced(batches):
@@ -241,14 +238,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
             ids = pa.ListArray.from_arrays(counts, np.frombuffer(b"".join(data), np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(task, _with(docs, out, "array<int>"))
-
+    return task
 
-def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``, the text of the ids; a null array gives the empty text."""
-    _free(docs, out)
-    at = docs.schema.fieldNames().index(ids)
 
+def _decoding(vocabulary: Vocabulary, at: int, out: str):
+    """Task that adds the texts of the ids in column ``at``."""
     def surface(piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
@@ -283,7 +277,34 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(task, _with(docs, out, "string"))
+    return task
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids") -> DataFrame:
+    """Adds ``out``, the ids of the whole ``text`` as array<int>."""
+    _free(docs, out)
+    at = docs.schema.fieldNames().index(text)
+    return docs.mapInArrow(_encoding(vocabulary, at, out), _with(docs, out, "array<int>"))
+
+
+def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Adds ``out``, the text of the ids; a null array gives the empty text."""
+    _free(docs, out)
+    at = docs.schema.fieldNames().index(ids)
+    return docs.mapInArrow(_decoding(vocabulary, at, out), _with(docs, out, "string"))
+
+
+def encode_decode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids",
+                  out: str = "decoded") -> DataFrame:
+    """Adds ``ids`` and the text ``out`` that they decode to, as `encode` and then `decode` do, in one Python worker a
+    task instead of two and without sending the ids out and in again."""
+    _free(docs, ids)
+    with_ids = docs.schema.fieldNames()
+    encoding, decoding = _encoding(vocabulary, with_ids.index(text), ids), _decoding(vocabulary, len(with_ids), out)
+    both = _with(docs, ids, "array<int>").add(out, "string")
+    if len({f.lower() for f in both.fieldNames()}) < len(both):
+        raise ValueError(f"the column {out} is taken")
+    return docs.mapInArrow(lambda batches: decoding(encoding(batches)), both)
 
 
 def sliced(batches):
