@@ -95,6 +95,23 @@ def test_spearman_equals_pandas(noisy):
     assert got == pytest.approx(frame[["x", "default_12m"]].corr("spearman").iloc[0, 1], rel=1e-10)
 
 
+def test_drift_finds_a_planted_shift(spark):
+    """Ten defaults in 100 as predicted, from month 13 on 20; against the recursion, with rows that don't count."""
+    import datetime as dt
+    rows = [(dt.date(2022 + m // 12, m % 12 + 1, 1 + i % 28), int(i < (10 if m < 12 else 20)), 0.1) for m in range(24) for i in range(100)]
+    odd = [(None, 1, 0.1), (dt.date(2022, 1, 5), None, 0.1), (dt.date(2022, 1, 5), 1, None), (dt.date(2021, 12, 1), 1, 1.0)]
+    schema = "fecha_solicitud date, default_12m int, p_default double"
+    got = eda.default_drift(spark.createDataFrame(rows + odd, schema), "p_default").orderBy("mes").collect()
+    up = down = 0.0
+    for row, m in zip(got, range(-1, 24), strict=True):
+        z = 0.0 if m < 12 else (20 - 10) / np.sqrt(100 * 0.1 * 0.9)
+        up, down = max(0.0, up + z - 0.5), max(0.0, down - z - 0.5)
+        assert (row.n, row.z, row.alza, row.baja) == (1 if m < 0 else 100, *map(pytest.approx, (z, up, down)))
+        assert row.deriva == ("alza" if up > 4 else "no")
+    assert min(r.mes for r in got if r.deriva == "alza") == dt.date(2023, 2, 1)
+    assert eda.default_drift(spark.createDataFrame([], schema), "p_default").count() == 0
+
+
 def test_gain_curve_equals_direct_sums(apps):
     df = policy.add_economics(apps)
     frame = df.toPandas()

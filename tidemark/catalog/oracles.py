@@ -685,6 +685,15 @@ def build() -> dict[str, str]:
         "default_rate_by_month": over("""SELECT CAST(DATE_TRUNC('month', fecha_solicitud) AS DATE) AS mes, COUNT(*) AS n,
             ROUND(AVG(CAST(default_12m AS DOUBLE)), 9) AS tasa_observada, ROUND(AVG(p_default), 9) AS tasa_predicha
             FROM scored GROUP BY 1"""),
+        "default_drift": over("""SELECT mes, n, ROUND(z, 6) AS z, ROUND(alza, 6) AS alza, ROUND(baja, 6) AS baja,
+            CASE WHEN alza > 4 THEN 'alza' WHEN baja > 4 THEN 'baja' ELSE 'no' END AS deriva FROM sumas""",
+            """meses AS (SELECT CAST(DATE_TRUNC('month', fecha_solicitud) AS DATE) AS mes, COUNT(*) AS n,
+               COALESCE((SUM(CAST(default_12m AS DOUBLE)) - SUM(p_default)) / NULLIF(SQRT(SUM(p_default * (1 - p_default))), 0), 0) AS z
+               FROM scored WHERE default_12m IS NOT NULL AND fecha_solicitud IS NOT NULL AND p_default IS NOT NULL GROUP BY 1)""",
+            """caminos AS (SELECT *, SUM(z - 0.5::DOUBLE) OVER (ORDER BY mes) AS sube, SUM(-z - 0.5::DOUBLE) OVER (ORDER BY mes) AS cae
+               FROM meses)""",
+            """sumas AS (SELECT mes, n, z, sube - LEAST(0, MIN(sube) OVER (ORDER BY mes)) AS alza,
+               cae - LEAST(0, MIN(cae) OVER (ORDER BY mes)) AS baja FROM caminos)"""),
         "leakage_screen": over(
             """SELECT iv.variable, ROUND(iv, 6) AS iv, ROUND(SQRT(chi2 / n), 6) AS v_cramer, ROUND(r, 6) AS r,
                CASE WHEN iv > 0.5 AND GREATEST(COALESCE(ABS(r), 0.0), SQRT(chi2 / n)) > 0.7 THEN 'fuga'

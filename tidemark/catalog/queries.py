@@ -792,6 +792,11 @@ def default_rate_by_month(spark, sf_dir):
     return rounded(eda.default_rate_by_month(scored(spark, sf_dir), SCORE), 9, "tasa_observada", "tasa_predicha")
 
 
+@query
+def default_drift(spark, sf_dir):
+    return rounded(eda.default_drift(scored(spark, sf_dir), SCORE), 6, "z", "alza", "baja")
+
+
 @query
 def leakage_screen(spark, sf_dir):
     df = eda.leakage_screen(stored(spark, sf_dir), NUMERIC, CATEGORICAL)

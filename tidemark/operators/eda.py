@@ -23,6 +23,8 @@ RANK_CUTS = 1_023
 SMOOTHING = 0.5
 IV_ALERT = 0.5            # an information value above this is too good to trust
 ASSOCIATION_ALERT = 0.7   # correlation or Cramér's V of a trace of the outcome
+DRIFT_SLACK = 0.5         # standard errors a month that a cumulative sum forgives
+DRIFT_ALERT = 4.0         # a cumulative sum above this is a shift
 
 # Weekday labels, Monday first.
 WEEKDAYS = ["lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo"]
@@ -92,6 +94,28 @@ def default_rate_by_month(df: DataFrame, score: str) -> DataFrame:
         F.avg(score).alias("tasa_predicha"))
 
 
+def default_drift(df: DataFrame, score: str, slack: float = DRIFT_SLACK, alert: float = DRIFT_ALERT) -> DataFrame:
+    """Two-sided cumulative sums, over months, of observed less predicted defaults in standard errors.
+
+    ``alza`` is max(0, alza of the month before + z - slack), ``baja`` the same of -z. Both are written as a prefix
+    sum less its running minimum, so no month waits for another. ``deriva`` says which of them is above ``alert``.
+    Rows without an outcome, date or score don't count; a month whose predictions are all 0 or 1 has z = 0. Rows are
+    summed by month first: the windows see one row a month.
+    """
+    p, y = F.col(score), F.col(TARGET).cast("double")
+    months = (df.where(F.col(TARGET).isNotNull() & F.col(DATE).isNotNull() & p.isNotNull())
+              .groupBy(F.trunc(DATE, "month").alias("mes")).agg(
+                  F.count("*").alias("n"),
+                  F.coalesce(F.try_divide(F.sum(y) - F.sum(p), F.sqrt(F.sum(p * (1 - p)))), F.lit(0.0)).alias("z")))
+    order = Window.orderBy("mes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walks = months.select("mes", "n", "z", F.sum(F.col("z") - slack).over(order).alias("up"),
+                          F.sum(-F.col("z") - slack).over(order).alias("down"))
+    sums = walks.select("mes", "n", "z", *[(F.col(c) - F.least(F.lit(0.0), F.min(c).over(order))).alias(name)
+                                           for c, name in (("up", "alza"), ("down", "baja"))])
+    return sums.withColumn("deriva", F.when(F.col("alza") > alert, "alza").when(F.col("baja") > alert, "baja")
+                           .otherwise("no"))
+
+
 # --- correlation ------------------------------------------------------------
 
 def _pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
