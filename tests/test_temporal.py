@@ -77,3 +77,13 @@ def test_dates_clashes_and_empty_tables(spark):
     assert temporal.asof_join(a.limit(0), b, ["k"], "d", "s").count() == 0
     with pytest.raises(ValueError, match="both sides"):
         temporal.asof_join(a, b.withColumnRenamed("v", "d"), ["k"], "d", "s")
+
+
+def test_copies_of_points_are_not_broadcast(spark, tmp_path):
+    """A small file of points, each copied into every width that occurs, stays off the driver."""
+    points = spark.range(2000).selectExpr("id % 50 AS k", "id", "id AS t")
+    spans = spark.range(300).selectExpr("id % 50 AS k", "id AS j", "id AS s", "id + (1L << CAST(id % 30 AS INT)) AS e", "uuid() AS more")
+    for rows, name in ((points, "points"), (spans, "spans")):
+        rows.write.parquet(str(tmp_path / name))
+    joined = temporal.interval_join(spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "spans")), ["k"], "t", "s", "e")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -118,5 +118,5 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], point: str,
     sought = (left.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
               .withColumn("__bucket", bucket(at)))
     inside = (F.col(point) >= F.col(start)) & (F.col(end).isNull() | (F.col(point) < F.col(end)))
-    return (sought.join(laid, [*by, "__level", "__bucket"]).where(inside)
+    return (sought.hint("merge").join(laid, [*by, "__level", "__bucket"]).where(inside)
                .select(*left.columns, *(c for c in right.columns if c not in by)))
