@@ -247,3 +247,36 @@ def test_fitted_queries_return_what_the_model_says(spark):
     assert grid.brier[grid.balanceado].min() > grid.brier[~grid.balanceado].max()       # weighting wrecks calibration
     rounds = run("round_comparison_fitted")
     assert len(rounds) == 6 and rounds[rounds.ronda == "ronda_4"].iloc[0].auc == job.auc
+
+
+def test_logistic_candidates_share_passes_and_reach_the_minimum(labelled, monkeypatch):
+    """Weighted or not, from a sample's answer: the minimum over all rows, in passes that don't grow with the grid."""
+    from tidemark.operators import logistic
+    passes, sums = [], logistic._sums
+    monkeypatch.setattr(logistic, "START_ROWS", 300)
+    monkeypatch.setattr(logistic, "_sums", lambda *a: passes.append(1) or sums(*a))
+    cfg = ROUNDS[4]
+    t = training.Trainer(cfg, cfg.train(labelled))
+    grid = training.candidates(cfg, "logistica")
+    t.solve(grid)
+    assert len(grid) == 8 and len(passes) < 40
+    rows = t.frame.select("default_12m", vector_to_array("features").alias("x")).toPandas()
+    y = rows.default_12m.to_numpy()
+    for c in (grid[0], grid[3]):
+        scaler, model = t._solved[c]
+        X = np.stack(rows.x) * scaler.getScalingVec().toArray()
+        weight = np.where(y == 1, *t.weights["logistica"]) if c.balanced else np.ones(len(y))
+        w = np.concatenate([[model.intercept], model.coefficients.toArray()])
+        p = 1 / (1 + np.exp(-(w[0] + X @ w[1:])))
+        slope = np.concatenate([[(weight * (p - y)).sum()], X.T @ (weight * (p - y)) + w[1:] / dict(c.settings)["C"]])
+        assert np.abs(slope).max() < 1e-3 * len(y) / 1000, c
+
+
+def test_final_model_is_fitted_when_asked_for(labelled, monkeypatch):
+    cfg, made, init = ROUNDS[4], [], training.Trainer.__init__
+    monkeypatch.setattr(training.Trainer, "__init__", lambda self, *a: made.append(1) or init(self, *a))
+    grid = [training.Candidate("logistica", (("C", 1.0),))]
+    fitted = training.fit_round(cfg, labelled, grid=grid)
+    fitted.score(cfg.valid(labelled), final=False).count()
+    assert len(made) == 1
+    assert fitted.final.stages[-2].coefficients != fitted.oot.stages[-2].coefficients and len(made) == 2 and fitted.names
