@@ -89,3 +89,17 @@ def test_monitor_batch_run_again_writes_the_same(spark, tmp_path):
     (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
     jobs.start_monitor(stream, str(tmp_path / "out"), str(tmp_path / "state"), 10).awaitTermination()
     assert read() == first and len(first["cerrada"]) == 1
+
+
+def test_arrivals_of_a_batch_are_many_files(spark, monkeypatch):
+    """Each quarter is one batch, though several tasks wrote it."""
+    import glob
+    from conftest import SF_DIR
+    from tidemark.catalog import queries
+    places, path, stage = {}, queries.stage_path, queries.write_stage
+    monkeypatch.setattr(queries, "stage_path", lambda s, name: places.setdefault(name, path(s, name)))
+    monkeypatch.setattr(queries, "write_stage", lambda df, name: stage(df.repartition(6), name))
+    lotes = {r.lote for r in queries.QUERIES["stream_late_rows"](spark, SF_DIR).select("lote").collect()}
+    files = glob.glob(places["arrivals"].removeprefix("file:") + "/*.parquet")
+    batches = glob.glob(places["monitor"].removeprefix("file:") + "/limite/lote=*")
+    assert len(files) > 3 * len(batches) and lotes <= set(range(len(batches))) and 6 <= len(batches) <= 9
