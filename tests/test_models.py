@@ -280,3 +280,16 @@ def test_final_model_is_fitted_when_asked_for(labelled, monkeypatch):
     fitted.score(cfg.valid(labelled), final=False).count()
     assert len(made) == 1
     assert fitted.final.stages[-2].coefficients != fitted.oot.stages[-2].coefficients and len(made) == 2 and fitted.names
+
+
+def test_tasks_of_a_boosted_fit_follow_its_rows(labelled, monkeypatch):
+    """Eight files of a few hundred rows: two tasks a job, not eight; more tasks once there are more rows a task."""
+    cfg, seen, fit = ROUNDS[1], [], training.GBTClassifier.fit
+    t = training.Trainer(cfg, cfg.train(labelled))
+    t.frame = t.frame.repartition(8, "id_solicitud")
+    n = t.frame.count()
+    monkeypatch.setattr(training.GBTClassifier, "fit", lambda self, frame: seen.append(frame.rdd.getNumPartitions()) or fit(self, frame))
+    for rows in (training.TASK_ROWS, -(-n // 5)):
+        monkeypatch.setattr(training, "TASK_ROWS", rows)
+        t.fit_new(tiny_grid()[0])
+    assert seen == [2, 5]
