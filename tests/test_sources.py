@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_DIR
 from tidemark.operators import policy
 from tidemark.operators.quality import between_dates
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, spread
 from tidemark.sources import sinks
 from tidemark.sources.applications import (applications, check_schema, read_applications, read_monthly,
                                            write_applications)
@@ -58,3 +58,17 @@ def test_policy_file(spark, apps, tmp_path):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_applications_are_dealt_by_order_already(spark):
+    """Large tables are joined by shuffles: the last of them is by order, so writing by order adds none."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = spread(applications(spark, SF_DIR), "id_solicitud")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "REPARTITION_BY_COL" not in plan and plan.count("Exchange hashpartitioning") == 4
