@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,16 @@ def test_tail_probabilities():
     assert f_tail(4.964603, 1, 10) == pytest.approx(.05, abs=1e-6)
     assert f_tail(2.866081, 4, 20) == pytest.approx(.05, abs=1e-6)
     assert f_tail(0.5, 4, 20) == pytest.approx(.736, abs=1e-3)
+
+
+def test_rank_correlations_are_summed_by_task(spark):
+    """Ties, a missing value and a constant; no correlation aggregate over the joined ranks, which took a third of the time."""
+    from tidemark.operators import eda
+    rows = [(1.0, 5.0, 2.0), (2.0, 5.0, 2.0), (2.0, 1.0, 2.0), (4.0, 0.0, 2.0), (9.0, -3.0, 2.0), (None, 7.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    found = eda.spearman_corr(df, ["a", "b", "c"])
+    assert "corr(" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.var_a, r.var_b): r.r for r in found.collect()}
+    want = np.corrcoef([1, 2.5, 2.5, 4, 5], [4.5, 4.5, 3, 2, 1])[0, 1]
+    assert got[("a", "b")] == pytest.approx(want, abs=1e-12) and got[("a", "c")] is None and len(got) == 3
+    assert [r.r for r in eda.spearman_corr(df.where("a > 100"), ["a", "b"]).collect()] == [None]

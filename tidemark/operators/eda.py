@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,7 +140,7 @@ def mid_ranks(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     """
     # read twice below, so counted once and kept
     values = write_stage(df.groupBy(column).agg(F.count("*").alias("n")), "rank-values")
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]       # no rows, no cuts
     tagged = Bucketizer(splits=splits, inputCol=column, outputCol="bucket").transform(values)
     sizes = tagged.groupBy("bucket").agg(F.sum("n").alias("size"))       # len(splits) rows at most
     before = sizes.select("bucket", (
@@ -150,13 +151,39 @@ def mid_ranks(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
             .select(column, rank.alias(f"rank_{column}")))
 
 
+def _products(middle: float, names: list[str]):
+    """Task function: sums of products of every two columns, each less ``middle``; one row a task."""
+    def add(batches):
+        total = np.zeros((len(names), len(names)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - middle
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total.ravel()], names=[f"{a}_{b}" for a in names for b in names])
+
+    return add
+
+
+def _rank_correlations(ranks: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """Pair correlations of mid-ranks of n rows, whose mean is (n + 1) / 2: a task hands on one row of sums."""
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{a}_{b} double" for a in names for b in names)
+    row = ranks.toDF(*names).mapInArrow(_products((n + 1) / 2, names), schema).agg(
+        *[F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a in names for b in names])
+    place = dict(zip(columns, names))
+    return _rows_of(row, [
+        F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.try_divide(
+            F.col(f"{place[a]}_{place[b]}"), F.sqrt(f"{place[a]}_{place[a]}") * F.sqrt(f"{place[b]}_{place[b]}")).alias("r"))
+        for a, b in combinations(columns, 2)])
+
+
 def spearman_corr(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation with mid-ranks, over rows that have every column."""
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     cuts = data.approxQuantile(columns, [i / (RANK_CUTS + 1) for i in range(1, RANK_CUTS + 1)], 0.001)
     ranked = reduce(lambda acc, pair: acc.join(mid_ranks(data, pair[0], pair[1]), pair[0]),
                     zip(columns, cuts), data)
-    return (_pair_correlations(ranked.select(*[F.col(f"rank_{c}").alias(c) for c in columns]), columns))
+    ranks = ranked.select(*[F.col(f"rank_{c}").cast("double") for c in columns])
+    return _rank_correlations(ranks, columns, data.count())
 
 
 def _inverse_diagonal(columns: list[str]):
