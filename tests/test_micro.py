@@ -210,3 +210,18 @@ def test_rank_correlations_are_summed_by_task(spark):
     want = np.corrcoef([1, 2.5, 2.5, 4, 5], [4.5, 4.5, 3, 2, 1])[0, 1]
     assert got[("a", "b")] == pytest.approx(want, abs=1e-12) and got[("a", "c")] is None and len(got) == 3
     assert [r.r for r in eda.spearman_corr(df.where("a > 100"), ["a", "b"]).collect()] == [None]
+
+
+def test_levene_rows_are_not_dealt_by_a_few_groups(spark):
+    """Without broadcasts by size: the long rows meet their brackets and centres where they are, with the same answer."""
+    from tidemark.operators import eda
+    df = spark.createDataFrame([(float(i * i % 17), float(i % 5), i % 2) for i in range(60)], "a double, b double, g int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few, many = (eda.levene_test(df, ["a", "b"], "g", few_groups=b) for b in (True, False))
+        joins = [f._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin ") for f in (few, many)]
+        rows = [sorted((r.variable, r.n, round(r.f, 9)) for r in f.collect()) for f in (few, many)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert joins == [2, 8] and rows[0] == rows[1] and len(rows[0]) == 2

@@ -311,13 +311,18 @@ def anova_f(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     return _anova(_stacked(df, columns, "double", [group]), group)
 
 
-def levene_test(df: DataFrame, columns: list[str], group: str, center: str = "median") -> DataFrame:
-    """Equality of variances: F of the distances to the group's median or mean."""
+def levene_test(df: DataFrame, columns: list[str], group: str, center: str = "median", few_groups: bool = False) -> DataFrame:
+    """Equality of variances: F of the distances to the group's median or mean.
+
+    ``few_groups`` states that the groups are a fixed few, such as outcomes: the long rows then stay where they are,
+    instead of being dealt by a handful of keys.
+    """
     long = _stacked(df, columns, "double", [group])
     if center == "median":
-        centres = group_median(long, "valor", ["variable", group]).withColumnRenamed("mediana", "centro")
+        centres = group_median(long, "valor", ["variable", group], few_groups).withColumnRenamed("mediana", "centro")
     else:
         centres = long.groupBy("variable", group).agg(F.avg("valor").alias("centro"))
+    centres = F.broadcast(centres) if few_groups else centres
     distances = long.join(centres, ["variable", group]).withColumn(
         "valor", F.abs(F.col("valor") - F.col("centro")))
     return _anova(distances, group)
@@ -372,5 +377,5 @@ def significance(df: DataFrame, numeric: list[str], categorical: list[str], grou
     spread_of_errors = breusch_pagan(df, target, [c for c in numeric if c != LEAK]).select(
         F.lit("breusch_pagan").alias("prueba"), F.lit(target).alias("variable"), F.col("lm").alias("estadistico"),
         chi2_p_value("lm", F.col("gl").cast("double")).alias("p_valor"))
-    return (f_rows("anova", anova_f(df, numeric, group)).unionByName(f_rows("levene", levene_test(df, numeric, target)))
+    return (f_rows("anova", anova_f(df, numeric, group)).unionByName(f_rows("levene", levene_test(df, numeric, target, few_groups=True)))
             .unionByName(chi).unionByName(spread_of_errors))
