@@ -45,6 +45,33 @@ def test_search_inside_a_task(monkeypatch):
         assert value[row == i].tolist() == values[best].tolist()
 
 
+def test_a_query_meets_few_boxes(monkeypatch):
+    """Work per query does not grow with the number of leaves or cells."""
+    monkeypatch.setattr(knn, "LEAF_DONORS", 8)
+    met, gaps = [], knn._gaps
+    monkeypatch.setattr(knn, "_gaps", lambda p, low, high: met.append(len(p) * len(low)) or gaps(p, low, high))
+    rng = np.random.default_rng(4)
+    donors, points = rng.random((2, 4096, 2)) * 1e6
+    row, dist, _, _ = knn._local(points, donors, np.zeros(4096), 3, 1.0)
+    D = np.sort(((points[:200, None] - donors[None]) ** 2).sum(-1), axis=1)[:, :3]
+    assert dist[row < 200].reshape(200, 3) == pytest.approx(D, rel=1e-12)
+    assert sum(met) < 4096 * 512 / 5
+
+
+def test_query_of_a_cell_without_donors(spark, small_cells):
+    """Most donors are equal, so a cut leaves a cell empty; its queries look elsewhere, within a distance."""
+    vecs = [[5.0, 5.0]] * 3 + [[5.0, 9.0], [5.0, 40.0]]
+    donors = spark.createDataFrame([(0, v, float(i), 30) for i, v in enumerate(vecs)],
+                                   "cls int, vec array<double>, value double, n long")
+    trees = {0: (np.array([0, 0, 0]), np.array([5.0, 5.0, 7.0]))}
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(knn, "_fit_cells", lambda _: trees)
+    queries = spark.createDataFrame([(1, 0, [6.0, 5.0]), (2, 0, [90.0, 41.0])], "qid long, cls int, vec array<double>")
+    found = {r.qid: [(c.d, c.value) for c in r.found] for r in knn.nearest(queries, donors, 20, {0: 1.0}).collect()}
+    monkey.undo()
+    assert found == {1: [(1.0, 0.0)], 2: [(85.0 ** 2 + 1, 4.0)]}
+
+
 @pytest.mark.parametrize("copies", [0.0, 0.4])
 def test_knn_mean_equals_brute_force(spark, small_cells, copies):
     """Many cells and parts; in the second case 40 % of the rows are copies."""
