@@ -5,12 +5,15 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import encode, impute, quality
-from tidemark.plans import training
+from tidemark.operators import encode, impute, logistic, quality
+from tidemark.operators.metrics import eval_summary
+from tidemark.plans import bakeoff, training
 from tidemark.plans.rounds import ROUNDS
+from tidemark.schema import CATEGORICAL, IMPUTED, LOGGED, PLAIN, TARGET
 from tidemark.sources import sinks
 
 
@@ -293,3 +296,44 @@ def test_tasks_of_a_boosted_fit_follow_its_rows(labelled, monkeypatch):
         monkeypatch.setattr(training, "TASK_ROWS", rows)
         t.fit_new(tiny_grid()[0])
     assert seen == [2, 5]
+
+
+def test_recipes_share_the_passes_of_their_fits(labelled, monkeypatch):
+    """One table and one series of passes for all recipes, and the answer of a fit for each on its own."""
+    passes, sums = [], logistic._sums
+    monkeypatch.setattr(logistic, "_sums", lambda factors, settings: passes.append(len(settings)) or sums(factors, settings))
+    found = {r.receta: r for r in bakeoff.imputation_bakeoff(labelled).collect()}
+    assert passes[0] == len(impute.RECIPES) and len(passes) < 15
+    logged = ["ingreso_declarado", *LOGGED]
+    numeric = [f"log_{c}" for c in logged] + ["antiguedad_laboral_meses", *PLAIN] + [f"{c}_isnull" for c in IMPUTED]
+    for recipe in impute.RECIPES:
+        filled = impute.apply_recipe(labelled, recipe)
+        train, valid = filled.where("fecha_solicitud < '2025-01-01'"), filled.where("fecha_solicitud >= '2025-01-01'")
+        n = train.count()
+        model = Pipeline(stages=[
+            encode.log_stage(logged), *encode.one_hot_stages(CATEGORICAL), encode.assemble_stage(numeric, CATEGORICAL),
+            encode.NoCenterScaler(), LogisticRegression(featuresCol="scaled", labelCol=TARGET, regParam=1.0 / n, tol=1e-12,
+                                                        standardization=False, maxIter=2000)]).fit(train)
+        alone = eval_summary(training.ProbabilityColumn().transform(model.transform(valid))).first()
+        assert found[recipe].auc_valid == pytest.approx(alone.auc, abs=2e-5)
+        assert (found[recipe].n_train, found[recipe].n_valid) == (n, alone.n)
+
+
+def test_bakeoff_of_one_class(labelled):
+    """No minimum to find: all scores are equal."""
+    rows = bakeoff.imputation_bakeoff(labelled.where(f"{TARGET} = 0 OR fecha_solicitud >= '2025-01-01'")).collect()
+    assert [r.auc_valid for r in rows] == [0.5] * len(impute.RECIPES)
+
+
+def test_fit_on_some_of_the_columns(spark):
+    """A setting that uses some slots has the minimum over these alone."""
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(400, 3))
+    y = (X @ [1.0, -2.0, 0.5] + rng.logistic(size=400) > 0).astype(float)
+    frame = spark.createDataFrame([(i, *map(float, x), t) for i, (x, t) in enumerate(zip(X, y.tolist()))], "id long, a double, b double, c double, y double")
+    some, whole = logistic.Setting(1.0, slots=[0, 2]), logistic.Setting(1.0)
+    logistic.fit(frame, ["a", "b", "c"], "y", "id", [1.0, 1.0, 1.0], [some, whole])
+    for w, x in ((some.w[[0, 1, 3]], X[:, [0, 2]]), (whole.w, X)):
+        residual = 1 / (1 + np.exp(-(w[0] + x @ w[1:]))) - y
+        assert np.r_[residual.sum(), x.T @ residual + w[1:]] == pytest.approx(0, abs=1e-5)
+    assert some.w[2] == 0

@@ -145,3 +145,20 @@ def test_smote_does_not_depend_on_partitions(spark):
             "id_solicitud", vector_to_array("features").alias("v")).collect()
         return sorted((r.id_solicitud, tuple(r.v)) for r in rows)
     assert synthetic(df) == synthetic(df.repartition(7))
+
+
+def test_donors_are_written_once(spark, small_cells, monkeypatch):
+    """Told how many rows they come from, donors get their cells before they are written, with the same answer."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [float(a), float(b)], float(v)) for a, b, v in rng.integers(0, 20, (600, 3))]
+    pool = spark.createDataFrame(rows, "cls int, vec array<double>, value double")
+    donors = pool.groupBy("cls", "vec", "value").agg(F.count("*").alias("n"))
+    queries = spark.createDataFrame([(i, 0, [float(a), float(b)]) for i, (a, b) in enumerate(rng.integers(0, 20, (80, 2)))],
+                                    "qid long, cls int, vec array<double>")
+    written, write = [], knn.write_stage
+    monkeypatch.setattr(knn, "write_stage", lambda df, name: written.append(name) or write(df, name))
+    twice = {r.qid: r.found for r in knn.nearest(queries, donors, 5, {0: 1.5}).collect()}
+    assert written[:2] == ["knn-donors", "knn-cells"]
+    written.clear()
+    assert {r.qid: r.found for r in knn.nearest(queries, donors, 5, {0: 1.5}, rows={0: 600}).collect()} == twice
+    assert "knn-donors" not in written and len(twice) == 80
