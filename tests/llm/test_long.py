@@ -3,6 +3,7 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 import xxhash
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SF_DIR
 from tidemark.llm import linedup, phrases, pii
+from tidemark.session import stage_path, write_stage
 
 
 def test_matches_equal_the_expressions():
@@ -129,3 +131,20 @@ def test_what_lies_beyond_chunks_equals_one_pass(spark, monkeypatch, n, fan):
             want[chunk[0], side] = state
             state = linedup.stairs(chunk[at] + [(min(v, chunk[1]), p) for v, p in state])
     assert got == want
+
+
+def test_line_ranks_leave_no_tables_of_their_rounds(spark):
+    texts = ["\n".join(f"w{i} w{i + 1}" for i in range(k, k + 20)) for k in (0, 0, 7, 100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = linedup.with_row_id(write_stage(docs, "line-test"), "row_id")
+    places = linedup.positions(rows)
+    staged = lambda: {p.name for p in Path(stage_path(spark, "x").removeprefix("file:")).parent.iterdir()}
+    before = staged()
+    ranked = linedup.suffix_ranks(places)
+    written = staged() - before
+    assert written and not any(name.startswith(("line-going", "line-pairs")) for name in written)
+    got = ranked.select("pos", "rank").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(53))              # 20 + 20 + 13, each once
+    whole = [(text, i) for text in texts for i in range(20)]
+    suffixes = [t.split("\n")[i:] for t, i in whole[:40]] + [texts[2].split("\n")[i:13] for i in range(13)]
+    assert all((suffixes[a.pos] == suffixes[b.pos]) == (a["rank"] == b["rank"]) for a in got for b in got)
